@@ -2,21 +2,61 @@
 
 from __future__ import annotations
 
-from fabrichealth.llm import bitplanes, packing
-from fabrichealth.llm.common import table
+from pyspark.sql import functions as F
+
+from fabrichealth.llm import bitplanes, decontaminate, interpolation, neardup, packing, perspectives, quality, secrets, toxicity, urls
+from fabrichealth.llm.common import crc_mod, table
+
+
+def op1_deleted_interpolation(spark, sf_dir):
+    return interpolation.score(table(spark, sf_dir, "documents"))
+
+
+def op2_perspectives(spark, sf_dir):
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op3_secret_forest(spark, sf_dir):
+    return secrets.findings(table(spark, sf_dir, "documents"))
+
+
+def op4_chosen_path(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_risk_controlled(spark, sf_dir):
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_bit_planes(spark, sf_dir):
     return bitplanes.query(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_noisy_or(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.filter(crc_mod("doc_id", 4) != 2).select("doc_id", "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.withColumn("held_out", crc_mod("doc_id", 4) == 2).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op8_cgk_windows(spark, sf_dir):
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_host_words(spark, sf_dir):
+    return urls.query(table(spark, sf_dir, "pages"))
+
+
 def op10_best_fit(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op6_bit_planes, op10_best_fit)}
+    return {
+        f.__name__: f
+        for f in (op1_deleted_interpolation, op2_perspectives, op3_secret_forest, op4_chosen_path, op5_risk_controlled, op6_bit_planes, op7_noisy_or, op8_cgk_windows, op9_host_words, op10_best_fit)
+    }
 
 
 def oracle_sql():
-    return {}
+    return {"op2_perspectives": perspectives.ORACLE, "op5_risk_controlled": quality.oracle()}

@@ -573,7 +573,7 @@ def observations(spark, sf_dir):
     return rows.join(want, K).withColumn("error", c("is_error")).drop("line", "is_error")
 
 
-_obsql = _policy + f", ob as (select ev.node_id, ev.window_seq, event_id as "at", {_sqlpick(_obs)} as observed, cpu = 0 as managed, {_sqlpick(_parts)} not like '%*%' as responsive, desired from ev join ds using (node_id, window_seq))"
+_obsql = _policy + f", ob as (select ev.node_id, ev.window_seq, event_id as \"at\", {_sqlpick(_obs)} as observed, cpu = 0 as managed, {_sqlpick(_parts)} not like '%*%' as responsive, desired from ev join ds using (node_id, window_seq))"
 _act = """case when observed = 'Unknown' then 'skip_unknown' when observed = 'Down' and not responsive then 'skip_down'
  when desired = 'Available' and observed in ('Draining', 'Drained', 'Down') and not managed then 'hold' when desired = 'Available' and observed = 'Available' then 'none'
  when desired = 'Draining' and observed in ('Draining', 'Drained') then 'none' when desired = 'Available' then 'resume' else 'drain' end"""

@@ -12,18 +12,25 @@ from fabrichealth.sources.adapter import EV, telemetry
 QUERIES, ORACLES = {}, {}
 
 
-def query(name: str, sql: str | None = None, views: str = "wi"):
+def query(name: str, sql: str | None = None, views: str = "wi", recursive: bool = False):
     """Register a query; its SQL follows the shared views it needs (ev, rd, wi, pw or none)."""
 
     def keep(f):
         QUERIES[name] = f
         if sql is not None:
-            ORACLES[name] = (f"with {VIEWS[views]}\n" if views and not sql.lstrip().startswith(",") else f"with {VIEWS[views]}" if views else "") + sql
+            ORACLES[name] = (f"with {'recursive ' if recursive else ''}{VIEWS[views]}\n" if views else "") + sql
         return f
 
     return keep
 
 
+def also(alias: str, name: str) -> None:
+    """Register a query under a second operator that it computes as well."""
+    QUERIES[alias] = QUERIES[name]
+    if name in ORACLES:
+        ORACLES[alias] = ORACLES[name]
+
+
 RD = """rd as (select *, cast(greatest(coalesce(reading - lag(reading) over (partition by node_id, port, counter order by ts_us, event_id), 0), 0) as bigint) as delta from ev where kind = 'HardwareCounter')"""
 _counters = ", ".join(f"cast(coalesce(sum(delta) filter (counter = {i}), 0) as bigint) as {name}" for i, name in enumerate(DELTAS))
 _cq = "count(*) filter (kind = 'CqCompletion')"

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fabrichealth.config import SCALED
 from fabrichealth.functions import exprs as X
 from fabrichealth.operators import alerting, fleet, folds, joins, rules, samples, scheduling, sketches
-from fabrichealth.plans.base import ALL, BYTES, HARD, P99, PKTS, SCORE, SIGNAL, SOFT, TRAFFIC, D, events, ports, query, r6, wins
+from fabrichealth.plans.base import ALL, BYTES, HARD, P99, PKTS, SCORE, SIGNAL, TRAFFIC, D, also, events, ports, query, r6, wins
 from fabrichealth.plans.window_queries import K
-from fabrichealth.schemas import CAPABILITY_WEIGHTS, QUALITY_WEIGHTS
+from fabrichealth.schemas import CAPABILITY_WEIGHTS
 from fabrichealth.sources import landed, sinks
 from fabrichealth.sources.adapter import completions
 
@@ -57,20 +55,9 @@ st as (select node_id, cast(0 as bigint) as rn, 'HEALTHY' as state, 0 as rising,
 hist as materialized (select eff.node_id, window_seq, raw, ewma, peak, effective, state from eff join st using (node_id, rn))"""
 
 
-def recursive(tail: str) -> str:
-    return SMOOTH + " " + tail
-
-
 def state_query(name, tail):
     """A query over the health history; its SQL walks the windows recursively."""
-    from fabrichealth.plans.base import ORACLES, QUERIES, VIEWS
-
-    def keep(f):
-        QUERIES[name] = f
-        ORACLES[name] = "with recursive " + VIEWS["wi"] + recursive(tail)
-        return f
-
-    return keep
+    return query(name, SMOOTH + " " + tail, recursive=True)
 
 
 _six = "round(raw, 6) as raw, round(ewma, 6) as ewma, round(peak, 6) as peak, round(effective, 6) as effective"
@@ -272,13 +259,7 @@ cf as (select node_id, rn, window_seq, fresh as raw from raws where rn = 1 union
 select node_id, window_seq, round(raw, 6) as raw from cf"""
 
 
-def _register_carry():
-    from fabrichealth.plans.base import ORACLES, QUERIES, VIEWS
-
-    QUERIES["fold_5_carry_forward"], ORACLES["fold_5_carry_forward"] = _carry, "with recursive " + VIEWS["wi"] + _cw
-
-
-_register_carry()
+query("fold_5_carry_forward", _cw, recursive=True)(_carry)
 
 
 @query("fold_11_reset")
@@ -500,9 +481,7 @@ def _(spark, sf_dir):
     return joins.blast_radius(owners, _procs(spark, sf_dir)).select("node_id", "processes", "summary")
 
 
-from fabrichealth.plans.base import QUERIES as _Q, ORACLES as _O  # noqa: E402
-
-_Q["sca_24_blast_summary"], _O["sca_24_blast_summary"] = _Q["join_5_blast_radius"], _O["join_5_blast_radius"]
+also("sca_24_blast_summary", "join_5_blast_radius")
 
 
 @query("join_12_expected_vs_actual")
@@ -530,7 +509,7 @@ def _(spark, sf_dir):
     return scheduling.desired_states(history(spark, sf_dir)).select(*K, "state", "desired")
 
 
-_Q["fold_8_policy"], _O["fold_8_policy"] = _Q["sch_1_desired_state"], _O["sch_1_desired_state"]
+also("fold_8_policy", "sch_1_desired_state")
 
 
 @query("sch_7_hold_commands")
@@ -559,7 +538,7 @@ def _(spark, sf_dir):
 
 
 for _alias in ("sca_17_compound_state", "sca_18_field_extract", "sca_19_ownership"):
-    _Q[_alias], _O[_alias] = _Q["src_14_node_line"], _O["src_14_node_line"]
+    also(_alias, "src_14_node_line")
 
 
 def observations(spark, sf_dir):
@@ -609,4 +588,21 @@ def _(spark, sf_dir):
     return rows.select(F.explode("targets").alias("target"), c("labels")["region"].alias("region"))
 
 
-del json, QUALITY_WEIGHTS, SOFT
+
+def _streamed(spark, sf_dir):
+    """The verdicts of the windows taken as a stream to its end, with state kept from window to window."""
+    import tempfile
+    import uuid
+
+    from fabrichealth.streaming import jobs
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    place = f"{root}/stream-{uuid.uuid4().hex}"
+    rules.fold_input(wins(spark, sf_dir), SCALED).write.parquet(f"{place}/in")
+    source = spark.readStream.schema(spark.read.parquet(f"{place}/in").schema).parquet(f"{place}/in")
+    jobs.to_tables(jobs.verdict_stream(source, SCALED), f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{place}/out")
+
+
+query("str_5_stream_verdict")(_streamed)
+also("str_3_final_flush", "str_5_stream_verdict")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fabrichealth.config import SCALED
 from fabrichealth.functions import exprs as X
 from fabrichealth.operators import fleet, rules, windows
-from fabrichealth.plans.base import ALL, BYTES, DOMINANT, FLOW, HARD, P99, PKTS, SCORE, SIGNAL, SLABAVG, SOFT, TOTAL, TRAFFIC, D, events, ports, query, r6, readings, ruled, wins
+from fabrichealth.plans.base import ALL, BYTES, DOMINANT, HARD, P99, PKTS, SCORE, SIGNAL, SLABAVG, SOFT, TOTAL, TRAFFIC, events, ports, query, r6, readings, ruled, wins
 from fabrichealth.schemas import COUNTER_FILES, COUNTER_KINDS, DELTAS
 from fabrichealth.sources import landed
 from fabrichealth.sources.adapter import counter_kind
@@ -357,3 +357,31 @@ def _(spark, sf_dir):
     p = ports(spark, sf_dir)
     two = p.filter("port = 2").select(*K, c("rcv_data").alias("_b"))
     return p.filter("port = 1").join(two, K).select(*K, (c("rcv_data") + c("_b")).alias("rcv_data"))
+
+
+def _documents(spark, sf_dir, bare: bool):
+    """The interrupts of each node and window as a JSON document, as a scenario file or a bare array holds them."""
+    event = F.struct(F.struct((c("ts_us") * 1000).alias("timestamp_ns"), "cpu", c("qp").cast("int").alias("irq")).alias("IrqEntry"))
+    rows = events(spark, sf_dir).filter("kind = 'IrqEntry'").groupBy(*K).agg(F.array_sort(F.collect_list(F.struct("ts_us", "event_id", event.alias("e")))).alias("es"))
+    name = F.concat_ws("-", F.lit("n"), c("node_id"), c("window_seq"))
+    body = F.transform("es", lambda x: x["e"])
+    expected = F.array(F.struct(F.lit(0).alias("after_event_index"), F.lit("Healthy").alias("expected_state")))
+    value = F.to_json(body) if bare else F.to_json(F.struct(name.alias("name"), body.alias("events"), expected.alias("expected_states")))
+    return rows.select(F.concat(name, F.lit(".json")).alias("file"), value.alias("value"))
+
+
+_position = "select 'n-' || node_id || '-' || window_seq as scenario, row_number() over (partition by node_id, window_seq order by ts_us, event_id) - 1 as position, ts_us * 1000 as timestamp_ns, cpu from ev where kind = 'IrqEntry'"
+for _name, _bare in (("src_1_event_array", True), ("src_2_scenario", False), ("src_3_either_shape", True)):
+    query(_name, _position, "ev")(lambda spark, sf_dir, bare=_bare: landed.scenario_events(landed.parse_scenarios(_documents(spark, sf_dir, bare))).select("scenario", c("position").cast("long").alias("position"), "timestamp_ns", "cpu"))
+
+
+@query("src_15_processes", "select event_id as pid, cast(qp as varchar) as job_id, cast(cpu as varchar) as gpus from ev", "ev")
+def _(spark, sf_dir):
+    envs = F.concat(F.lit("SLURM_JOB_ID="), c("qp").cast("string"), F.lit("\u0000CUDA_VISIBLE_DEVICES="), c("cpu").cast("string"))
+    return landed.processes(events(spark, sf_dir).select("node_id", c("event_id").alias("pid"), F.lit("w").alias("comm"), F.lit("0::/user").alias("cgroup"), envs.alias("environ"))).select("pid", "job_id", "gpus")
+
+
+@query("str_1_tumbling", "select node_id, time_bucket(interval '6 hours', make_timestamp(ts_us), timestamp '2024-01-01') as start, count(*) as n from ev group by all", "ev")
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumn("t", F.timestamp_micros("ts_us").cast("timestamp_ntz"))
+    return rows.groupBy("node_id", F.window("t", "6 hours")["start"].alias("start")).agg(F.count("*").alias("n"))

@@ -13,8 +13,12 @@ MAX_BYTES, MAX_EVENTS = 100_000_000, 10_000_000
 
 def scenarios(spark: SparkSession, path: str) -> DataFrame:
     """Scenario files as rows; a bare event array is a scenario without expectations; broken files are dropped."""
+    return parse_scenarios(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.trim("value").alias("value")))
+
+
+def parse_scenarios(text: DataFrame) -> DataFrame:
+    """scenario, events and expected_states of JSON documents(file, value) of at most 100 MB."""
     event = SCENARIO_SCHEMA.split("events array<", 1)[1].split(">>>>, ", 1)[0] + ">>>"
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.trim("value").alias("value"))
     bare = F.startswith("value", F.lit("["))
     parsed = text.filter(F.length("value") <= MAX_BYTES).select(
         "file",
@@ -22,7 +26,8 @@ def scenarios(spark: SparkSession, path: str) -> DataFrame:
         F.when(bare, F.from_json("value", f"array<{event}>")).alias("e"),
     )
     name = F.coalesce("s.name", F.regexp_extract("file", r"([^/]+?)(?:\.json)?$", 1))
-    return parsed.select(name.alias("scenario"), F.coalesce("s.events", "e").alias("events"), "s.expected_states").filter("events is not null")
+    found = parsed.select(name.alias("scenario"), F.coalesce("s.events", "e").alias("events"), "s.expected_states").filter("events is not null")
+    return found.filter(F.size("events") <= MAX_EVENTS)
 
 
 def scenario_events(found: DataFrame) -> DataFrame:

@@ -91,6 +91,7 @@ class Index:
 
         self.search = search
         self.items = [(i, c) for i, t in items if len(c := word_codes(t)) >= search.min_words]
+        self.words = [frozenset(c.tolist()) for _, c in self.items]
         self.classes = []
         by_length = sorted(range(len(self.items)), key=lambda k: len(self.items[k][1]))
         draw = np.random.default_rng(search.seed)
@@ -154,7 +155,10 @@ class Index:
         if at >= 0 and len(codes) >= at + len(item) and (codes[at : at + len(item)] == item).all():
             distance, place = 0, at
         else:
-            distance, end = edit_distance(item, codes[begin : max(0, at + len(item) + allowed)])
+            region = codes[begin : max(0, at + len(item) + allowed)]
+            if len(self.words[k].difference(region.tolist())) > allowed:
+                return  # each of the item's words that is missing takes an edit of its own
+            distance, end = edit_distance(item, region)
             place = max(0, begin + end - len(item))
         if distance <= allowed and (found is None or (distance, place) < found):
             best[text, k] = (distance, place)

@@ -33,8 +33,11 @@ def empty_window(node_id: int, window_seq: int) -> dict:
     return {**zero, "node_id": node_id, "window_seq": window_seq, "score": 0.0, "has_link_signal": False, "has_traffic": False, "throughput": 1, "estimated_p99": 0.0}
 
 
-def verdict_stream(windows: DataFrame, t: Thresholds, timeout: str = "1 hour") -> DataFrame:
-    """Verdicts of a stream of window rows with the fold columns and rule columns."""
+def verdict_stream(windows: DataFrame, t: Thresholds, timeout_ms: int | None = None) -> DataFrame:
+    """Verdicts of a stream of window rows with the fold columns and rule columns.
+
+    With ``timeout_ms`` idle nodes are forgotten; such a query waits for their time and so never ends by itself.
+    """
     import pandas as pd
 
     names = [f.split()[0] for f in VERDICT_SCHEMA.split(", ")]
@@ -57,10 +60,11 @@ def verdict_stream(windows: DataFrame, t: Thresholds, timeout: str = "1 hour") -
             out.append({"node_id": key[0], "window_seq": w["window_seq"], **step.update(w)})
             last = w["window_seq"]
         state.update((json.dumps(step.dump()), last))
-        state.setTimeoutDuration(timeout)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=names)
 
-    return windows.groupBy("node_id").applyInPandasWithState(run, VERDICT_SCHEMA, "state string, last long", "append", "ProcessingTimeTimeout")
+    return windows.groupBy("node_id").applyInPandasWithState(run, VERDICT_SCHEMA, "state string, last long", "append", "NoTimeout" if timeout_ms is None else "ProcessingTimeTimeout")
 
 
 def to_tables(df: DataFrame, path: str, checkpoint: str, handlers=()):

@@ -49,7 +49,7 @@ _other = re.compile(r"[\W_]+")
 def _learn(word: bytes) -> int:
     import xxhash
 
-    if len(_words) > 1_000_000:
+    if len(_words) > 400_000:
         _words.clear()
     kept = _other.sub("", word.decode("utf-8", "replace").lower())
     found = _words[word] = (xxhash.xxh3_64_intdigest(kept) | 1) if kept else 0

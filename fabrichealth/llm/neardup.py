@@ -42,11 +42,11 @@ _word_hashes: dict[bytes, int] = {}
 
 
 def word_hashes(words: list[bytes]):
-    """64-bit hashes of words, remembered in the worker (at most a million of them)."""
+    """64-bit hashes of words, remembered in the worker (at most 400,000 of them)."""
     import numpy as np
     import xxhash
 
-    if len(_word_hashes) > 1_000_000:
+    if len(_word_hashes) > 400_000:
         _word_hashes.clear()
     known = _word_hashes
     try:

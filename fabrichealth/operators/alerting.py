@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fabrichealth.operators.folds import State, fold_column
-from fabrichealth.operators.windows import with_streak
 
 c = F.col
 
@@ -19,19 +18,18 @@ RULES = (
 )
 
 
-def firing(series: DataFrame, condition: str, windows_held: int) -> DataFrame:
-    """Rows where the condition has held for more than ``windows_held`` windows in a row; any break starts anew."""
-    return with_streak(series, "_held", F.expr(condition)).filter(c("_held") > windows_held).drop("_held")
-
-
 def alert_rules(series: DataFrame, window_seconds: float, rules=RULES) -> DataFrame:
-    """(node_id, window_seq, alertname, severity) of all firing rules, in one pass per rule over the series."""
-    out = None
-    for name, condition, hold, severity in rules:
-        rows = firing(series, condition, -(-hold // int(window_seconds)) if hold else 0)
-        rows = rows.select("node_id", "window_seq", F.lit(name).alias("alertname"), F.lit(severity).alias("severity"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """(node_id, window_seq, alertname, severity) of all firing rules, in one pass over the series.
+
+    A rule fires where its condition has held for more windows in a row than its hold time takes; any break starts anew.
+    """
+    order = W.partitionBy("node_id").orderBy("window_seq")
+    rows = series.withColumn("_row", F.row_number().over(order))
+    breaks = {f"_break{i}": F.max(F.when(~F.coalesce(F.expr(condition), F.lit(False)), c("_row"))).over(order) for i, (_, condition, *_) in enumerate(rules)}
+    held = lambda i: c("_row") - F.coalesce(f"_break{i}", F.lit(0))
+    needed = lambda hold: -(-hold // int(window_seconds)) if hold else 0
+    found = F.array(*[F.struct(F.lit(name).alias("alertname"), F.lit(severity).alias("severity"), (held(i) > needed(hold)).alias("fires")) for i, (name, _, hold, severity) in enumerate(rules)])
+    return rows.withColumns(breaks).select("node_id", "window_seq", F.inline(F.filter(found, lambda x: x["fires"]))).drop("fires")
 
 
 class Notify(State):

@@ -141,7 +141,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_false_rejection: float = 0
     counted = settle(with_counts(docs.select("doc_id", "lang", "text")).drop("text"), "counts")
     cuts = settle(thresholds(counted, labels, max_false_rejection, delta), "cutoffs")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "lang", "text")
-    return judge(with_counts(packed), cuts).filter("kept").select("_row.*")
+    # inline drops the rows of rejected documents; a filter would be pushed down and repeat all counts in its condition
+    return judge(with_counts(packed), cuts).select(F.inline(F.filter(F.array("_row"), lambda _: F.col("kept"))))
 
 
 def oracle(max_false_rejection: float = 0.05, delta: float = 0.05) -> str:

@@ -33,12 +33,7 @@ def to_planes(ids, mode: str) -> list[bytes]:
     top = int(ids.max()).bit_length() if len(ids) else 0
     if mode == "byte":
         return [np.ascontiguousarray(raw[:, k]).tobytes() for k in range((top + 7) // 8)]
-    planes = []
-    for k in range((top + 7) // 8):
-        bits = np.unpackbits(np.ascontiguousarray(raw[:, k])[:, None], axis=1, bitorder="little")
-        packed = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
-        planes += [packed[b].tobytes() for b in range(min(8, top - 8 * k))]
-    return planes
+    return [np.packbits(np.ascontiguousarray(raw[:, bit // 8]) & np.uint8(1 << bit % 8), bitorder="little").tobytes() for bit in range(top)]
 
 
 def from_planes(planes: list[bytes], n: int, mode: str):
@@ -52,11 +47,11 @@ def from_planes(planes: list[bytes], n: int, mode: str):
                 out[:, k] = np.frombuffer(plane, np.uint8)
     else:
         for k in range((len(planes) + 7) // 8):
-            bits = np.zeros((8, n), np.uint8)
-            for b, plane in enumerate(planes[8 * k : 8 * k + 8]):
+            column = np.zeros(n, np.uint8)
+            for bit, plane in enumerate(planes[8 * k : 8 * k + 8]):
                 if plane:
-                    bits[b] = np.unpackbits(np.frombuffer(plane, np.uint8), count=n, bitorder="little")
-            out[:, k] = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")[:, 0]
+                    column |= np.unpackbits(np.frombuffer(plane, np.uint8), count=n, bitorder="little") << np.uint8(bit)
+            out[:, k] = column
     return out.view("<u4").reshape(-1)
 
 
@@ -233,7 +228,7 @@ def _read(manifest: DataFrame, with_ids: bool) -> DataFrame:
                     yield _batch(pa, rows, with_ids)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return placed.select("path", "base").repartition(F.col("path")).mapInArrow(read, schema)
+    return placed.select("path", "base").repartition(max(1, manifest.count()), "path").mapInArrow(read, schema)
 
 
 def _batch(pa, rows, with_ids):

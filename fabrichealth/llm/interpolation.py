@@ -1,15 +1,16 @@
 """Deleted-interpolation language model: counts of all training documents, weights by EM on a held-out part.
 
-Symbols are the words that make up at least 1 / ``words`` of the training tokens (so at most ``words`` of them,
-at any size of input) and one class for all rarer words. A symbol's probability mixes the maximum-likelihood
-estimates of bigram, unigram and the uniform distribution; the weights depend on the power of two of the
-context's count, and are learned by expectation-maximisation on the bigram counts of a deleted part of the
-training documents, against estimates from the rest. A rare word then has its add-one share of the class.
-
-Bigrams that are frequent everywhere (at most ``listed`` by their share, and those of the rare class and of
-the start with the ``special`` commonest symbols) are counted within tasks, so no key gathers a large part of
-the rows; all others are dealt by their key in compressed blocks, counted there, and kept with their counts
-until the weights are known. No count is cut off.
+Every training word is a symbol, and one more stands for all words that training never saw. A symbol's
+probability mixes the maximum-likelihood estimates of bigram, unigram and the uniform distribution; the
+weights depend on the power of two of the context's count, and are learned by expectation-maximisation on the
+bigram counts of a deleted part of the training documents, against estimates from the rest.
+
+The words that make up at least 1 / ``words`` of the training tokens are hot: their counts are broadcast, which
+changes no result. Bigrams that are frequent everywhere (at most ``listed`` by their share, and those of the
+start with the ``special`` commonest words) are counted within tasks, so no key gathers a large part of the
+rows. All others are dealt in compressed blocks and counted there: those of two hot words by the bigram, those
+with another word by that word, whose count is then the sum of its block; those of two such words by the
+second and then by the first. They are kept with their counts until the weights are known. No count is cut off.
 
 Words are told apart by 64-bit hashes. Null or empty text: the end token alone. Null doc_id: its crc32 is
 that of an empty text. Repeated rows count and are scored one by one. Extra columns are ignored; an empty
@@ -169,44 +170,69 @@ def count_words(rows: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "kind int, a long, b long, n long, d long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
+def _blocks(a, b, row, times, table, buckets: int, *more):
+    """(bucket, blob) of entries sorted by ``a``, which deals them: the rows' table, a, b, row, times and ``more``."""
+    import numpy as np
+
+    bucket = ((a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
+    for low, high in zip(edges, [*edges[1:], len(bucket)]):
+        own = order[low:high]
+        used, local = np.unique(row[own], return_inverse=True)
+        yield int(bucket[low]), _pack(table[0][used], table[1][used].astype("u1"), _delta(a[own]), b[own] if len(b) else b, local.astype("u4" if len(used) > 65_535 else "u2"), times[own].astype("u4"), *(_small(x[own]) for x in more))
+
+
+def _small(x):
+    return x.astype("u4" if not len(x) or x.max() < 2**32 else "u8")
+
+
+def _others(buckets: int) -> int:
+    return max(1, buckets // 4)
+
+
 def deal(rows: DataFrame, shared, model: Model, buckets: int) -> DataFrame:
-    """Blocks of (kind, bucket): 0 rare words and 1 bigrams of each row, 2 the listed bigrams' counts."""
+    """Blocks of (kind, bucket): 0 bigrams to a word that is not hot, 1 those of two hot words, 5 those from another
+    word to a hot one, 2 the listed bigrams' counts. A hot word is named by its place, another by its hash."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        heavy, listed = shared.value
+        heavy, listed, *_ = shared.value
         codes, size = Codes(heavy), len(heavy) + 2
         sums = np.zeros((2, len(listed)), np.int64)
 
-        def blocks(kind, key, row, times, table):
-            bucket = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % (buckets if kind else max(1, buckets // 8))
-            order = np.argsort(bucket, kind="stable")
-            key, row, times, bucket = key[order], row[order], times[order], bucket[order]
-            edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
-            for a, b in zip(edges, [*edges[1:], len(bucket)]):
-                used, local = np.unique(row[a:b], return_inverse=True)
-                yield kind, int(bucket[a]), _pack(table[0][used], table[1][used].astype("u1"), _delta(key[a:b]), local.astype("u4" if len(used) > 65_535 else "u2"), times[a:b].astype("u4"))
+        def others(kind, a, b, row, table):
+            order = np.lexsort((row, b, a))
+            a, b, row = a[order], b[order], row[order]
+            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (row[1:] != row[:-1])]) if len(a) else np.empty(0, np.int64)
+            for bucket, blob in _blocks(a[first], b[first], row[first], np.diff(np.r_[first, len(a)]), table, _others(buckets)):
+                yield kind, bucket, blob
 
         for columns, words, row, _ in slices(batches):
             ids = codes.encode(words)
             symbol, role = codes.symbols[ids], columns["role"]
+            first = np.r_[True, row[1:] != row[:-1]]
             before = np.r_[len(heavy) + 1, symbol[:-1]]
-            before[np.r_[True, row[1:] != row[:-1]]] = len(heavy) + 1
-            key = before * size + symbol
+            before[first] = len(heavy) + 1
+            hot, hot_before = symbol != len(heavy), before != len(heavy)
+            both = hot & hot_before
+            key, own_row = (before * size + symbol)[both], row[both]
             at = np.minimum(np.searchsorted(listed, key), max(0, len(listed) - 1))
             hit = listed[at] == key if len(listed) else np.zeros(len(key), bool)
-            for k, own in enumerate((role[row] < 2, role[row] == 1)):
+            for k, own in enumerate((role[own_row] < 2, role[own_row] == 1)):
                 sums[k] += np.bincount(at[hit & own], minlength=len(listed)) if len(listed) else 0
             table, out = (columns["row"], role), []
-            rest, times = np.unique(key[~hit] * 65_536 + row[~hit], return_counts=True)
-            out += blocks(1, rest // 65_536, rest % 65_536, times, table)
-            rare = symbol == len(heavy)
-            order = np.lexsort((row[rare], codes.hashes[ids[rare]]))
-            hashes, owners = codes.hashes[ids[rare]][order], row[rare][order]
-            first = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])]) if len(hashes) else np.empty(0, np.int64)
-            out += blocks(0, hashes[first].view(np.int64), owners[first], np.diff(np.r_[first, len(hashes)]), table)
+            rest, times = np.unique(key[~hit] * 65_536 + own_row[~hit], return_counts=True)
+            out += [(1, *block) for block in _blocks(rest // 65_536, np.empty(0, np.int64), rest % 65_536, times, table, buckets)]
+            name = np.where(hot, symbol.astype(np.uint64), codes.hashes[ids])
+            name_before = np.r_[name[:1], name[:-1]]
+            name_before[first] = len(heavy) + 1
+            out += others(0, name[~hot], name_before[~hot], row[~hot], table)
+            late = hot & ~hot_before
+            out += others(5, name_before[late], name[late], row[late], table)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], ["kind", "bucket", "blob"])
         found = np.flatnonzero(sums[0])
@@ -217,14 +243,46 @@ def deal(rows: DataFrame, shared, model: Model, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, "kind int, bucket int, blob binary").repartition(buckets, "kind", "bucket").sortWithinPartitions("kind", "bucket")
 
 
-def count_keys(dealt: DataFrame) -> DataFrame:
+def count_keys(dealt: DataFrame, shared, buckets: int) -> DataFrame:
     """Counts of each block's keys. kind 0: per row the sum of log10(count + 1) and known tokens; 1: blocks of
-    row, times, key, count; 2: listed bigrams' counts; 3: blocks of deleted bigrams' key, count without and
-    with the deleted part; 4: distinct rare words."""
+    row, times and the counts of context, bigram and word; 2: listed bigrams' counts; 3: blocks of deleted
+    bigrams' counts without the deleted part and within it; 5: blocks to be dealt by their first word."""
+
+    def joined(parts):
+        import numpy as np
+
+        rows, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        firsts = np.cumsum([0, *(len(p[0]) for p in parts)])
+        local = np.concatenate([p[4].astype(np.int64) + f for p, f in zip(parts, firsts)])
+        role = np.concatenate([p[1] for p in parts])[local]
+        a, b = np.concatenate([np.cumsum(p[2], dtype=p[2].dtype) for p in parts]), np.concatenate([p[3] for p in parts])
+        times = np.concatenate([p[5] for p in parts]).astype(np.int64)
+        order = np.lexsort((b, a)) if len(b) else np.argsort(a, kind="stable")
+        return rows, a[order], b[order] if len(b) else b, role[order], back[local][order], times[order], order
+
+    def sums(role, times, start):
+        """Each entry's group sums among training rows and deleted ones."""
+        import numpy as np
+
+        long = np.diff(np.r_[start, len(role)])
+        return [np.repeat(np.add.reduceat(np.where(use, times, 0), start), long) for use in (role < 2, role == 1)]
+
+    def counted(rows, row, times, pair, c, n, w):
+        """Kind 1 and 3 of entries; c, n and w are (count, deleted count) of context, bigram and word, ``pair`` the first of each bigram."""
+        import numpy as np
+
+        by_row = np.argsort(row, kind="stable")
+        used, sizes = np.unique(row[by_row], return_counts=True)
+        yield 1, 0, None, None, None, _pack(_delta(rows[used]), sizes.astype("u4"), times[by_row].astype("u4"), *(_small(x[0][by_row]) for x in (c, n, w)))
+        use = pair[n[1][pair] > 0]
+        if len(use):
+            yield 3, 0, None, None, None, _pack(*(_small(x[0][use] - x[1][use]) for x in (c, n, w)), _small(n[1][use]))
 
     def one(kind, blobs):
         import numpy as np
 
+        *_, counts, removed = shared.value
+        size = len(counts)
         parts = [_unpack(b) for b in blobs]
         if kind == 2:
             at = np.concatenate([p[0] for p in parts])
@@ -233,29 +291,39 @@ def count_keys(dealt: DataFrame) -> DataFrame:
             for i, x, y in zip(found.tolist(), n.tolist(), d.tolist()):
                 yield 2, i, None, x, y, None
             return
-        rows, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        firsts = np.cumsum([0, *(len(p[0]) for p in parts)])
-        key = np.concatenate([np.cumsum(p[2]) for p in parts])
-        local = np.concatenate([p[3].astype(np.int64) + f for p, f in zip(parts, firsts)])
-        role, row, times = np.concatenate([p[1] for p in parts])[local], back[local], np.concatenate([p[4] for p in parts]).astype(np.int64)
-        order = np.argsort(key, kind="stable")
-        key, role, row, times = key[order], role[order], row[order], times[order]
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        n, d = np.add.reduceat(np.where(role < 2, times, 0), start), np.add.reduceat(np.where(role == 1, times, 0), start)
-        each = np.repeat(n, np.diff(np.r_[start, len(key)]))
-        if kind == 0:
-            logs, known = np.bincount(row, weights=times * np.log10(each + 1.0)), np.bincount(row, weights=times * (each > 0)).astype(np.int64)
-            for r, x, y in zip(rows.tolist(), logs.tolist(), known.tolist()):
-                yield 0, r, x, y, None, None
-            yield 4, 0, None, int((n > 0).sum()), None, None
-        else:
-            by_row = np.argsort(row, kind="stable")
-            yield 1, 0, None, None, None, _pack(_delta(rows), np.bincount(row, minlength=len(rows)).astype("u4"), times[by_row].astype("u4"), key[by_row], each[by_row].astype("u4"))
-            use = d > 0
-            if use.any():
-                yield 3, 0, None, None, None, _pack(key[start][use], (n - d)[use], d[use])
-
-    def run(batches):
+        if kind == 5:
+            more = []
+            for k in (0, 1):
+                more.append(np.concatenate([p[6 + k].astype(np.int64) if len(p) > 6 else (counts, removed)[k][p[3].astype(np.int64)] for p in parts]))
+        rows, a, b, role, row, times, order = joined(parts)
+        del parts
+        word = np.r_[True, a[1:] != a[:-1]]
+        pair = np.flatnonzero(word | np.r_[True, b[1:] != b[:-1]]) if len(b) else np.flatnonzero(word)
+        n = sums(role, times, pair)
+        if kind == 1:
+            yield from counted(rows, row, times, pair, [x[a // size] for x in (counts, removed)], n, [x[a % size] for x in (counts, removed)])
+            return
+        own = sums(role, times, np.flatnonzero(word))
+        if kind == 5:
+            yield from counted(rows, row, times, pair, own, n, [x[order] for x in more])
+            return
+        logs, known = np.bincount(row, weights=times * np.log10(own[0] + 1.0), minlength=len(rows)), np.bincount(row, weights=times * (own[0] > 0), minlength=len(rows)).astype(np.int64)
+        for r, x, y in zip(rows.tolist(), logs.tolist(), known.tolist()):
+            yield 0, r, x, y, None, None
+        hot = b < size
+        if hot.any():
+            first = np.zeros(len(a), bool)
+            first[pair] = True
+            place = b[hot].astype(np.int64)
+            yield from counted(rows, row[hot], times[hot], np.flatnonzero(first[hot]), [x[place] for x in (counts, removed)], [x[hot] for x in n], [x[hot] for x in own])
+        late = np.flatnonzero(~hot)
+        late = late[np.argsort(b[late], kind="stable")]
+        roles = np.zeros(len(rows), np.int64)
+        roles[row] = role
+        for bucket, blob in _blocks(b[late], a[late], row[late], times[late], (rows, roles), _others(buckets), own[0][late], own[1][late]):
+            yield 5, bucket, None, None, None, blob
+
+    def run(batches, again=False):
         import pyarrow as pa
 
         kinds = (pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.binary())
@@ -276,6 +344,9 @@ def count_keys(dealt: DataFrame) -> DataFrame:
         now, blobs = None, []
         for part in batches:
             for kind, bucket, blob in zip(*(part.column(k).to_pylist() for k in range(3))):
+                if kind == 5 and not again:
+                    yield batch([(5, bucket, None, None, None, blob)])
+                    continue
                 if (kind, bucket) != now:
                     if now is not None:
                         yield from map(batch, made(now, blobs))
@@ -284,7 +355,11 @@ def count_keys(dealt: DataFrame) -> DataFrame:
         if now is not None:
             yield from map(batch, made(now, blobs))
 
-    return dealt.mapInArrow(run, "kind int, row long, x double, n long, d long, blob binary")
+    schema = "kind int, row long, x double, n long, d long, blob binary"
+    found = settle(dealt.mapInArrow(run, schema), "keys", "kind")
+    late = found.filter("kind = 5").select("kind", F.col("row").cast("int").alias("bucket"), "blob").repartition(_others(buckets), "bucket").sortWithinPartitions("bucket")
+    more = settle(late.mapInArrow(lambda batches: run(batches, True), schema), "late", "kind")
+    return found.filter("kind < 5").unionByName(more)
 
 
 def _bucket(count):
@@ -293,31 +368,28 @@ def _bucket(count):
     return np.where(count > 0, np.log2(np.maximum(count, 1)).astype(np.int64) + 1, 0)
 
 
-def estimates(key, n, counts, total):
-    """Context bucket and the bigram and unigram estimates of keys; ``counts`` has an entry per symbol and the start's."""
+def estimates(context, n, symbol, total):
+    """Context bucket and the bigram and unigram estimates from the counts of context, bigram and symbol."""
     import numpy as np
 
-    size = len(counts)
-    context, symbol = counts[key // size], counts[key % size]
     return _bucket(context), np.where(context > 0, n / np.maximum(context, 1), 0.0), symbol / max(total, 1)
 
 
-def learn_weights(deleted: DataFrame, listed: tuple, counts, total: int, model: Model):
+def learn_weights(deleted: DataFrame, listed: tuple, total: int, symbols: int, model: Model):
     """EM: the weights (bucket, 3) that make the deleted part's bigrams likeliest; the driver sees sums per bucket."""
     import numpy as np
 
     spark = deleted.sparkSession
     weights = np.full((BUCKETS, 3), 1 / 3)
-    uniform = 1 / max(1, len(counts) - 1)
+    weights[0] = 0, 1 / 2, 1 / 2  # a context without counts has no bigram estimate
+    uniform = 1 / symbols
 
-    def expected(weights, key, n, d):
-        bucket, p2, p1 = estimates(key, n, counts_of(), total)
+    def expected(weights, context, n, symbol, d):
+        bucket, p2, p1 = estimates(context, n, symbol, total)
         parts = weights[bucket] * np.stack([p2, p1, np.full(len(p1), uniform)], axis=1)
         parts *= (d / np.maximum(parts.sum(axis=1), 1e-300))[:, None]
         return np.stack([np.bincount(bucket, weights=parts[:, k], minlength=BUCKETS) for k in range(3)], axis=1)
 
-    shared = spark.sparkContext.broadcast(counts)
-    counts_of = lambda: shared.value
     for _ in range(model.rounds):
         now = spark.sparkContext.broadcast(weights)
 
@@ -327,7 +399,7 @@ def learn_weights(deleted: DataFrame, listed: tuple, counts, total: int, model:
             out = np.zeros((BUCKETS, 3))
             for batch in batches:
                 for blob in batch.column("blob").to_pylist():
-                    out += expected(now.value, *_unpack(blob))
+                    out += expected(now.value, *(x.astype(np.int64) for x in _unpack(blob)))
             yield pa.RecordBatch.from_pylist([{"bucket": b, "e2": float(x[0]), "e1": float(x[1]), "e0": float(x[2])} for b, x in enumerate(out)])
 
         sums = expected(weights, *listed) if len(listed[0]) else np.zeros((BUCKETS, 3))
@@ -336,6 +408,8 @@ def learn_weights(deleted: DataFrame, listed: tuple, counts, total: int, model:
         # one pseudo-count keeps buckets without evidence at the mean of the others, and every weight above 0
         mean = (sums.sum(axis=0) + 1e-3) / (sums.sum() + 3e-3)
         new = (sums + mean) / (sums.sum(axis=1, keepdims=True) + 1)
+        new[0, 0] = 0
+        new[0] /= new[0].sum()
         if np.abs(new - weights).max() < 1e-3:
             weights = new
             break
@@ -343,12 +417,18 @@ def learn_weights(deleted: DataFrame, listed: tuple, counts, total: int, model:
     return weights
 
 
-def log_probability(weights, key, n, counts, total):
+def mixed(weights, context, n, symbol, total, symbols: int):
     import numpy as np
 
-    bucket, p2, p1 = estimates(key, n, counts, total)
+    bucket, p2, p1 = estimates(context, n, symbol, total)
     w = weights[bucket]
-    return np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / max(1, len(counts) - 1))
+    return np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / symbols)
+
+
+def log_probability(weights, key, n, counts, total, symbols: int | None = None):
+    """Of bigrams by their key; ``counts`` has an entry per symbol and the start's."""
+    size = len(counts)
+    return mixed(weights, counts[key // size], n, counts[key % size], total, symbols or max(1, size - 1))
 
 
 def score(docs: DataFrame, model: Model = Model()) -> DataFrame:
@@ -360,42 +440,40 @@ def score(docs: DataFrame, model: Model = Model()) -> DataFrame:
     counted = settle(count_words(rows, model), "words", "kind")
     total, deleted = counted.filter("kind = 0").agg(F.sum("n"), F.sum("d")).first()
     total, deleted = total or 0, deleted or 0
-    heavy_rows = counted.filter((F.col("kind") == 0) & (F.col("n") * F.lit(model.words) >= F.lit(total))).select("a", "n", "d").collect()
+    vocabulary = counted.filter("kind = 0 and n > 0").count()
+    end = Codes(None)
+    end.encode([END])
+    hot = ((F.col("n") > 0) & (F.col("n") * F.lit(model.words) >= F.lit(total))) | (F.col("a") == int(end.hashes.view(np.int64)[0]))
+    heavy_rows = counted.filter((F.col("kind") == 0) & hot).select("a", "n", "d").collect()
     heavy = np.array([r["a"] for r in heavy_rows], np.int64).view(np.uint64)
     order = np.argsort(heavy)
     heavy, n, d = heavy[order], np.array([r["n"] for r in heavy_rows], np.int64)[order], np.array([r["d"] for r in heavy_rows], np.int64)[order]
     size = len(heavy) + 2
-    end = Codes(heavy)
-    end.encode([END])
-    end_at = int(end.symbols[0])
-    rare_n, rare_d = total - int(n.sum()), deleted - int(d.sum())
-    starts = (int(n[end_at]), int(d[end_at])) if end_at < len(heavy) else (rare_n, rare_d)
-    counts, removed = np.r_[n, rare_n, starts[0]], np.r_[d, rare_d, starts[1]]
+    # a row's start has the count of its end; the entry before it stands for the words that are not hot
+    ends = heavy == end.hashes[0]
+    counts, removed = np.r_[n, 0, n[ends].sum()], np.r_[d, 0, d[ends].sum()]
     pairs = counted.filter((F.col("kind") == 1) & (F.col("n") * F.lit(model.listed) >= F.lit(total))).select("a", "b").collect()
-    place = lambda x: np.searchsorted(heavy, np.array(x, np.int64).view(np.uint64))
-    a, b = place([r["a"] for r in pairs]), place([r["b"] for r in pairs])
-    good = (a < len(heavy)) & (b < len(heavy))
-    top = np.argsort(-n, kind="stable")[: model.special]
-    rare, start = len(heavy), len(heavy) + 1
-    listed = np.unique(np.r_[(a * size + b)[good], rare * size + top, top * size + rare, start * size + top, [rare * size + rare, start * size + rare]]).astype(np.int64)
-    shared = spark.sparkContext.broadcast((heavy, listed))
+    a, b = (np.array([r[c] for r in pairs], np.int64).view(np.uint64) for c in ("a", "b"))
+    good = np.isin(a, heavy) & np.isin(b, heavy)
+    top, start = np.argsort(-n, kind="stable")[: model.special], len(heavy) + 1
+    listed = np.unique(np.r_[np.searchsorted(heavy, a[good]) * size + np.searchsorted(heavy, b[good]), start * size + top]).astype(np.int64)
+    shared = spark.sparkContext.broadcast((heavy, listed, counts, removed))
     buckets = max(32, math.ceil(total / model.key_tokens))
-    found = settle(count_keys(deal(rows, shared, model, buckets)), "keys", "kind")
+    found = count_keys(deal(rows, shared, model, buckets), shared, buckets)
     list_n, list_d = np.zeros(len(listed), np.int64), np.zeros(len(listed), np.int64)
     for r in found.filter("kind = 2").select("row", "n", "d").collect():
         list_n[r["row"]], list_d[r["row"]] = r["n"], r["d"]
-    rare_words = found.filter("kind = 4").agg(F.sum("n")).first()[0] or 0
-    use = list_d > 0
-    weights = learn_weights(found.filter("kind = 3").select("blob"), (listed[use], (list_n - list_d)[use], list_d[use]), counts - removed, total - deleted, model)
-    class_size = math.log10(rare_n + rare_words + 1)
-    base_size = math.log10(total + len(heavy) + rare_words + 1)
-    listed_logs = log_probability(weights, listed, list_n, counts, total) if len(listed) else np.empty(0)
-    known = spark.sparkContext.broadcast((heavy, listed, listed_logs, np.log10(n + 1.0), weights, counts))
+    use, kept = list_d > 0, counts - removed
+    listed_counts = kept[listed[use] // size], (list_n - list_d)[use], kept[listed[use] % size], list_d[use]
+    weights = learn_weights(found.filter("kind = 3").select("blob"), listed_counts, total - deleted, vocabulary + 1, model)
+    base_size = math.log10(total + vocabulary + 1)
+    listed_logs = log_probability(weights, listed, list_n, counts, total, vocabulary + 1) if len(listed) else np.empty(0)
+    known = spark.sparkContext.broadcast((heavy, listed, listed_logs, np.log10(n + 1.0), n > 0, weights))
 
     def near(batches):
         import pyarrow as pa
 
-        heavy, listed, logs, words_logs, *_ = known.value
+        heavy, listed, logs, words_logs, seen, _ = known.value
         codes, size, ends = Codes(heavy), len(heavy) + 2, np.r_[words_logs, 0.0]
         for columns, words, row, lengths in slices(batches):
             ids = codes.encode(words)
@@ -405,26 +483,26 @@ def score(docs: DataFrame, model: Model = Model()) -> DataFrame:
             key = before * size + symbol
             at = np.minimum(np.searchsorted(listed, key), max(0, len(listed) - 1))
             lm = np.where(listed[at] == key, logs[at], 0.0) if len(listed) else np.zeros(len(key))
-            rare = np.bincount(row, weights=symbol == len(heavy), minlength=len(lengths))
+            own = np.bincount(row, weights=np.r_[seen, False][symbol], minlength=len(lengths))
             base = np.bincount(row, weights=ends[symbol], minlength=len(lengths))
             scores = np.bincount(row, weights=lm, minlength=len(lengths))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns["row"]), pa.array(columns["doc_id"], pa.int64(), from_pandas=True), pa.array(columns["role"] == 2), pa.array(lengths.astype(np.int64)), pa.array(rare.astype(np.int64)), pa.array(base), pa.array(scores)],
-                ["row", "doc_id", "held_out", "n_tokens", "n_rare", "base", "lm"],
+                [pa.array(columns["row"]), pa.array(columns["doc_id"], pa.int64(), from_pandas=True), pa.array(columns["role"] == 2), pa.array(lengths.astype(np.int64)), pa.array(own.astype(np.int64)), pa.array(base), pa.array(scores)],
+                ["row", "doc_id", "held_out", "n_tokens", "n_own", "base", "lm"],
             )
 
     def far(batches):
         import pyarrow as pa
 
-        *_, weights, counts = known.value
+        *_, weights = known.value
         for batch in batches:
             for blob in batch.column("blob").to_pylist():
-                row, sizes, times, key, n = _unpack(blob)
-                logs = np.concatenate([log_probability(weights, key[k : k + 500_000], n[k : k + 500_000], counts, total) for k in range(0, len(key), 500_000)])
+                row, sizes, times, *counts = _unpack(blob)
+                logs = np.concatenate([mixed(weights, *(c[k : k + 500_000].astype(np.int64) for c in counts), total, vocabulary + 1) for k in range(0, len(times), 500_000)])
                 sums = np.bincount(np.repeat(np.arange(len(row)), sizes), weights=logs * times, minlength=len(row))
                 yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(row)), pa.array(sums)], ["row", "lm"])
 
-    local = settle(_with_id(docs).mapInArrow(near, "row long, doc_id long, held_out boolean, n_tokens long, n_rare long, base double, lm double"), "near")
+    local = settle(_with_id(docs).mapInArrow(near, "row long, doc_id long, held_out boolean, n_tokens long, n_own long, base double, lm double"), "near")
     bigrams = found.filter("kind = 1").select("blob").mapInArrow(far, "row long, lm double").select("row", F.lit(0.0).alias("x"), F.lit(0).cast("long").alias("n"), "lm")
     words = found.filter("kind = 0").select("row", "x", "n", F.lit(0.0).alias("lm"))
     tail = words.unionByName(bigrams).groupBy("row").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("lm").alias("more"))
@@ -435,10 +513,10 @@ def score(docs: DataFrame, model: Model = Model()) -> DataFrame:
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_tokens") - F.col("n_rare") + F.round(zero("n")).cast("long")).alias("n_known"),
+        (F.col("n_own") + F.round(zero("n")).cast("long")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + zero("x") - F.col("n_tokens") * F.lit(base_size)).alias("base_score"),
-        (F.col("lm") + zero("more") + zero("x") - F.col("n_rare") * F.lit(class_size)).alias("score"),
+        (F.col("lm") + zero("more")).alias("score"),
     )
 
 

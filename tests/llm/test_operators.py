@@ -73,6 +73,55 @@ def test_language_model_base_and_split_invariance(docs, empty):
     assert interpolation.score(empty).count() == 0
 
 
+def brute_interpolation(rows, deleted=8, rounds=12):
+    """Scores by doc_id of a bigram model that gives every training word a symbol of its own."""
+    part = lambda i: zlib.crc32(("" if i is None else str(i)).encode())
+    texts = [(part(i), ["<", *low(t), b"\n"]) for i, t, _ in rows]
+    texts = [(2 if p % 7 == 2 else 1 if p // 7 % deleted == 0 else 0, t) for p, t in texts]
+
+    def counted(roles):
+        pairs = collections.Counter(q for r, t in texts if r in roles for q in zip(t, t[1:]))
+        context, word = collections.Counter(), collections.Counter()
+        for (a, b), n in pairs.items():
+            context[a] += n
+            word[b] += n
+        return pairs, context, word
+
+    (pairs, context, word), kept, gone = counted((0, 1)), counted((0,)), counted((1,))[0]
+    symbols = len(word) + 1
+
+    def terms(model, a, b):
+        pairs, context, word = model
+        c = context[a]
+        return c.bit_length(), np.array([pairs[a, b] / c if c else 0.0, word[b] / max(1, sum(word.values())), 1 / symbols])
+
+    weights = np.full((interpolation.BUCKETS, 3), 1 / 3)
+    weights[0] = 0, 1 / 2, 1 / 2
+    held = [(*terms(kept, a, b), n) for (a, b), n in gone.items()]
+    for _ in range(rounds):
+        sums = np.zeros_like(weights)
+        for at, p, n in held:
+            sums[at] += n * weights[at] * p / (weights[at] @ p)
+        mean = (sums.sum(axis=0) + 1e-3) / (sums.sum() + 3e-3)
+        new = (sums + mean) / (sums.sum(axis=1, keepdims=True) + 1)
+        new[0, 0] = 0
+        new[0] /= new[0].sum()
+        moved, weights = np.abs(new - weights).max(), new
+        if moved < 1e-3:
+            break
+    score = lambda t: sum(math.log10(weights[at] @ p) for at, p in (terms((pairs, context, word), a, b) for a, b in zip(t, t[1:])))
+    return {i: score(t) for (i, _, _), (_, t) in zip(rows, texts)}
+
+
+def test_language_model_counts_the_bigrams_of_rare_words(docs):
+    rows = corpus()
+    wanted = brute_interpolation(rows)
+    for size in (dict(words=4, listed=2, special=1, key_tokens=500), dict(words=40, listed=20, special=3), dict()):
+        found = interpolation.score(docs, interpolation.Model(**size)).collect()
+        assert len(found) == len(rows)
+        assert all(math.isclose(r.score, wanted[r.doc_id], rel_tol=1e-9) for r in found)
+
+
 def test_language_model_is_normalised():
     rnd = np.random.default_rng(0)
     counts = np.r_[rnd.integers(1, 50, 6), 9, 11]

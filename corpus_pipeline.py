@@ -13,7 +13,7 @@ def quality_rules(spark, docs, sf_dir):
 
 def near_dedup(spark, docs, sf_dir):
     """The document of the smallest doc_id of each group of near copies stays."""
-    return neardup.keep_first(docs)
+    return neardup.keep_first(docs, neardup.Join(percent=80))
 
 
 def decontamination(spark, docs, sf_dir):

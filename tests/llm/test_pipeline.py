@@ -36,3 +36,19 @@ def test_stages_keep_the_columns_and_all_rows_of_clean_documents(spark, sf_dir):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_near_dedup_meets_brute_force_at_80_percent(spark, sf_dir):
+    import random
+
+    import corpus_pipeline
+    from tests.llm.test_operators import brute_components
+
+    rnd, rows = random.Random(8), []
+    for k in range(20):  # pairs of 100 words that share a similarity between 0.80 and 0.85, and one a little below
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(100)]
+        rows += [(2 * k, " ".join(words), "en"), (2 * k + 1, " ".join([*words[: 90 if k else 89], *(f"new{k}x{j}" for j in range(10 if k else 11))]), "en")]
+    wanted = {i for i, root in brute_components(rows, 80).items() if i == root}
+    assert len(wanted) == 21 and len(set(brute_components(rows).values())) == 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()} == wanted

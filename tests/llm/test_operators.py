@@ -455,3 +455,25 @@ def test_segmentation_and_bayes(spark):
     out = {r.page_id: r.verdict for r in urls.query(pages).collect()}
     assert out[200] == "block" and out[201] == "allow" and out[0] == "block" and out[100] == "allow" and 202 in out
     assert urls.query(pages.limit(0)).count() == 0
+
+
+def test_url_models_keep_the_counts_of_rare_tokens(spark):
+    rnd = random.Random(4)
+    vocabulary = ["casino", "bonus", "garden", "tools", "recipes", "forum", "zebra", "quilt", "lotto", "spin"]
+    hosts = ["a.com", "b.net", "example.com", "shop.org"]
+    rows = [(k % 70, f"http://{rnd.choice(vocabulary)}{rnd.choice(vocabulary)}.{rnd.choice(hosts)}/{rnd.choice(['es', 'fr', 'en'])}/{rnd.choice(vocabulary)}{k}", f"<p>{rnd.choice(vocabulary)} {rnd.choice(vocabulary[:3])}") for k in range(80)]
+    rows += [(900, None, None), (901, "nothing", "<p>rare"), (None, "http://rarezebra.org/x/unheard", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    words = urls.html_words(pages).groupBy("word").agg(F.count("*").alias("n"))
+    split = urls.Segmenter({r.word: r.n for r in words.collect()})
+    want = [(r.page_id, r.host, r.path, r.ruled, split.tokens(r.host, r.path)) for r in urls.split_urls(pages).collect()]
+    counts = {kind: collections.Counter(t for *_, ruled, own in want if ruled == kind for t in own) for kind in ("block", "allow")}
+    size = len(counts["block"] | counts["allow"]) + 1
+    log = lambda kind, t: math.log((counts[kind][t] + 1) / (sum(counts[kind].values()) + size))
+    n = {kind: sum(r[3] == kind for r in want) for kind in counts}
+    prior = math.log((n["block"] + 1) / (n["allow"] + 1))
+    order = lambda r: tuple(map(str, r))
+    want = sorted(((i, h, p, " ".join(own), round(prior + sum(log("block", t) - log("allow", t) for t in own), 6)) for i, h, p, _, own in want), key=order)
+    for share in (5, 200_000):
+        found = urls.verdicts(pages, words, share=share).collect()
+        assert sorted(((r.page_id, r.host, r.path, r.tokens, round(r.log_odds, 6)) for r in found), key=order) == want

@@ -5,16 +5,15 @@ probability mixes the maximum-likelihood estimates of bigram, unigram and the un
 weights depend on the power of two of the context's count, and are learned by expectation-maximisation on the
 bigram counts of a deleted part of the training documents, against estimates from the rest.
 
-The words that make up at least 1 / ``words`` of the training tokens are hot: their counts are broadcast, which
-changes no result. Bigrams that are frequent everywhere (at most ``listed`` by their share, and those of the
-start with the ``special`` commonest words) are counted within tasks, so no key gathers a large part of the
-rows. All others are dealt in compressed blocks and counted there: those of two hot words by the bigram, those
-with another word by that word, whose count is then the sum of its block; those of two such words by the
-second and then by the first. They are kept with their counts until the weights are known. No count is cut off.
-
-Words are told apart by 64-bit hashes. Null or empty text: the end token alone. Null doc_id: its crc32 is
-that of an empty text. Repeated rows count and are scored one by one. Extra columns are ignored; an empty
-table gives no rows.
+Texts are read once, into slices of about ``slice_tokens`` tokens: whole documents as codes of the slice's own
+dictionary. A slice counts its distinct words and bigrams and sends them, dealt by hash in compressed blocks,
+to be added up; each block is answered with the counts in the whole corpus, in the order in which they were
+asked for. So a word or bigram that is frequent everywhere is one entry a slice, no key gathers more than
+that, and no count is cut off or kept on the driver. The answered slices give the weights and then the scores.
+
+Words and bigrams are told apart by 64-bit hashes. Null or empty text: the end token alone. Null doc_id: its
+crc32 is that of an empty text. Repeated rows count and are scored one by one. Extra columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,86 +24,67 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabrichealth.llm.common import crc_mod, settle
+from fabrichealth.llm.common import settle
+from fabrichealth.llm.neardup import mix
 
 END = b"\n"  # never a word
-SLICE_TOKENS = 1_000_000
+START = 1  # stands for the hash of what precedes a document's first word
 MOST_WORDS = 400_000  # that a worker remembers before it starts over
+PIECE_BYTES = 4_000_000  # of a long text that are split into words at once
 BUCKETS = 48  # powers of two of a context's count
 
 
 @dataclass(frozen=True)
 class Model:
-    words: int = 262_144
-    listed: int = 65_536
-    special: int = 16_384
     deleted: int = 8
-    key_tokens: int = 1_000_000
+    slice_tokens: int = 1_000_000
+    key_tokens: int = 2_000_000
     rounds: int = 12
 
 
 class Codes:
-    """Words to small numbers within a worker, with their hashes and symbols."""
+    """Words to small numbers within a worker, with their hashes."""
 
-    def __init__(self, heavy):
-        self.heavy = heavy
-        self._clear()
-
-    def _clear(self):
+    def __init__(self):
         import numpy as np
 
-        self.known, self.hashes, self.symbols = {}, np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.known, self.hashes = {}, np.empty(0, np.uint64)
 
     def encode(self, words: list[bytes]):
         import numpy as np
         import xxhash
 
-        if len(self.known) > 2 * MOST_WORDS:
-            self._clear()
         try:
-            return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
         except KeyError:
             new = [w for w in set(words) if w not in self.known]
-            fresh = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in new), np.uint64, len(new))
             for k, w in enumerate(new, len(self.known)):
                 self.known[w] = k
-            self.hashes = np.concatenate([self.hashes, fresh])
-            if self.heavy is not None:
-                at = np.minimum(np.searchsorted(self.heavy, fresh), max(0, len(self.heavy) - 1))
-                hit = self.heavy[at] == fresh if len(self.heavy) else np.zeros(len(fresh), bool)
-                self.symbols = np.concatenate([self.symbols, np.where(hit, at, len(self.heavy))])
-            return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-
-
-def slices(batches):
-    """Parts of about ``SLICE_TOKENS`` tokens: the rows' columns, the words with an end for each row, and their row."""
-    import numpy as np
-
-    for batch in batches:
-        columns = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names if n != "text"}
-        texts, at = batch.column("text").to_pylist(), 0
-        while at < len(texts):
-            words, lengths, begin = [], [], at
-            while at < len(texts) and len(words) < SLICE_TOKENS and at - begin < 60_000:
-                own = (texts[at] or b"").lower().split()
-                words += own
-                words.append(END)
-                lengths.append(len(own) + 1)
-                at += 1
-            yield {n: c[begin:at] for n, c in columns.items()}, words, np.repeat(np.arange(at - begin), lengths), np.array(lengths)
+            self.hashes = np.concatenate([self.hashes, np.fromiter((xxhash.xxh3_64_intdigest(w) for w in new), np.uint64, len(new))])
+            return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
 
 
-def _rows(docs: DataFrame, model: Model) -> DataFrame:
-    part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    role = F.when(part % 7 == 2, 2).when(F.floor(part / 7) % model.deleted == 0, 1).otherwise(0)
-    return docs.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text").alias("row"), role.cast("int").alias("role"), F.col("text").cast("binary").alias("text"))
+def pieces(text: bytes):
+    """Lower-cased words of a text, some millions of bytes at a time, cut between words."""
+    at = 0
+    while len(text) - at > PIECE_BYTES:
+        end = max(text.rfind(space, at + 1, at + PIECE_BYTES) for space in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        end = at + PIECE_BYTES if end < 0 else end
+        while end < len(text) and text[end] not in b" \n\t\r\x0b\x0c":  # one word longer than a piece
+            end += 1
+        yield text[at:end].lower().split()
+        at = end
+    yield text[at:].lower().split()
 
 
 def _pack(*arrays) -> bytes:
+    """Arrays of numbers as byte planes, compressed."""
+    import numpy as np
     import zstandard
 
-    head = len(arrays).to_bytes(4, "little") + b"".join(a.nbytes.to_bytes(8, "little") + a.dtype.str.encode().ljust(8) for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    head = len(arrays).to_bytes(4, "little") + b"".join(len(a).to_bytes(8, "little") + a.dtype.str.encode().ljust(8) for a in arrays)
+    planes = (np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T).tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
 
 
 def _unpack(blob: bytes):
@@ -112,254 +92,216 @@ def _unpack(blob: bytes):
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int.from_bytes(raw[:4], "little")
-    at, out = 4 + 16 * n, []
+    n, out = int.from_bytes(raw[:4], "little"), []
+    at = 4 + 16 * n
     for k in range(n):
         head = raw[4 + 16 * k : 20 + 16 * k]
         size, kind = int.from_bytes(head[:8], "little"), np.dtype(head[8:].decode().strip())
-        out.append(np.frombuffer(raw, kind, size // kind.itemsize, at))
-        at += size
+        planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
+        at += size * kind.itemsize
     return out
 
 
-def _delta(x):
+def _small(x):
+    """Numbers of 0 and more in the narrowest type that holds them."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype("u1" if top < 2**8 else "u2" if top < 2**16 else "u4" if top < 2**32 else "u8")
+
+
+def _gaps(x):
     import numpy as np
 
     return np.diff(x, prepend=x[:1] * 0)
 
 
-def count_words(rows: DataFrame, model: Model) -> DataFrame:
-    """kind 0: counts of each word's hash among training rows (n) and deleted ones (d); kind 1: bigrams frequent in a slice."""
+def slices(docs: DataFrame, model: Model) -> DataFrame:
+    """(slice, tokens, n, d, blob): whole documents in codes of a dictionary, and their tokens, of training and deleted."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        number, codes = TaskContext.get().partitionId() << 32, Codes()
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+        def made(number, rows, parts):
+            ids, role, lengths = np.concatenate(parts), np.array([r[1] for r in rows], "u1"), np.array([r[2] for r in rows])
+            times = np.bincount(ids, minlength=len(codes.known))
+            used = np.flatnonzero(times)
+            used = used[np.argsort(-times[used], kind="stable")]  # frequent words get small codes
+            place = np.zeros(len(codes.known), np.int32)
+            place[used] = np.arange(len(used))
+            doc_ids = np.array([r[0] or 0 for r in rows], "i8")
+            blob = _pack(doc_ids, np.array([r[0] is not None for r in rows], "u1"), role, _small(lengths), codes.hashes[used], _small(place[ids]))
+            row = (number, len(ids), int(lengths[role < 2].sum()), int(lengths[role == 1].sum()), blob)
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds)], ["slice", "tokens", "n", "d", "blob"])
+
+        rows, parts, size, words = [], [], 0, []
+        for batch in batches:
+            for doc_id, role, text in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "role", "text"))):
+                begun = size
+                for own in pieces(text or b""):
+                    words += own
+                    size += len(own)
+                    if len(words) > 250_000:
+                        parts.append(codes.encode(words))
+                        words = []
+                words.append(END)
+                size += 1
+                rows.append((doc_id, role, size - begun))
+                if size >= model.slice_tokens:
+                    yield made(number, rows, [*parts, codes.encode(words)])
+                    number, rows, parts, size, words = number + 1, [], [], 0, []
+                    if len(codes.known) > MOST_WORDS:
+                        codes = Codes()
+        if rows:
+            yield made(number, rows, [*parts, codes.encode(words)])
 
-        codes = Codes(None)
-        sums = np.zeros((2, 0), np.int64)
-
-        def rows(kind, a, b, n, d):
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            columns = (np.full(len(a), kind), a.view(np.int64), b.view(np.int64), n, d)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["kind", "a", "b", "n", "d"])
-
-        def words_so_far():
-            use = np.flatnonzero(sums[0])
-            return rows(0, codes.hashes[use], np.zeros(len(use), np.uint64), sums[0][use], sums[1][use])
-
-        for columns, words, row, _ in slices(batches):
-            if len(codes.known) > MOST_WORDS:
-                yield words_so_far()
-                codes, sums = Codes(None), np.zeros((2, 0), np.int64)
-            ids, role = codes.encode(words), columns["role"][row]
-            here = np.bincount(ids, minlength=len(codes.known))
-            now = np.stack([np.bincount(ids, weights=w, minlength=len(codes.known)).astype(np.int64) for w in (role < 2, role == 1)])
-            now[:, : sums.shape[1]] += sums
-            sums = now
-            # a pair is only frequent here if both its words are
-            least = len(words) / model.listed
-            often = (here >= least)[ids]
-            both = often[:-1] & often[1:] & (role[1:] < 2) & (row[1:] == row[:-1])
-            pair, times = np.unique(ids[:-1][both] * len(codes.known) + ids[1:][both], return_counts=True)
-            pair, times = pair[times >= least], times[times >= least]
-            if len(pair):
-                yield rows(1, codes.hashes[pair // len(codes.known)], codes.hashes[pair % len(codes.known)], times, times * 0)
-        if sums.size:
-            yield words_so_far()
-
-    return rows.mapInArrow(run, "kind int, a long, b long, n long, d long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-
-
-def _blocks(a, b, row, times, table, buckets: int, *more):
-    """(bucket, blob) of entries sorted by ``a``, which deals them: the rows' table, a, b, row, times and ``more``."""
-    import numpy as np
+    part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    role = F.when(part % 7 == 2, 2).when(F.floor(part / 7) % model.deleted == 0, 1).otherwise(0)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), role.cast("int").alias("role"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "slice long, tokens long, n long, d long, blob binary")
 
-    bucket = ((a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % buckets
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
-    for low, high in zip(edges, [*edges[1:], len(bucket)]):
-        own = order[low:high]
-        used, local = np.unique(row[own], return_inverse=True)
-        yield int(bucket[low]), _pack(table[0][used], table[1][used].astype("u1"), _delta(a[own]), b[own] if len(b) else b, local.astype("u4" if len(used) > 65_535 else "u2"), times[own].astype("u4"), *(_small(x[own]) for x in more))
 
+class Slice:
+    """The tokens of a slice: each one's document, code and the code before; ``len(hashes)`` is that of the start."""
 
-def _small(x):
-    return x.astype("u4" if not len(x) or x.max() < 2**32 else "u8")
+    def __init__(self, blob: bytes):
+        import numpy as np
 
+        self.doc_ids, self.valid, self.role, self.lengths, self.hashes, codes = _unpack(blob)
+        self.code = codes.astype(np.int64)
+        self.row = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.before = np.r_[0, self.code[:-1]]
+        self.before[np.r_[True, self.row[1:] != self.row[:-1]]] = len(self.hashes)
 
-def _others(buckets: int) -> int:
-    return max(1, buckets // 4)
+    def distinct(self):
+        """Of words and then of bigrams: a token of each in order of the hashes, the hashes, and the counts of training and deleted tokens."""
+        import numpy as np
+
+        names = np.r_[self.hashes, np.uint64(START)]
+        with np.errstate(over="ignore"):
+            pair = mix(names[self.before] * np.uint64(0x9E3779B97F4A7C15) + names[self.code])
+        role = self.role[self.row]
+        for keys in (self.hashes[self.code], pair):
+            order = np.argsort(keys)
+            keys, own = keys[order], role[order]
+            start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            yield order, start, keys[start], *(np.add.reduceat(use.astype(np.int64), start) for use in (own < 2, own == 1))
 
 
-def deal(rows: DataFrame, shared, model: Model, buckets: int) -> DataFrame:
-    """Blocks of (kind, bucket): 0 bigrams to a word that is not hot, 1 those of two hot words, 5 those from another
-    word to a hot one, 2 the listed bigrams' counts. A hot word is named by its place, another by its hash."""
+def _bucket_of(hashes, buckets: int):
+    import numpy as np
+
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def ask(sliced: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, slice, blob): the hashes of a slice's words and bigrams with their counts there."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        heavy, listed, *_ = shared.value
-        codes, size = Codes(heavy), len(heavy) + 2
-        sums = np.zeros((2, len(listed)), np.int64)
-
-        def others(kind, a, b, row, table):
-            order = np.lexsort((row, b, a))
-            a, b, row = a[order], b[order], row[order]
-            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (row[1:] != row[:-1])]) if len(a) else np.empty(0, np.int64)
-            for bucket, blob in _blocks(a[first], b[first], row[first], np.diff(np.r_[first, len(a)]), table, _others(buckets)):
-                yield kind, bucket, blob
-
-        for columns, words, row, _ in slices(batches):
-            ids = codes.encode(words)
-            symbol, role = codes.symbols[ids], columns["role"]
-            first = np.r_[True, row[1:] != row[:-1]]
-            before = np.r_[len(heavy) + 1, symbol[:-1]]
-            before[first] = len(heavy) + 1
-            hot, hot_before = symbol != len(heavy), before != len(heavy)
-            both = hot & hot_before
-            key, own_row = (before * size + symbol)[both], row[both]
-            at = np.minimum(np.searchsorted(listed, key), max(0, len(listed) - 1))
-            hit = listed[at] == key if len(listed) else np.zeros(len(key), bool)
-            for k, own in enumerate((role[own_row] < 2, role[own_row] == 1)):
-                sums[k] += np.bincount(at[hit & own], minlength=len(listed)) if len(listed) else 0
-            table, out = (columns["row"], role), []
-            rest, times = np.unique(key[~hit] * 65_536 + own_row[~hit], return_counts=True)
-            out += [(1, *block) for block in _blocks(rest // 65_536, np.empty(0, np.int64), rest % 65_536, times, table, buckets)]
-            name = np.where(hot, symbol.astype(np.uint64), codes.hashes[ids])
-            name_before = np.r_[name[:1], name[:-1]]
-            name_before[first] = len(heavy) + 1
-            out += others(0, name[~hot], name_before[~hot], row[~hot], table)
-            late = hot & ~hot_before
-            out += others(5, name_before[late], name[late], row[late], table)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], ["kind", "bucket", "blob"])
-        found = np.flatnonzero(sums[0])
-        if len(found):
-            out = [(2, int(k), _pack(found[found % buckets == k], *sums[:, found[found % buckets == k]])) for k in np.unique(found % buckets)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], ["kind", "bucket", "blob"])
-
-    return rows.mapInArrow(run, "kind int, bucket int, blob binary").repartition(buckets, "kind", "bucket").sortWithinPartitions("kind", "bucket")
-
-
-def count_keys(dealt: DataFrame, shared, buckets: int) -> DataFrame:
-    """Counts of each block's keys. kind 0: per row the sum of log10(count + 1) and known tokens; 1: blocks of
-    row, times and the counts of context, bigram and word; 2: listed bigrams' counts; 3: blocks of deleted
-    bigrams' counts without the deleted part and within it; 5: blocks to be dealt by their first word."""
-
-    def joined(parts):
-        import numpy as np
-
-        rows, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        firsts = np.cumsum([0, *(len(p[0]) for p in parts)])
-        local = np.concatenate([p[4].astype(np.int64) + f for p, f in zip(parts, firsts)])
-        role = np.concatenate([p[1] for p in parts])[local]
-        a, b = np.concatenate([np.cumsum(p[2], dtype=p[2].dtype) for p in parts]), np.concatenate([p[3] for p in parts])
-        times = np.concatenate([p[5] for p in parts]).astype(np.int64)
-        order = np.lexsort((b, a)) if len(b) else np.argsort(a, kind="stable")
-        return rows, a[order], b[order] if len(b) else b, role[order], back[local][order], times[order], order
-
-    def sums(role, times, start):
-        """Each entry's group sums among training rows and deleted ones."""
-        import numpy as np
+        for batch in batches:
+            for number, blob in zip(batch.column("slice").to_pylist(), batch.column("blob").to_pylist()):
+                parts = [(keys, _bucket_of(keys, buckets), n, d) for _, _, keys, n, d in Slice(blob).distinct()]
+                rows = []
+                for bucket in np.unique(np.concatenate([p[1] for p in parts])).tolist():
+                    arrays = []
+                    for keys, dealt, n, d in parts:
+                        own = slice(*np.searchsorted(dealt, (bucket, bucket + 1)))
+                        arrays += [_gaps(keys[own]), _small(n[own]), _small(d[own])]
+                    rows.append((bucket, number, _pack(*arrays)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], ["bucket", "slice", "blob"])
 
-        long = np.diff(np.r_[start, len(role)])
-        return [np.repeat(np.add.reduceat(np.where(use, times, 0), start), long) for use in (role < 2, role == 1)]
+    return sliced.select("slice", "blob").mapInArrow(run, "bucket int, slice long, blob binary")
 
-    def counted(rows, row, times, pair, c, n, w):
-        """Kind 1 and 3 of entries; c, n and w are (count, deleted count) of context, bigram and word, ``pair`` the first of each bigram."""
-        import numpy as np
 
-        by_row = np.argsort(row, kind="stable")
-        used, sizes = np.unique(row[by_row], return_counts=True)
-        yield 1, 0, None, None, None, _pack(_delta(rows[used]), sizes.astype("u4"), times[by_row].astype("u4"), *(_small(x[0][by_row]) for x in (c, n, w)))
-        use = pair[n[1][pair] > 0]
-        if len(use):
-            yield 3, 0, None, None, None, _pack(*(_small(x[0][use] - x[1][use]) for x in (c, n, w)), _small(n[1][use]))
+def answer(asked: DataFrame, buckets: int) -> DataFrame:
+    """(slice, bucket, vocabulary, blob): the counts in the corpus, in the order of what was asked; a row without slice has the distinct training words."""
 
-    def one(kind, blobs):
+    def one(bucket, rows):
         import numpy as np
-
-        *_, counts, removed = shared.value
-        size = len(counts)
-        parts = [_unpack(b) for b in blobs]
-        if kind == 2:
-            at = np.concatenate([p[0] for p in parts])
-            found, back = np.unique(at, return_inverse=True)
-            n, d = (np.bincount(back, weights=np.concatenate([p[k] for p in parts])).astype(np.int64) for k in (1, 2))
-            for i, x, y in zip(found.tolist(), n.tolist(), d.tolist()):
-                yield 2, i, None, x, y, None
-            return
-        if kind == 5:
-            more = []
-            for k in (0, 1):
-                more.append(np.concatenate([p[6 + k].astype(np.int64) if len(p) > 6 else (counts, removed)[k][p[3].astype(np.int64)] for p in parts]))
-        rows, a, b, role, row, times, order = joined(parts)
-        del parts
-        word = np.r_[True, a[1:] != a[:-1]]
-        pair = np.flatnonzero(word | np.r_[True, b[1:] != b[:-1]]) if len(b) else np.flatnonzero(word)
-        n = sums(role, times, pair)
-        if kind == 1:
-            yield from counted(rows, row, times, pair, [x[a // size] for x in (counts, removed)], n, [x[a % size] for x in (counts, removed)])
-            return
-        own = sums(role, times, np.flatnonzero(word))
-        if kind == 5:
-            yield from counted(rows, row, times, pair, own, n, [x[order] for x in more])
-            return
-        logs, known = np.bincount(row, weights=times * np.log10(own[0] + 1.0), minlength=len(rows)), np.bincount(row, weights=times * (own[0] > 0), minlength=len(rows)).astype(np.int64)
-        for r, x, y in zip(rows.tolist(), logs.tolist(), known.tolist()):
-            yield 0, r, x, y, None, None
-        hot = b < size
-        if hot.any():
-            first = np.zeros(len(a), bool)
-            first[pair] = True
-            place = b[hot].astype(np.int64)
-            yield from counted(rows, row[hot], times[hot], np.flatnonzero(first[hot]), [x[place] for x in (counts, removed)], [x[hot] for x in n], [x[hot] for x in own])
-        late = np.flatnonzero(~hot)
-        late = late[np.argsort(b[late], kind="stable")]
-        roles = np.zeros(len(rows), np.int64)
-        roles[row] = role
-        for bucket, blob in _blocks(b[late], a[late], row[late], times[late], (rows, roles), _others(buckets), own[0][late], own[1][late]):
-            yield 5, bucket, None, None, None, blob
-
-    def run(batches, again=False):
         import pyarrow as pa
 
-        kinds = (pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.binary())
+        parts, sums, vocabulary = [_unpack(blob) for _, blob in rows], [], 0
+        for k in (0, 3):  # words, then bigrams
+            keys, back = np.unique(np.concatenate([np.cumsum(p[k], dtype=np.uint64) for p in parts]), return_inverse=True)
+            sums += [np.bincount(back, np.concatenate([p[k + i] for p in parts]), len(keys)).astype(np.int64)[back] if len(back) else back for i in (1, 2)]
+            if k == 0:
+                vocabulary = int((np.bincount(back, sums[0]) > 0).sum()) if len(back) else 0
+        out, at = [(None, bucket, vocabulary, None)], [0, 0]
+        for (number, _), p in zip(rows, parts):
+            end = [at[0] + len(p[0]), at[1] + len(p[3])]
+            out.append((number, bucket, 0, _pack(*(_small(x[at[i // 2] : end[i // 2]]) for i, x in enumerate(sums)))))
+            at = end
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["slice", "bucket", "vocabulary", "blob"])
 
-        def made(now, blobs):
-            rows = []
-            for r in one(now[0], blobs):
-                rows.append(r)
-                if len(rows) >= 50_000:
-                    yield rows
+    def run(batches):
+        now, rows = None, []
+        for batch in batches:
+            for bucket, number, blob in zip(*(batch.column(n).to_pylist() for n in ("bucket", "slice", "blob"))):
+                if bucket != now and rows:
+                    yield one(now, rows)
                     rows = []
-            if rows:
-                yield rows
+                now = bucket
+                rows.append((number, blob))
+        if rows:
+            yield one(now, rows)
 
-        def batch(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["kind", "row", "x", "n", "d", "blob"])
+    dealt = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "slice long, bucket int, vocabulary long, blob binary")
+
+
+def counted(sliced: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
+    """kind 0: a slice's documents and codes with the corpus counts of its words and bigrams; kind 1: of its deleted
+    bigrams the counts of context, bigram and word in the rest of the training documents, and their own."""
+
+    def one(blobs):
+        import numpy as np
+
+        own = Slice(blobs[0])
+        (_, first, keys, *_), (order, start, pairs, _, here) = own.distinct()
+        found = [np.concatenate(p).astype(np.int64) for p in zip(*map(_unpack, blobs[1:]))]
+        assert len(found[0]) == len(keys) and len(found[2]) == len(pairs)
+        words = np.zeros((2, len(own.hashes) + 1), np.int64)
+        words[:, np.argsort(own.hashes)] = found[:2]
+        # the start is as frequent as the end, which precedes nothing
+        end = int(own.code[-1])
+        context = words.copy()
+        context[:, -1] = words[:, end]
+        key = own.before[order[start]] * len(own.hashes) + own.code[order[start]]
+        kept = found[2][np.argsort(key)]
+        yield 0, _pack(own.doc_ids, own.valid, own.role, _small(own.lengths), _small(own.code), _small(words[0, :-1]), _small(kept))
+        use = np.flatnonzero(here)
+        if len(use):
+            token = order[start[use]]
+            c, w = (x[0] - x[1] for x in (context[:, own.before[token]], words[:, own.code[token]]))
+            yield 1, _pack(*map(_small, (c, (found[2] - found[3])[use], w, here[use])))
+
+    def run(batches):
+        import pyarrow as pa
+
+        def made(blobs):
+            rows = list(one(blobs))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary()))], ["kind", "blob"])
 
         now, blobs = None, []
-        for part in batches:
-            for kind, bucket, blob in zip(*(part.column(k).to_pylist() for k in range(3))):
-                if kind == 5 and not again:
-                    yield batch([(5, bucket, None, None, None, blob)])
-                    continue
-                if (kind, bucket) != now:
-                    if now is not None:
-                        yield from map(batch, made(now, blobs))
-                    now, blobs = (kind, bucket), []
+        for batch in batches:
+            for number, blob in zip(batch.column("slice").to_pylist(), batch.column("blob").to_pylist()):
+                if number != now and blobs:
+                    yield made(blobs)
+                    blobs = []
+                now = number
                 blobs.append(blob)
-        if now is not None:
-            yield from map(batch, made(now, blobs))
+        if blobs:
+            yield made(blobs)
 
-    schema = "kind int, row long, x double, n long, d long, blob binary"
-    found = settle(dealt.mapInArrow(run, schema), "keys", "kind")
-    late = found.filter("kind = 5").select("kind", F.col("row").cast("int").alias("bucket"), "blob").repartition(_others(buckets), "bucket").sortWithinPartitions("bucket")
-    more = settle(late.mapInArrow(lambda batches: run(batches, True), schema), "late", "kind")
-    return found.filter("kind < 5").unionByName(more)
+    both = sliced.select("slice", F.lit(-1).alias("bucket"), "blob").unionByName(answers.filter("slice is not null").select("slice", "bucket", "blob"))
+    return both.repartition(parts, "slice").sortWithinPartitions("slice", "bucket").mapInArrow(run, "kind int, blob binary")
 
 
 def _bucket(count):
@@ -375,7 +317,7 @@ def estimates(context, n, symbol, total):
     return _bucket(context), np.where(context > 0, n / np.maximum(context, 1), 0.0), symbol / max(total, 1)
 
 
-def learn_weights(deleted: DataFrame, listed: tuple, total: int, symbols: int, model: Model):
+def learn_weights(deleted: DataFrame, total: int, symbols: int, model: Model):
     """EM: the weights (bucket, 3) that make the deleted part's bigrams likeliest; the driver sees sums per bucket."""
     import numpy as np
 
@@ -402,7 +344,7 @@ def learn_weights(deleted: DataFrame, listed: tuple, total: int, symbols: int, m
                     out += expected(now.value, *(x.astype(np.int64) for x in _unpack(blob)))
             yield pa.RecordBatch.from_pylist([{"bucket": b, "e2": float(x[0]), "e1": float(x[1]), "e0": float(x[2])} for b, x in enumerate(out)])
 
-        sums = expected(weights, *listed) if len(listed[0]) else np.zeros((BUCKETS, 3))
+        sums = np.zeros((BUCKETS, 3))
         for r in deleted.mapInArrow(run, "bucket long, e2 double, e1 double, e0 double").groupBy("bucket").agg(F.sum("e2").alias("e2"), F.sum("e1").alias("e1"), F.sum("e0").alias("e0")).collect():
             sums[r["bucket"]] += (r["e2"], r["e1"], r["e0"])
         # one pseudo-count keeps buckets without evidence at the mean of the others, and every weight above 0
@@ -410,14 +352,14 @@ def learn_weights(deleted: DataFrame, listed: tuple, total: int, symbols: int, m
         new = (sums + mean) / (sums.sum(axis=1, keepdims=True) + 1)
         new[0, 0] = 0
         new[0] /= new[0].sum()
-        if np.abs(new - weights).max() < 1e-3:
-            weights = new
+        moved, weights = np.abs(new - weights).max(), new
+        if moved < 1e-3:
             break
-        weights = new
     return weights
 
 
 def mixed(weights, context, n, symbol, total, symbols: int):
+    """log10 of the interpolated probability."""
     import numpy as np
 
     bucket, p2, p1 = estimates(context, n, symbol, total)
@@ -425,105 +367,49 @@ def mixed(weights, context, n, symbol, total, symbols: int):
     return np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / symbols)
 
 
-def log_probability(weights, key, n, counts, total, symbols: int | None = None):
-    """Of bigrams by their key; ``counts`` has an entry per symbol and the start's."""
-    size = len(counts)
-    return mixed(weights, counts[key // size], n, counts[key % size], total, symbols or max(1, size - 1))
+def scored(slices_: DataFrame, weights, total: int, vocabulary: int) -> DataFrame:
+    known = slices_.sparkSession.sparkContext.broadcast(weights)
 
-
-def score(docs: DataFrame, model: Model = Model()) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs(doc_id, text)``."""
-    import numpy as np
-
-    spark = docs.sparkSession
-    rows = _rows(docs, model)
-    counted = settle(count_words(rows, model), "words", "kind")
-    total, deleted = counted.filter("kind = 0").agg(F.sum("n"), F.sum("d")).first()
-    total, deleted = total or 0, deleted or 0
-    vocabulary = counted.filter("kind = 0 and n > 0").count()
-    end = Codes(None)
-    end.encode([END])
-    hot = ((F.col("n") > 0) & (F.col("n") * F.lit(model.words) >= F.lit(total))) | (F.col("a") == int(end.hashes.view(np.int64)[0]))
-    heavy_rows = counted.filter((F.col("kind") == 0) & hot).select("a", "n", "d").collect()
-    heavy = np.array([r["a"] for r in heavy_rows], np.int64).view(np.uint64)
-    order = np.argsort(heavy)
-    heavy, n, d = heavy[order], np.array([r["n"] for r in heavy_rows], np.int64)[order], np.array([r["d"] for r in heavy_rows], np.int64)[order]
-    size = len(heavy) + 2
-    # a row's start has the count of its end; the entry before it stands for the words that are not hot
-    ends = heavy == end.hashes[0]
-    counts, removed = np.r_[n, 0, n[ends].sum()], np.r_[d, 0, d[ends].sum()]
-    pairs = counted.filter((F.col("kind") == 1) & (F.col("n") * F.lit(model.listed) >= F.lit(total))).select("a", "b").collect()
-    a, b = (np.array([r[c] for r in pairs], np.int64).view(np.uint64) for c in ("a", "b"))
-    good = np.isin(a, heavy) & np.isin(b, heavy)
-    top, start = np.argsort(-n, kind="stable")[: model.special], len(heavy) + 1
-    listed = np.unique(np.r_[np.searchsorted(heavy, a[good]) * size + np.searchsorted(heavy, b[good]), start * size + top]).astype(np.int64)
-    shared = spark.sparkContext.broadcast((heavy, listed, counts, removed))
-    buckets = max(32, math.ceil(total / model.key_tokens))
-    found = count_keys(deal(rows, shared, model, buckets), shared, buckets)
-    list_n, list_d = np.zeros(len(listed), np.int64), np.zeros(len(listed), np.int64)
-    for r in found.filter("kind = 2").select("row", "n", "d").collect():
-        list_n[r["row"]], list_d[r["row"]] = r["n"], r["d"]
-    use, kept = list_d > 0, counts - removed
-    listed_counts = kept[listed[use] // size], (list_n - list_d)[use], kept[listed[use] % size], list_d[use]
-    weights = learn_weights(found.filter("kind = 3").select("blob"), listed_counts, total - deleted, vocabulary + 1, model)
-    base_size = math.log10(total + vocabulary + 1)
-    listed_logs = log_probability(weights, listed, list_n, counts, total, vocabulary + 1) if len(listed) else np.empty(0)
-    known = spark.sparkContext.broadcast((heavy, listed, listed_logs, np.log10(n + 1.0), n > 0, weights))
-
-    def near(batches):
+    def one(blob):
+        import numpy as np
         import pyarrow as pa
 
-        heavy, listed, logs, words_logs, seen, _ = known.value
-        codes, size, ends = Codes(heavy), len(heavy) + 2, np.r_[words_logs, 0.0]
-        for columns, words, row, lengths in slices(batches):
-            ids = codes.encode(words)
-            symbol = codes.symbols[ids]
-            before = np.r_[len(heavy) + 1, symbol[:-1]]
-            before[np.r_[True, row[1:] != row[:-1]]] = len(heavy) + 1
-            key = before * size + symbol
-            at = np.minimum(np.searchsorted(listed, key), max(0, len(listed) - 1))
-            lm = np.where(listed[at] == key, logs[at], 0.0) if len(listed) else np.zeros(len(key))
-            own = np.bincount(row, weights=np.r_[seen, False][symbol], minlength=len(lengths))
-            base = np.bincount(row, weights=ends[symbol], minlength=len(lengths))
-            scores = np.bincount(row, weights=lm, minlength=len(lengths))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns["row"]), pa.array(columns["doc_id"], pa.int64(), from_pandas=True), pa.array(columns["role"] == 2), pa.array(lengths.astype(np.int64)), pa.array(own.astype(np.int64)), pa.array(base), pa.array(scores)],
-                ["row", "doc_id", "held_out", "n_tokens", "n_own", "base", "lm"],
-            )
-
-    def far(batches):
-        import pyarrow as pa
+        doc_ids, valid, role, lengths, code, words, pairs = _unpack(blob)
+        code, words, size = code.astype(np.int64), words.astype(np.int64), len(words)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        before = np.r_[0, code[:-1]]
+        before[np.r_[True, row[1:] != row[:-1]]] = size
+        key, back = np.unique(before * size + code, return_inverse=True)
+        context = np.r_[words, words[code[-1]]]
+        logs = mixed(known.value, context[key // size], pairs.astype(np.int64), words[key % size], total, vocabulary + 1)
+        of_rows = lambda x: np.bincount(row, weights=x, minlength=len(lengths))
+        lengths = lengths.astype(np.int64)
+        columns = {
+            "doc_id": pa.array(doc_ids, mask=valid == 0),
+            "held_out": pa.array(role == 2),
+            "n_tokens": pa.array(lengths),
+            "n_known": pa.array(of_rows(words[code] > 0).astype(np.int64)),
+            "train_tokens": pa.array(np.full(len(lengths), total, np.int64)),
+            "base_score": pa.array(of_rows(np.log10(words + 1.0)[code]) - lengths * math.log10(total + vocabulary + 1)),
+            "score": pa.array(of_rows(logs[back])),
+        }
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-        *_, weights = known.value
+    def run(batches):
         for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                row, sizes, times, *counts = _unpack(blob)
-                logs = np.concatenate([mixed(weights, *(c[k : k + 500_000].astype(np.int64) for c in counts), total, vocabulary + 1) for k in range(0, len(times), 500_000)])
-                sums = np.bincount(np.repeat(np.arange(len(row)), sizes), weights=logs * times, minlength=len(row))
-                yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(row)), pa.array(sums)], ["row", "lm"])
-
-    local = settle(_with_id(docs).mapInArrow(near, "row long, doc_id long, held_out boolean, n_tokens long, n_own long, base double, lm double"), "near")
-    bigrams = found.filter("kind = 1").select("blob").mapInArrow(far, "row long, lm double").select("row", F.lit(0.0).alias("x"), F.lit(0).cast("long").alias("n"), "lm")
-    words = found.filter("kind = 0").select("row", "x", "n", F.lit(0.0).alias("lm"))
-    tail = words.unionByName(bigrams).groupBy("row").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("lm").alias("more"))
-    copies = local.groupBy("row").agg(F.count("*").alias("copies"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("copies")
-    whole = local.join(copies.join(tail, "row", "left"), "row")
-    return whole.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_own") + F.round(zero("n")).cast("long")).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("x") - F.col("n_tokens") * F.lit(base_size)).alias("base_score"),
-        (F.col("lm") + zero("more")).alias("score"),
-    )
-
-
-def _with_id(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text").alias("row"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.when(crc_mod("doc_id", 7) == 2, 2).otherwise(0).cast("int").alias("role"),
-        F.col("text").cast("binary").alias("text"),
-    )
+            yield from map(one, batch.column("blob").to_pylist())
+
+    return slices_.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def score(docs: DataFrame, model: Model = Model()) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs(doc_id, text)``."""
+    sliced = settle(slices(docs, model), "slices")
+    parts, tokens, total, deleted = sliced.agg(F.count("*"), F.sum("tokens"), F.sum("n"), F.sum("d")).first()
+    total, deleted = total or 0, deleted or 0
+    buckets = max(32, math.ceil((tokens or 0) / model.key_tokens))
+    answers = settle(answer(ask(sliced, buckets), buckets), "answers")
+    vocabulary = answers.agg(F.sum("vocabulary")).first()[0] or 0
+    found = settle(counted(sliced, answers, max(1, parts)), "counted", "kind")
+    weights = learn_weights(found.filter("kind = 1").select("blob"), total - deleted, vocabulary + 1, model)
+    return scored(found.filter("kind = 0").select("blob"), weights, total, vocabulary)

@@ -55,8 +55,7 @@ def low(text):
 
 
 def test_language_model_base_and_split_invariance(docs, empty):
-    small = dict(words=40, listed=20, special=3)
-    a = interpolation.score(docs, interpolation.Model(key_tokens=500, **small)).collect()
+    a = interpolation.score(docs, interpolation.Model(key_tokens=500, slice_tokens=700)).collect()
     rows = corpus()
     assert len(a) == len(rows)
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows}
@@ -68,7 +67,7 @@ def test_language_model_base_and_split_invariance(docs, empty):
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(own), sum(counts[w] > 0 for w in own), total, out[r.doc_id])
         assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (total + vocabulary + 1)) for w in own), rel_tol=1e-9)
         assert r.score < 0
-    b = {r.doc_id: r.score for r in interpolation.score(docs.repartition(1), interpolation.Model(key_tokens=10**6, **small)).collect()}
+    b = {r.doc_id: r.score for r in interpolation.score(docs.repartition(1), interpolation.Model(key_tokens=10**6)).collect()}
     assert all(math.isclose(r.score, b[r.doc_id], rel_tol=1e-9) for r in a)
     assert interpolation.score(empty).count() == 0
 
@@ -116,7 +115,7 @@ def brute_interpolation(rows, deleted=8, rounds=12):
 def test_language_model_counts_the_bigrams_of_rare_words(docs):
     rows = corpus()
     wanted = brute_interpolation(rows)
-    for size in (dict(words=4, listed=2, special=1, key_tokens=500), dict(words=40, listed=20, special=3), dict()):
+    for size in (dict(key_tokens=50, slice_tokens=1), dict(key_tokens=500, slice_tokens=2000), dict()):
         found = interpolation.score(docs, interpolation.Model(**size)).collect()
         assert len(found) == len(rows)
         assert all(math.isclose(r.score, wanted[r.doc_id], rel_tol=1e-9) for r in found)
@@ -124,16 +123,19 @@ def test_language_model_counts_the_bigrams_of_rare_words(docs):
 
 def test_language_model_is_normalised():
     rnd = np.random.default_rng(0)
-    counts = np.r_[rnd.integers(1, 50, 6), 9, 11]
-    pair = np.array([[rnd.integers(0, 4) for _ in range(7)] for _ in range(8)])
-    counts[:7] = pair.sum(axis=1)[:7]
-    counts[7] = pair[7].sum()
+    pair = rnd.integers(0, 4, (8, 7))  # of seven symbols after each of them and the start; the last symbol is never seen
+    pair[:, 6] = 0
+    symbol, context = pair.sum(axis=0), pair.sum(axis=1)
     weights = np.full((interpolation.BUCKETS, 3), [0.5, 0.3, 0.2])
-    total = counts[:7].sum()
-    for context in range(8):
-        key = context * 8 + np.arange(7)
-        p = 10 ** interpolation.log_probability(weights, key, pair[context], counts, total)
-        assert math.isclose(p.sum(), 1.0, rel_tol=1e-9) or counts[context] == 0
+    for k in np.flatnonzero(context):
+        p = 10 ** interpolation.mixed(weights, np.full(7, context[k]), pair[k], symbol, symbol.sum(), 7)
+        assert math.isclose(p.sum(), 1.0, rel_tol=1e-9)
+
+
+def test_long_texts_are_split_between_words(monkeypatch):
+    monkeypatch.setattr(interpolation, "PIECE_BYTES", 10)
+    for text in (b"", b" ", b"a b", b"Aa bb  cc\tdd\nee ff\x0bgg", b"x" * 35 + b" yy " + b"z" * 12, b"0123456789", b"012345678 9"):
+        assert [w for part in interpolation.pieces(text) for w in part] == low(text.decode())
 
 
 # 2

@@ -1,19 +1,27 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document's set holds its distinct 5-word shingles (the whole word sequence when it is shorter). Equal sets
-are one representative. Every representative walks ``trees`` independent trees: at a node each of its
-``minwise`` tokens is chosen with probability 1 / (similarity * minwise), and the document goes down to the
-child named by that token. Documents of a small node are compared exhaustively; a large node is branched
-again, and one that stays large down to ``max_depth`` is taken whole as a candidate cluster. Candidate pairs
-only form clusters; within a cluster every pair's full sets are intersected exactly, block by block.
+are one representative. Every representative walks independent trees: at a node each of its ``minwise``
+tokens is chosen with probability 1 / (similarity * minwise), and the document goes down to the child named
+by that token. Documents of a small node are compared exhaustively. Those of a large node are compared to its
+first document; where that does not join the whole node in one cluster, the node is branched again, and one
+that stays large down to ``max_depth`` is taken whole as a candidate cluster. There are so many trees that a
+pair just at the similarity is met with ``recall`` even if its nodes stay large to the last level; pairs that
+part earlier, or are more similar, are met with more.
+
+Candidate pairs only form clusters. Full sets are then intersected exactly: each document of a cluster with
+the cluster's first and with those of its block, then all that are not yet linked to the first with the whole
+cluster, block by block. So a group of near copies takes work in proportion to its size, and no link between
+different groups is lost.
 
 No texts or words: linked with nothing, component_id is the doc_id itself. Null doc_id: returned with null
-component_id and kept null, never linked. Repeated rows of one doc_id: a row each; the sets of all of them
-count. Extra columns are ignored, an empty table gives no rows.
+component_id and kept null, never linked. Repeated rows of one doc_id: a row each, all of one component; the
+sets of all of them count. Extra columns are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -30,13 +38,21 @@ class Join:
     percent: int = 85
     words: int = 5
     minwise: int = 64
-    trees: int = 16
+    recall: float = 0.95
     depth: int = 3
     max_depth: int = 10
     small_node: int = 256
     block: int = 512
     seed: int = 20_240_601
 
+    @property
+    def trees(self) -> int:
+        """A pair at the similarity shares a chosen token with 1 / minwise, so a node has one shared child on average."""
+        met = 1.0
+        for _ in range(self.max_depth):
+            met = 1 - (1 - met / self.minwise) ** self.minwise
+        return math.ceil(math.log(1 - self.recall) / math.log(1 - met))
+
 
 _word_hashes: dict[bytes, int] = {}
 
@@ -127,7 +143,7 @@ def children(nodes, sigs, join: Join):
 
 
 def branch(rows: DataFrame, join: Join, levels: int, roots: bool) -> DataFrame:
-    """Walk down ``levels``: ``rows`` has id, sig and, unless ``roots``, node; returns node, id."""
+    """Walk down ``levels``: ``rows`` has id, sig and, unless ``roots``, node and group; returns node, id and group."""
 
     def walk(batches):
         import numpy as np
@@ -139,6 +155,7 @@ def branch(rows: DataFrame, join: Join, levels: int, roots: bool) -> DataFrame:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 ids = batch.column("id").to_numpy(zero_copy_only=False)
+                groups = ids if roots else batch.column("group").to_numpy(zero_copy_only=False)
                 sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1).astype(np.uint64)
                 if roots:
                     nodes, own = np.tile(tops, len(ids)), np.repeat(np.arange(len(ids)), join.trees)
@@ -147,9 +164,9 @@ def branch(rows: DataFrame, join: Join, levels: int, roots: bool) -> DataFrame:
                 for _ in range(levels):
                     at_, nodes = children(nodes, sigs[own], join)
                     own = own[at_]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(ids[own])], ["node", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(ids[own]), pa.array(groups[own])], ["node", "id", "group"])
 
-    return rows.mapInArrow(walk, "node long, id long")
+    return rows.mapInArrow(walk, "node long, id long, group long")
 
 
 def _link_schema():
@@ -177,14 +194,18 @@ def _forest(ids, linked):
     return out
 
 
+def _least(join: Join) -> float:
+    """Signatures are close when their share of equal tokens is within four standard errors of the similarity."""
+    share = join.percent / 100
+    return share - 4 * (share * (1 - share) / join.minwise) ** 0.5
+
+
 def small_nodes(rows: DataFrame, join: Join) -> DataFrame:
     """Candidate links of nodes of at most ``small_node`` documents, compared exhaustively by their signatures.
 
-    Pairs are taken when the share of equal tokens is within four standard errors of the similarity; of each
-    node's candidates a spanning forest is enough, since clusters are compared again in full.
+    Of each node's candidates a spanning forest is enough, since clusters are compared again in full.
     """
-    share = join.percent / 100
-    least = share - 4 * (share * (1 - share) / join.minwise) ** 0.5
+    least = _least(join)
 
     def compare(ids, nodes, sigs):
         import numpy as np
@@ -227,47 +248,72 @@ def small_nodes(rows: DataFrame, join: Join) -> DataFrame:
     return rows.select("node", "id", "sig").repartition("node").sortWithinPartitions("node").mapInArrow(runs, "a long, b long")
 
 
-def candidate_links(reps: DataFrame, join: Join) -> DataFrame:
-    """Links whose components hold every pair that the trees bring together. ``reps`` has id and sig."""
-    found, depth, roots, rows = [], join.depth, True, reps
-    while True:
-        nodes = settle(branch(rows, join, join.depth if roots else 1, roots), "nodes")
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("low")).filter("n > 1")
-        live = settle(nodes.join(sizes, "node").join(reps, "id"), "live")
-        found.append(small_nodes(live.filter(F.col("n") <= join.small_node), join))
-        large = live.filter(F.col("n") > join.small_node)
-        if depth >= join.max_depth:
-            found.append(large.select(F.col("id").alias("a"), F.col("low").alias("b")))
-            break
-        if large.isEmpty():
+def pivot_links(rows: DataFrame, join: Join) -> DataFrame:
+    """Candidate links of large nodes' documents to the node's first one; ``rows`` has node, id, sig and low."""
+    least = _least(join)
+
+    def compare(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            sigs, first = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for n in ("sig", "first"))
+            close = (sigs == first).mean(axis=1) >= least if batch.num_rows else np.empty(0, bool)
+            yield batch.select(["id", "low"]).rename_columns(["a", "b"]).filter(pa.array(close))
+
+    first = rows.filter("id = low").select("node", F.col("sig").alias("first"))
+    return rows.join(first, "node").select("id", "low", "sig", "first").mapInArrow(compare, "a long, b long")
+
+
+def candidate_clusters(reps: DataFrame, join: Join) -> DataFrame:
+    """(id, component): clusters that hold every pair that the trees bring together. ``reps`` has id and sig."""
+
+    def live(nodes: DataFrame) -> DataFrame:
+        sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.min("group").alias("g"), F.max("group").alias("h"))
+        return settle(nodes.join(sizes.filter("g < h").select("node", "n", "low"), "node").join(reps, "id"), "live")
+
+    small, large = F.col("n") <= join.small_node, F.col("n") > join.small_node
+    rows = live(settle(branch(reps, join, join.depth, True), "nodes"))
+    clusters = settle(components(small_nodes(rows.filter(small), join).unionByName(pivot_links(rows.filter(large), join))), "clusters")
+    groups = clusters.withColumnRenamed("component", "of")
+    # within a cluster all is compared anyway, so only nodes of several clusters go on
+    rows = rows.filter(large).join(groups, "id", "left").select("id", "sig", "node", F.coalesce("of", "id").alias("group"))
+    more = []
+    for depth in range(join.depth, join.max_depth):
+        if rows.isEmpty():
             break
-        rows, roots, depth = large.select("id", "sig", "node"), False, depth + 1
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
-    return links
+        rows = live(settle(branch(rows, join, 1, False), "nodes"))
+        more.append(small_nodes(rows.filter(small), join))
+        rows = rows.filter(large)
+        if depth + 1 == join.max_depth:
+            more.append(rows.select(F.col("id").alias("a"), F.col("low").alias("b")))
+    links = clusters.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    for found in more:
+        links = links.unionByName(found)
+    return settle(components(links), "clusters") if more else clusters
 
 
 def exact_links(docs: DataFrame, clusters: DataFrame, join: Join) -> DataFrame:
-    """(a, b) for each document of a cluster and the smallest it reaches within a pair of blocks.
+    """(a, b) of ``clusters(id, component)``: links by full sets, enough of them to give the same components as all.
 
-    ``clusters(id, component)``. A cluster is cut into blocks of about ``block`` documents; each pair of
-    blocks is compared in a task of its own, so no cluster meets in one task however large it is.
+    A cluster is cut into blocks of about ``block`` documents. Each block is compared in itself and with the
+    cluster's first document. Those not linked to the first, directly or over others, are cut into blocks of
+    their own, and each is compared with every block of the cluster, each pair of blocks in a task of its own.
     """
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
-    cut = clusters.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / join.block).cast("int"))
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
 
-    def sets(batches):
-        import pyarrow as pa
+    def with_sets(named: DataFrame) -> DataFrame:
+        """The sets of ``named(id, component, ...)``, each text of an id once."""
 
-        for batch in batches:
-            found = [shingles(t, join.words).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("id", "component", "blocks", "block")] + [pa.array(found, pa.binary())], ["id", "component", "blocks", "block", "set"])
+        def sets(batches):
+            import pyarrow as pa
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-    named = texts.join(cut.select("id", "component", "blocks", "block"), "id").mapInArrow(sets, "id long, component long, blocks int, block int, set binary")
-    pairs = named.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "set")
+            for batch in batches:
+                found = [shingles(t, join.words).tobytes() for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in batch.schema.names if n != "text"), pa.array(found, pa.binary())], [*(n for n in batch.schema.names if n != "text"), "set"])
+
+        whole = texts.join(named, "id").dropDuplicates()
+        return whole.select(*named.columns, "text").mapInArrow(sets, ", ".join(f"{n} {t}" for n, t in named.dtypes) + ", set binary")
 
     def compare(key, group):
         import numpy as np
@@ -294,7 +340,24 @@ def exact_links(docs: DataFrame, clusters: DataFrame, join: Join) -> DataFrame:
         linked = _forest(ids, 100 * inter >= join.percent * union)
         return pa.table({"a": [a for a, _ in linked], "b": [b for _, b in linked]}, schema=_link_schema())
 
-    return pairs.groupBy("component", "i", "j").applyInArrow(compare, "a long, b long")
+    def blocks_of(rows: DataFrame, count: str, at: str) -> DataFrame:
+        sizes = rows.groupBy("component").agg(F.ceil(F.count("*") / join.block).cast("int").alias(count))
+        return rows.join(sizes, "component").withColumn(at, F.pmod(F.xxhash64("id"), F.col(count)).cast("int"))
+
+    every = lambda count: F.sequence(F.lit(0), F.col(count) - 1)
+    cut = settle(blocks_of(clusters, "blocks", "block"), "blocks")
+    once = with_sets(cut).withColumn("block", F.explode(F.when(F.col("id") == F.col("component"), every("blocks")).otherwise(F.array("block"))))
+    near = settle(components(once.groupBy("component", "block").applyInArrow(compare, "a long, b long")), "near")
+    links = near.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    # a cluster's first document has its smallest id, so what is linked to it has that component
+    apart = cut.filter("blocks > 1").join(near.withColumnRenamed("component", "of"), "id", "left").filter(F.coalesce("of", "id") != F.col("component")).drop("of")
+    apart = settle(blocks_of(apart, "others", "other"), "apart")
+    if apart.isEmpty():
+        return links
+    others = apart.select("component", "others").distinct()
+    left = with_sets(apart).withColumn("block", F.explode(every("blocks"))).select("component", "other", "block", "id", "set")
+    right = with_sets(cut.join(others, "component")).withColumn("other", F.explode(every("others"))).select("component", "other", "block", "id", "set")
+    return links.unionByName(left.unionByName(right).groupBy("component", "other", "block").applyInArrow(compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
@@ -303,8 +366,10 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
     known = sketched.filter("n_shingles > 0 and doc_id is not null")
     prints = known.groupBy("p1", "p2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     reps = settle(known.join(prints.select(F.col("rep").alias("doc_id"), "p1", "p2"), ["doc_id", "p1", "p2"], "left_semi").select(F.col("doc_id").alias("id"), "sig").distinct(), "reps")
-    clusters = settle(components(candidate_links(reps, join)), "clusters")
-    linked = settle(components(exact_links(docs, clusters, join)), "linked")
+    # the texts of one doc_id are one document: it links the groups that they fall in
+    repeated = known.groupBy("doc_id").agg(F.min("p1").alias("x"), F.max("p1").alias("y")).filter("x < y").select("doc_id")
+    same = known.join(repeated, "doc_id", "left_semi").join(prints, ["p1", "p2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    linked = settle(components(exact_links(docs, candidate_clusters(reps, join), join).unionByName(same)), "linked")
     rep_of = prints.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("p1", "p2", F.coalesce("component", "rep").alias("component_id"))
     out = sketched.join(rep_of, ["p1", "p2"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -214,6 +214,26 @@ def test_near_duplicates(docs, empty, join):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_texts_of_one_id_link_their_groups(spark):
+    rnd = random.Random(3)
+    a, b, c, base = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(400)) for _ in range(4))
+    rows = [(3, a, "en"), (5, a, "en"), (5, b, "en"), (7, b, "en"), (8, c, "en"), (9, b, "en"), (9, c, "en"), (9, c, "en")]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == sorted((i, 3) for i, *_ in rows)
+    # a large group of near copies, with a chain that leaves it and documents that share half of it
+    words = base.split()
+    rows = []
+    for k in range(1200):
+        near = list(words)
+        for at in rnd.sample(range(400), 2):
+            near[at] = f"n{k}x{at}"
+        rows.append((100 + k, " ".join(near), "en"))
+    rows += [(5000 + k, " ".join([*words[13 * (k + 1) :], *(f"c{j}" for j in range(13 * (k + 1)))]), "en") for k in range(4)]
+    rows += [(6000 + k, " ".join([*words[:200], *(f"h{k}x{j}" for j in range(200))]), "en") for k in range(300)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {got[i] for i in got if i < 6000} == {100} and all(got[i] == i for i in got if i >= 6000)
+
+
 def test_components(spark):
     rnd = random.Random(4)
     links = [(k, k + 1) for k in range(50, 90)] + [(rnd.randrange(40), rnd.randrange(40)) for _ in range(25)] + [(7, 7), (51, 50), (51, 50)]

@@ -143,7 +143,7 @@ def children(nodes, sigs, join: Join):
 
 
 def branch(rows: DataFrame, join: Join, levels: int, roots: bool) -> DataFrame:
-    """Walk down ``levels``: ``rows`` has id, sig and, unless ``roots``, node and group; returns node, id and group."""
+    """Walk down ``levels``: ``rows`` has id, sig and, unless ``roots``, node and group; returns node, id and, unless ``roots``, group."""
 
     def walk(batches):
         import numpy as np
@@ -155,7 +155,6 @@ def branch(rows: DataFrame, join: Join, levels: int, roots: bool) -> DataFrame:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 ids = batch.column("id").to_numpy(zero_copy_only=False)
-                groups = ids if roots else batch.column("group").to_numpy(zero_copy_only=False)
                 sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1).astype(np.uint64)
                 if roots:
                     nodes, own = np.tile(tops, len(ids)), np.repeat(np.arange(len(ids)), join.trees)
@@ -164,9 +163,12 @@ def branch(rows: DataFrame, join: Join, levels: int, roots: bool) -> DataFrame:
                 for _ in range(levels):
                     at_, nodes = children(nodes, sigs[own], join)
                     own = own[at_]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(ids[own]), pa.array(groups[own])], ["node", "id", "group"])
+                out = [pa.array(nodes.view(np.int64)), pa.array(ids[own])]
+                if not roots:
+                    out.append(batch.column("group").take(pa.array(own)))
+                yield pa.RecordBatch.from_arrays(out, ["node", "id", "group"][: len(out)])
 
-    return rows.mapInArrow(walk, "node long, id long, group long")
+    return rows.mapInArrow(walk, "node long, id long" + ("" if roots else ", group long"))
 
 
 def _link_schema():
@@ -273,7 +275,7 @@ def candidate_clusters(reps: DataFrame, join: Join) -> DataFrame:
         return settle(nodes.join(sizes.filter("g < h").select("node", "n", "low"), "node").join(reps, "id"), "live")
 
     small, large = F.col("n") <= join.small_node, F.col("n") > join.small_node
-    rows = live(settle(branch(reps, join, join.depth, True), "nodes"))
+    rows = live(settle(branch(reps, join, join.depth, True), "nodes").withColumn("group", F.col("id")))
     clusters = settle(components(small_nodes(rows.filter(small), join).unionByName(pivot_links(rows.filter(large), join))), "clusters")
     groups = clusters.withColumnRenamed("component", "of")
     # within a cluster all is compared anyway, so only nodes of several clusters go on
@@ -301,9 +303,10 @@ def exact_links(docs: DataFrame, clusters: DataFrame, join: Join) -> DataFrame:
     their own, and each is compared with every block of the cluster, each pair of blocks in a task of its own.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+    texts = settle(texts.join(clusters.select("id"), "id").dropDuplicates(), "texts")
 
     def with_sets(named: DataFrame) -> DataFrame:
-        """The sets of ``named(id, component, ...)``, each text of an id once."""
+        """Adds the sets of ``named(id, component, ...)``."""
 
         def sets(batches):
             import pyarrow as pa
@@ -312,8 +315,7 @@ def exact_links(docs: DataFrame, clusters: DataFrame, join: Join) -> DataFrame:
                 found = [shingles(t, join.words).tobytes() for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in batch.schema.names if n != "text"), pa.array(found, pa.binary())], [*(n for n in batch.schema.names if n != "text"), "set"])
 
-        whole = texts.join(named, "id").dropDuplicates()
-        return whole.select(*named.columns, "text").mapInArrow(sets, ", ".join(f"{n} {t}" for n, t in named.dtypes) + ", set binary")
+        return texts.join(named, "id").select(*named.columns, "text").mapInArrow(sets, ", ".join(f"{n} {t}" for n, t in named.dtypes) + ", set binary")
 
     def compare(key, group):
         import numpy as np

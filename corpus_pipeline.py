@@ -27,8 +27,8 @@ def secret_scan(spark, docs, sf_dir):
 
 
 def best_fit_packing(spark, docs, sf_dir):
-    """Pieces with their place in sequences."""
-    return packing.pack(docs)
+    """Pieces with their ids and their place in sequences."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES = [

@@ -2,11 +2,11 @@
 
 Shard file, all integers little-endian:
   magic ``BPZ1`` | payload: for each block its planes one after another, each zstandard or nothing when all
-  bits are 0 | footer (zstandard JSON-free arrays) | footer length u64 | magic ``BPZ1``.
+  bits are 0 | footer (arrays, zstandard) | footer length u64 | magic ``BPZ1``.
 Footer arrays: block table u64[n_blocks, 3] (offset, ids, n_planes), plane lengths u32[sum n_planes],
 document ids i64[n_docs], validity u8[n_docs], document lengths u64[n_docs].
 
-Rows keep ascending doc_id order (nulls first); equal doc_ids stay next to each other in no fixed order.
+Rows keep ascending doc_id order (nulls first), those of equal doc_ids the order of their texts' bytes (null first).
 Null or empty texts give the end id alone. Extra columns are ignored; an empty table gives no file.
 """
 
@@ -193,7 +193,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str | None = None, end_id: int =
             writer.close()
             yield pa.RecordBatch.from_pylist([{"shard": context.partitionId(), "path": path, "n_docs": len(writer.doc_ids), "n_ids": writer.n_ids}])
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     return settle(ordered.mapInArrow(write, "shard long, path string, n_docs long, n_ids long"), "manifest")
 
 

@@ -7,9 +7,12 @@ The CGK embedding walks along a sequence: each step copies the current word and
 bit of step and word, so sequences at a small edit distance get embeddings at a small Hamming distance. A
 repetition samples ``samples`` places of the embedding; windows of documents and items that agree there are
 candidates. Items are taken in classes that double in length; a class of shortest length m has windows of
-about 3/4 m words, every one of an item and every s-th of a document, with s so small that each unedited
-occurrence holds an aligned window. Repetitions follow from the target recall. Every candidate is verified
-by the exact edit distance of the whole item to the document around the match.
+about 3/4 m words, of ``window`` words at most, since a long window holds too many edits to agree. Every
+window of an item is kept, and one in s of a document, with s so small that each unedited occurrence holds an
+aligned window, and ``stride`` at most, so that long items have several. Repetitions follow from the target
+recall, which is held at ``edit_share`` for every length of item (measured with edits of all kinds at random
+places: 0.95 or more of items of 5 to 250 words). Every candidate is verified by the exact edit distance of
+the whole item to the document around the match.
 
 Null or empty texts and items, and items of fewer than ``min_words`` words, match nothing. Repeated rows are
 searched one by one; null ids are kept as null. Extra columns are passed through by ``clean``. The items are
@@ -32,6 +35,8 @@ class Search:
     samples: int = 4
     recall: float = 0.95
     agreement: float = 0.7
+    window: int = 12
+    stride: int = 6
     min_words: int = 5
     block_chars: int = 16_000_000
     seed: int = 7
@@ -97,9 +102,9 @@ class Index:
         draw = np.random.default_rng(search.seed)
         while by_length:
             least = len(self.items[by_length[0]][1])
-            members = [k for k in by_length if len(self.items[k][1]) < 2 * least]
+            members = [k for k in by_length if len(self.items[k][1]) < 2 * least or least >= 2 * search.window]
             by_length = by_length[len(members) :]
-            width = max(1, 3 * least // 4)
+            width = max(1, min(3 * least // 4, search.window))
             text = np.concatenate([self.items[k][1] for k in members])
             starts, owner, offset, at = [], [], [], 0
             for k in members:
@@ -116,7 +121,7 @@ class Index:
                 _, keys = walk(text, starts, width, odd, places, None)
                 order = np.argsort(keys[-1], kind="stable")
                 repetitions.append((odd, places, [np.unique(k) for k in keys[:-1]], keys[-1][order], order))
-            self.classes.append((width, least - width + 1, np.array(owner), np.array(offset), repetitions))
+            self.classes.append((width, min(least - width + 1, search.stride), np.array(owner), np.array(offset), repetitions))
 
     def matches(self, texts: list[bytes | None]) -> list[tuple[int, int | None, int, int]]:
         """(index of the text, item_id, distance, first word): the closest match of each text and item."""

@@ -379,5 +379,5 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
 
 def keep_first(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """The rows of ``docs`` without those that have a smaller doc_id in their component; null doc_ids stay."""
-    gone = near_duplicates(docs, join).filter("not kept").select("doc_id").distinct()
+    gone = settle(near_duplicates(docs, join).filter("not kept").select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -441,6 +441,22 @@ def test_decontamination(spark, empty):
     assert decontaminate.find(empty, bench).count() == 0
 
 
+@pytest.mark.parametrize("length", [5, 14, 27, 28, 60, 200])
+def test_items_are_found_at_the_full_edit_share(length):
+    rnd, search = random.Random(length), decontaminate.Search()
+    fresh = lambda: f"w{rnd.randrange(10**7)}"
+    items = [[fresh() for _ in range(length)] for _ in range(120)]
+    texts = []
+    for item in items:
+        leak = list(item)
+        for _ in range(int(search.edit_share * length)):
+            at = rnd.randrange(len(leak))
+            leak[at : at + 1] = rnd.choice([[], [fresh()], [leak[at], fresh()]])
+        texts.append(" ".join([*(fresh() for _ in range(rnd.randint(0, 60))), *leak, *(fresh() for _ in range(40))]).encode())
+    found = {(t, i) for t, i, *_ in decontaminate.Index([(k, " ".join(item).encode()) for k, item in enumerate(items)], search).matches(texts)}
+    assert {i == t for t, i in found} == {True} and len(found) >= 0.9 * len(items)
+
+
 # 9
 
 

@@ -15,7 +15,7 @@ def test_pipeline(spark, sf_dir):
     labels, bench = spark.read.parquet(f"{sf_dir}/labels.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     kept = docs.join(quality.judged(docs, labels).filter("kept").select("doc_id"), "doc_id")
     rows = [(r.doc_id, r.text, r.lang) for r in kept.collect()]
-    roots = set(brute_components(rows).values())
+    roots = set(brute_components(rows, 80).values())
     index = decontaminate.Index([(r.item_id, r.text.encode()) for r in bench.collect()], decontaminate.Search())
     left = [(i, t) for i, t, _ in rows if i in roots]
     leaks = {left[k][0] for k, *_ in index.matches([t.encode() for _, t in left])}

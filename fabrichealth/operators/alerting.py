@@ -12,9 +12,9 @@ c = F.col
 
 #: Name, series condition, hold time in seconds, severity.
 RULES = (
-    ("NodeDegraded", "state_code = 1", 30, "warning"), ("NodeCritical", "state_code = 2", 15, "critical"), ("LinkDown", "link_downed > 0", 0, "critical"),
-    ("LinkErrors", "symbol_errors + rcv_errors > 10", 15, "warning"), ("CqLatency", "cq_latency_max > 1000000", 15, "warning"),
-    ("LinkRecovery", "link_recovery > 0", 0, "critical"), ("Congestion", "xmit_wait > 0", 30, "warning"),
+    ("NodeDegraded", "state_code = 1", 30, "DEGRADED"), ("NodeCritical", "state_code = 2", 15, "CRITICAL"), ("LinkDowned", "link_downed > 0", 0, "CRITICAL"),
+    ("HighErrorRate", "symbol_errors + rcv_errors > 10", 15, "DEGRADED"), ("CqStalls", "cq_latency_max > 1000000", 15, "DEGRADED"),
+    ("LinkRecovery", "link_recovery > 0", 0, "DEGRADED"), ("Congestion", "xmit_wait > 0", 30, "DEGRADED"),
 )
 
 

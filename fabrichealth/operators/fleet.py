@@ -41,9 +41,10 @@ def timeline(history: DataFrame) -> DataFrame:
     return islands.groupBy("node_id", "stretch", "state").agg(F.min("window_seq").alias("first_window"), F.max("window_seq").alias("last_window"), F.count("*").alias("windows"))
 
 
-def recent_alerts(alerts: DataFrame, now: int, span: int, keys: list[str]) -> DataFrame:
-    """Alerts of the last ``span`` windows by keys; without keys one row, 0 when there is none."""
-    return alerts.filter((c("window_seq") > now - span) & (c("window_seq") <= now)).groupBy(*keys).agg(F.count("*").alias("alerts"))
+def recent_alerts(alerts: DataFrame, now: DataFrame, span: int, keys: list[str]) -> DataFrame:
+    """Alerts of the last ``span`` windows up to that of the one row ``now(now)`` by keys; without keys one row, 0 when there is none."""
+    dated = alerts.join(F.broadcast(now), (c("window_seq") > c("now") - span) & (c("window_seq") <= c("now")))
+    return dated.groupBy(*keys).agg(F.count("*").alias("alerts"))
 
 
 def increase(series: DataFrame, value: str, span: int) -> Column:

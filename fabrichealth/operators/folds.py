@@ -311,7 +311,7 @@ VERDICT_SCHEMA = (
 #: The columns a fold reads; nothing else is sent to it.
 FOLD_COLUMNS = (
     "node_id", "window_seq", "score", "has_link_signal", "throughput", "traffic_bytes", "traffic_packets", "has_traffic", "hard_errors", "soft_errors", "all_errors",
-    "symbol_errors", "rcv_errors", "xmit_discards", "link_downed", "link_recovery", "xmit_wait", "cq_completions", "cq_latency_total", "cq_latency_max", "cq_stalls", "estimated_p99",
+    "symbol_errors", "rcv_errors", "xmit_discards", "link_downed", "link_recovery", "xmit_wait", "cq_completions", "cq_latency_total", "cq_latency_max", "cq_stalls", "estimated_p99", "fusion",
 )
 
 
@@ -323,10 +323,11 @@ def fold(rows: Iterator[dict], step) -> Iterator[dict]:
         yield {"node_id": w["node_id"], "window_seq": w["window_seq"], **step.update(w)}
 
 
-def verdicts(windows, t: Thresholds, weights: dict[str, float] | None = None, states=None):
+def verdicts(windows, t: Thresholds, weights=None, states=None):
     """The verdict of every (node, window) row of a table with the fold columns, rule columns and fusion.
 
-    ``states(node_id, state)``, JSON from an earlier run's ``final_states``, continues where that run ended.
+    ``weights`` scales the floor of each rule's severity: by rule for all nodes, or as a table (node_id, rule,
+    weight). ``states(node_id, state)``, JSON from an earlier run's ``final_states``, continues where that run ended.
     """
     import json
 
@@ -334,13 +335,22 @@ def verdicts(windows, t: Thresholds, weights: dict[str, float] | None = None, st
 
     names = [f.split()[0] for f in VERDICT_SCHEMA.split(", ")]
 
+    by_rule = weights if weights is None or isinstance(weights, dict) else None
+
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        step = Verdict(t, weights)
+        step = Verdict(t, by_rule)
+        if "_weights" in pdf and isinstance(pdf["_weights"].iloc[0], str):
+            step.weights = json.loads(pdf["_weights"].iloc[0])
         if "_state" in pdf and isinstance(pdf["_state"].iloc[0], str):
             step.load(json.loads(pdf["_state"].iloc[0]))
-        rows = pdf.sort_values("window_seq").drop(columns=["_state"], errors="ignore").to_dict("records")
+        rows = pdf.sort_values("window_seq").drop(columns=["_state", "_weights"], errors="ignore").to_dict("records")
         return pd.DataFrame(list(fold(rows, step)), columns=names)
 
+    if weights is not by_rule:
+        from pyspark.sql import functions as F
+
+        own = weights.groupBy("node_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("rule", "weight")))).alias("_weights"))
+        windows = windows.join(own, "node_id", "left")
     if states is not None:
         windows = windows.join(states.withColumnRenamed("state", "_state"), "node_id", "left")
     return windows.groupBy("node_id").applyInPandas(run, VERDICT_SCHEMA)

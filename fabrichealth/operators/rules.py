@@ -61,6 +61,11 @@ STATELESS = {
 }
 
 
+def register(name: str, rule) -> None:
+    """Add a stateless rule: a function of the thresholds that gives the severity as a column, null where it doesn't fire."""
+    STATELESS[name] = rule
+
+
 def with_rules(windows: DataFrame, t: Thresholds) -> DataFrame:
     """Add a column for each rule that needs no fold, and the figures that the folds read."""
     ruled = with_trend(windows, t).withColumns({name: rule(t) for name, rule in STATELESS.items()})
@@ -82,6 +87,7 @@ def with_rules(windows: DataFrame, t: Thresholds) -> DataFrame:
 
 def fold_input(windows: DataFrame, t: Thresholds) -> DataFrame:
     """The narrow table that the verdict fold reads."""
+    from fabrichealth.operators import samples
     from fabrichealth.operators.folds import FOLD_COLUMNS
 
-    return with_rules(windows, t).select(*FOLD_COLUMNS, *STATELESS, "rising_error_trend")
+    return with_rules(windows, t).withColumn("fusion", samples.fusion_column()).select(*FOLD_COLUMNS, *STATELESS, "rising_error_trend")

@@ -13,13 +13,13 @@ c, lit = F.col, F.lit
 
 #: Backends in their order of registration: capability, backend, declared quality, and whether it emits samples.
 BACKENDS = (
-    ("LinkErrors", "sysfs_link_errors", "High", True), ("LinkErrors", "inferred_link_errors", "Low", True), ("Throughput", "sysfs_throughput", "High", True),
+    ("LinkErrors", "sysfs_port_counters", "High", True), ("LinkErrors", "cq_error_inference", "Low", True), ("Throughput", "sysfs_port_counters", "High", True),
     ("CompletionLatency", "ebpf_cq_latency", "High", False), ("CompletionLatency", "throughput_proxy_latency", "High", True),
-    ("RetransmitSignal", "ebpf_retransmit", "High", False), ("RetransmitSignal", "mad_retransmit", "Medium", True),
-    ("RetransmitSignal", "sysfs_retransmit", "Medium", True), ("RetransmitSignal", "inferred_retransmit", "Low", True),
+    ("RetransmitSignal", "ebpf_retx", "High", False), ("RetransmitSignal", "mad_retx_proxy", "Medium", True),
+    ("RetransmitSignal", "ethtool_retx", "Medium", True), ("RetransmitSignal", "wr_ratio_inference", "Low", True),
     ("QpAttribution", "ebpf_qp", "High", False), ("QpAttribution", "rdma_core_qp", "Medium", False), ("QpAttribution", "sysfs_rxe_qp", "Medium", False),
-    ("PfcPause", "ethtool_pfc", "High", False), ("PfcPause", "inferred_pfc", "Low", True), ("EcnMarks", "ethtool_ecn", "High", False),
-    ("CnpRate", "ethtool_cnp", "High", False), ("PeerLiveness", "peer_probe", "Medium", True),
+    ("PfcPause", "ethtool_pfc", "High", False), ("PfcPause", "pfc_inference", "Low", True), ("EcnMarks", "ethtool_ecn", "High", False),
+    ("CnpRate", "ethtool_cnp", "High", False), ("PeerLiveness", "active_prober", "Medium", True),
 )
 QUALITY_CODE = {"Absent": 0, "Low": 1, "Medium": 2, "High": 3}
 CRITICAL_CAPABILITIES = ("LinkErrors", "Throughput", "CompletionLatency", "RetransmitSignal")
@@ -44,62 +44,95 @@ def unsent() -> Column:
     return F.greatest(c("xmit_pkts") - c("rcv_pkts"), lit(0))
 
 
-def _emit(windows: DataFrame, *samples: Column, when: Column | None = None) -> DataFrame:
-    """The samples of each window, one a row; all of a provider's come from one pass over the windows."""
-    rows = windows.filter(when) if when is not None else windows
-    return rows.select("node_id", "window_seq", F.inline(F.array(*samples)))
+def _sent(*samples: Column, when: Column | None = None) -> Column:
+    """An array of a window's samples, empty where the provider has none."""
+    found = F.array(*samples)
+    return F.filter(found, lambda _: F.coalesce(when, lit(False))) if when is not None else found
 
 
-def link_errors(w: DataFrame) -> DataFrame:
-    return _emit(w, _sample("LinkErrors", X.hard_errors() + 5 * c("link_recovery") + 50 * c("link_downed"), _busy(1.0, 0.2), "High", "sysfs_link_errors"))
+def _emit(windows: DataFrame, *sent: Column) -> DataFrame:
+    """The samples of each window, one a row; all providers in one pass over the windows."""
+    return windows.select("node_id", "window_seq", F.inline(F.concat(*sent)))
 
 
-def inferred_link_errors(w: DataFrame) -> DataFrame:
-    return _emit(w, _sample("LinkErrors", c("cq_stalls"), F.when(c("cq_stalls") > 0, 0.3).otherwise(0.05), "Low", "inferred_link_errors"))
+def _link_errors() -> Column:
+    return _sent(_sample("LinkErrors", X.hard_errors() + 5 * c("link_recovery") + 50 * c("link_downed"), _busy(1.0, 0.2), "High", "sysfs_port_counters"))
 
 
-def throughput(w: DataFrame) -> DataFrame:
-    one = lambda v, name: _sample("Throughput", v, F.when(v > 0, 1.0).otherwise(0.5), "High", "sysfs_throughput", lit(name))
-    return _emit(w, one(X.traffic_packets(), "pkts"), one(X.traffic_bytes(), "bytes"))
+def _inferred_link_errors() -> Column:
+    return _sent(_sample("LinkErrors", c("cq_stalls"), F.when(c("cq_stalls") > 0, 0.3).otherwise(0.05), "Low", "cq_error_inference"))
 
 
-def completion_latency(w: DataFrame, quantiles: DataFrame | None = None) -> DataFrame:
-    """From sketch quantiles (node_id, window_seq, n, p50, p95, p99, p999) where a window has them, else estimates."""
-    share = lambda n, per, low, high: X.clamp(n / per, low, high)
-    low = [
-        _sample("CompletionLatency", v, share(c("cq_completions"), 100.0, 0.05, 0.7), "Low", "throughput_proxy_latency", lit(name))
-        for name, v in (("avg", X.average("cq_latency_total", "cq_completions")), ("p99", X.estimated_p99()), ("max", c("cq_latency_max")))
-    ]
-    if quantiles is None:
-        return _emit(w, *low, when=c("cq_completions") > 0)
-    high = [_sample("CompletionLatency", c(f"_q.{p}"), share(c("_q.n"), 200.0, 0.1, 0.95), "Medium", "throughput_proxy_latency", lit(p)) for p in ("p50", "p95", "p99", "p999")]
-    joined = w.join(quantiles.select("node_id", "window_seq", F.struct("n", "p50", "p95", "p99", "p999").alias("_q")), ["node_id", "window_seq"], "left")
-    return _emit(joined, *high, when=c("_q").isNotNull()).unionByName(_emit(joined, *low, when=c("_q").isNull() & (c("cq_completions") > 0)))
+def _throughput() -> Column:
+    one = lambda v, name: _sample("Throughput", v, F.when(v > 0, 1.0).otherwise(0.5), "High", "sysfs_port_counters", lit(name))
+    return _sent(one(X.traffic_packets(), "pkts"), one(X.traffic_bytes(), "bytes"))
+
 
+def _estimated_latency() -> Column:
+    figures = (("avg", X.average("cq_latency_total", "cq_completions")), ("p99", X.estimated_p99()), ("max", c("cq_latency_max")))
+    sure = X.clamp(c("cq_completions") / 100.0, 0.05, 0.7)
+    return _sent(*[_sample("CompletionLatency", v, sure, "Low", "throughput_proxy_latency", lit(name)) for name, v in figures], when=c("cq_completions") > 0)
 
-def retransmit_port(w: DataFrame) -> DataFrame:
-    return _emit(w, _sample("RetransmitSignal", c("remote_physical_errors") + 0.05 * unsent(), _busy(0.7, 0.2), "Medium", "mad_retransmit"))
 
+def _retransmit_port() -> Column:
+    return _sent(_sample("RetransmitSignal", c("remote_physical_errors") + 0.05 * unsent(), _busy(0.7, 0.2), "Medium", "mad_retx_proxy"))
 
-def retransmit_retry(w: DataFrame) -> DataFrame:
-    return _emit(w, _sample("RetransmitSignal", c("rxe_retry_exceeded") + 0.5 * c("rxe_seq_error") + 0.3 * c("rxe_duplicate_request"), _busy(0.8, 0.2), "Medium", "sysfs_retransmit"))
 
+def _retransmit_retry() -> Column:
+    return _sent(_sample("RetransmitSignal", c("rxe_retry_exceeded") + 0.5 * c("rxe_seq_error") + 0.3 * c("rxe_duplicate_request"), _busy(0.8, 0.2), "Medium", "ethtool_retx"))
 
-def retransmit_ratio(w: DataFrame) -> DataFrame:
-    ratio = unsent() / c("xmit_pkts")
-    return _emit(w, _sample("RetransmitSignal", ratio, X.clamp(ratio * 4, 0.0, 0.4), "Low", "inferred_retransmit"), when=(c("xmit_pkts") >= 1) & (c("rcv_pkts") >= 1))
 
+def _retransmit_ratio() -> Column:
+    ratio = unsent() / F.nullif(c("xmit_pkts"), lit(0))
+    return _sent(_sample("RetransmitSignal", ratio, X.clamp(ratio * 4, 0.0, 0.4), "Low", "wr_ratio_inference"), when=(c("xmit_pkts") >= 1) & (c("rcv_pkts") >= 1))
 
-def pause(w: DataFrame) -> DataFrame:
+
+def _pause() -> Column:
     clean = X.hard_errors() < 1
-    return _emit(w, _sample("PfcPause", F.when(clean, c("xmit_wait")).otherwise(0), F.when(clean, 0.3).otherwise(0.05), "Low", "inferred_pfc"), when=c("xmit_wait") >= 1)
+    return _sent(_sample("PfcPause", F.when(clean, c("xmit_wait")).otherwise(0), F.when(clean, 0.3).otherwise(0.05), "Low", "pfc_inference"), when=c("xmit_wait") >= 1)
+
+
+#: The samples that each capability's backend takes from a window.
+PROVIDERS = {
+    ("LinkErrors", "sysfs_port_counters"): _link_errors, ("LinkErrors", "cq_error_inference"): _inferred_link_errors, ("Throughput", "sysfs_port_counters"): _throughput,
+    ("CompletionLatency", "throughput_proxy_latency"): _estimated_latency, ("RetransmitSignal", "mad_retx_proxy"): _retransmit_port,
+    ("RetransmitSignal", "ethtool_retx"): _retransmit_retry, ("RetransmitSignal", "wr_ratio_inference"): _retransmit_ratio, ("PfcPause", "pfc_inference"): _pause,
+}
+#: Active unless others are named.
+ACTIVE = (("LinkErrors", "sysfs_port_counters"), ("Throughput", "sysfs_port_counters"), ("CompletionLatency", "throughput_proxy_latency"), ("RetransmitSignal", "ethtool_retx"), ("PfcPause", "pfc_inference"))
+
+
+def register(capability: str, backend: str, provider) -> None:
+    """Add a provider: a function without arguments that gives an array column of samples over window columns."""
+    PROVIDERS[capability, backend] = provider
+
+
+def samples_of(windows: DataFrame, capability: str, backend: str) -> DataFrame:
+    """The samples of one provider."""
+    return _emit(windows, PROVIDERS[capability, backend]())
+
+
+def completion_latency(w: DataFrame, quantiles: DataFrame | None = None) -> DataFrame:
+    """From sketch quantiles (node_id, window_seq, n, p50, p95, p99, p999) where a window has them, else estimates."""
+    if quantiles is None:
+        return _emit(w, _estimated_latency())
+    sure = X.clamp(c("_q.n") / 200.0, 0.1, 0.95)
+    high = [_sample("CompletionLatency", c(f"_q.{p}"), sure, "Medium", "throughput_proxy_latency", lit(p)) for p in ("p50", "p95", "p99", "p999")]
+    joined = w.join(quantiles.select("node_id", "window_seq", F.struct("n", "p50", "p95", "p99", "p999").alias("_q")), ["node_id", "window_seq"], "left")
+    return _emit(joined, F.when(c("_q").isNotNull(), _sent(*high)).otherwise(_estimated_latency()))
+
+
+def kernel_quantiles(quantiles: DataFrame) -> DataFrame:
+    """Samples of quantiles (node_id, window_seq, n, p50, p99, p999) of every single completion; sure from 100 completions on."""
+    sure = F.when(c("n") >= 100, 1.0).otherwise(F.greatest(c("n") / 100.0, lit(0.05)))
+    return _emit(quantiles, _sent(*[_sample("CompletionLatency", c(p), sure, "High", "ebpf_cq_latency", lit(p)) for p in ("p50", "p99", "p999")]))
 
 
 def peer_liveness(probes: DataFrame, dead_peer_value: float | None = None) -> DataFrame:
     """A sample per peer of ``probes(node_id, window_seq, peer, rtt_us, error)``; a dead peer is infinitely far, which counts 0 in the fusion unless a value is given."""
     alive = c("error").isNull() & c("rtt_us").isNotNull()
     dead = float("inf") if dead_peer_value is None else dead_peer_value
-    return probes.select("node_id", "window_seq", F.inline(F.array(_sample("PeerLiveness", F.when(alive, c("rtt_us")).otherwise(lit(dead)), F.when(alive, 0.9).otherwise(0.3), "Medium", "peer_probe", c("peer")))))
+    return probes.select("node_id", "window_seq", F.inline(F.array(_sample("PeerLiveness", F.when(alive, c("rtt_us")).otherwise(lit(dead)), F.when(alive, 0.9).otherwise(0.3), "Medium", "active_prober", c("peer")))))
 
 
 def qp_attribution(top: DataFrame) -> DataFrame:
@@ -107,36 +140,40 @@ def qp_attribution(top: DataFrame) -> DataFrame:
     return top.select("node_id", "window_seq", F.inline(F.array(_sample("QpAttribution", c("weight"), lit(1.0), "High", "ebpf_qp", c("qp").cast("string")))))
 
 
-PROVIDERS = {
-    "sysfs_link_errors": link_errors, "inferred_link_errors": inferred_link_errors, "sysfs_throughput": throughput, "throughput_proxy_latency": completion_latency,
-    "mad_retransmit": retransmit_port, "sysfs_retransmit": retransmit_retry, "inferred_retransmit": retransmit_ratio, "inferred_pfc": pause,
-}
+def all_samples(windows: DataFrame, backends=ACTIVE) -> DataFrame:
+    """The samples of the active providers."""
+    return _emit(windows, *[PROVIDERS[b]() for b in backends])
 
 
-def all_samples(windows: DataFrame, backends=("sysfs_link_errors", "sysfs_throughput", "throughput_proxy_latency", "sysfs_retransmit", "inferred_pfc")) -> DataFrame:
-    """The union of the active providers' samples."""
-    out = None
-    for name in sorted(backends):
-        rows = PROVIDERS[name](windows)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def _share(capability: Column, value: Column, quality: Column, confidence: Column) -> Column:
+    """What a sample adds to the fusion; nothing unless it is actionable."""
+    part = X.normalised(capability, value) * X.capability_weight(capability) * X.effective_weight(quality, confidence)
+    return F.when(X.is_actionable(quality, confidence), part).otherwise(0.0)
+
+
+def _squashed(total: Column) -> Column:
+    return X.clamp(F.tanh(total / 2.0) * 0.5, 0.0, 0.5)
 
 
 def fusion(samples: DataFrame) -> DataFrame:
     """(node_id, window_seq, fusion): the squashed weighted sum of actionable samples, 0.5 at most."""
-    use = X.is_actionable(c("quality"), c("confidence"))
-    part = X.normalised(c("capability"), c("value")) * X.capability_weight(c("capability")) * X.effective_weight(c("quality"), c("confidence"))
-    total = F.sum(F.when(use, part).otherwise(0.0))
-    return samples.groupBy("node_id", "window_seq").agg(X.clamp(F.tanh(total / 2.0) * 0.5, 0.0, 0.5).alias("fusion"))
+    return samples.groupBy("node_id", "window_seq").agg(_squashed(F.sum(_share(c("capability"), c("value"), c("quality"), c("confidence")))).alias("fusion"))
+
+
+def fusion_column(backends=ACTIVE) -> Column:
+    """The same figure as a column of the window table, without a row per sample."""
+    return _squashed(F.aggregate(F.concat(*[PROVIDERS[b]() for b in backends]), lit(0.0), lambda total, x: total + _share(x["capability"], x["value"], x["quality"], x["confidence"])))
 
 
-def inventory_predicates() -> dict[str, Column]:
-    """Whether a backend is available on a node: columns fabric, counters (standard) and hw_counters (arrays)."""
+def inventory_predicates() -> dict[tuple[str, str], Column]:
+    """Whether a backend is available on a node: columns fabric, counters (standard), hw_counters (arrays) and probes."""
     has = lambda col, part: F.exists(col, lambda x: F.contains(x, lit(part)))
     return {
-        "sysfs_link_errors": F.size("counters") > 0, "inferred_link_errors": lit(True), "sysfs_throughput": (F.size("counters") > 0) | (F.size("hw_counters") > 0),
-        "throughput_proxy_latency": lit(True), "mad_retransmit": (c("fabric") == "InfiniBand") & has("counters", "port_rcv_remote_physical_errors"),
-        "sysfs_retransmit": has("hw_counters", "retry"), "inferred_retransmit": lit(True), "inferred_pfc": ~c("fabric").isin("InfiniBand", "SoftRoCE"), "peer_probe": c("probes"),
+        ("LinkErrors", "sysfs_port_counters"): F.size("counters") > 0, ("LinkErrors", "cq_error_inference"): lit(True),
+        ("Throughput", "sysfs_port_counters"): (F.size("counters") > 0) | (F.size("hw_counters") > 0),
+        ("CompletionLatency", "throughput_proxy_latency"): lit(True), ("RetransmitSignal", "mad_retx_proxy"): (c("fabric") == "InfiniBand") & has("counters", "port_rcv_remote_physical_errors"),
+        ("RetransmitSignal", "ethtool_retx"): has("hw_counters", "retry"), ("RetransmitSignal", "wr_ratio_inference"): lit(True),
+        ("PfcPause", "pfc_inference"): ~c("fabric").isin("InfiniBand", "SoftRoCE"), ("PeerLiveness", "active_prober"): c("probes"),
     }
 
 
@@ -144,7 +181,7 @@ def probe(inventory: DataFrame) -> DataFrame:
     """Every backend of every node with its availability and reason."""
     known = inventory_predicates()
     rows = [
-        F.struct(lit(cap).alias("capability"), lit(name).alias("backend"), lit(quality).alias("quality"), lit(i).alias("place"), F.coalesce(known[name], lit(False)).alias("available") if name in known else lit(False).alias("available"))
+        F.struct(lit(cap).alias("capability"), lit(name).alias("backend"), lit(quality).alias("quality"), lit(i).alias("place"), F.coalesce(known[cap, name], lit(False)).alias("available") if (cap, name) in known else lit(False).alias("available"))
         for i, (cap, name, quality, _) in enumerate(BACKENDS)
     ]
     out = inventory.select("node_id", F.inline(F.array(*rows)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fabrichealth.operators.folds import State, fold_column
@@ -39,20 +40,26 @@ def node_reports(lines: DataFrame, prefix: str = PREFIX) -> DataFrame:
     return lines.select(field(c("line"), "NodeName").alias("node"), observed_state(raw).alias("observed"), reason.alias("reason"), F.coalesce(F.startswith(reason, F.lit(prefix)), F.lit(False)).alias("managed_by_self"), (~F.contains(raw, F.lit("*"))).alias("responsive"))
 
 
+HELD = "HeldByOperator"
+
+
 class Policy(State):
-    """The desired state: draining when critical, kept when degraded, available when healthy unless held."""
+    """The desired state: draining when critical, kept when degraded, available when healthy. An operator's hold is a
+    desired state of its own: health does not end it, but a critical window replaces it."""
 
-    fields = ("desired", "hold")
+    fields = ("desired",)
 
     def __init__(self, drain_degraded: bool = False):
-        self.drain_degraded, self.desired, self.hold = drain_degraded, "Available", False
+        self.drain_degraded, self.desired = drain_degraded, "Available"
 
     def update(self, state: str, command: str | None = None) -> str:
-        if command in ("hold", "release"):
-            self.hold = command == "hold"
+        if command == "hold":
+            self.desired = HELD
+        elif command == "release" and self.desired == HELD:
+            self.desired = "Available"
         if state == "CRITICAL" or (state in ("DEGRADED", "RECOVERING") and self.drain_degraded):
             self.desired = "Draining"
-        elif state == "HEALTHY" and not self.hold:
+        elif state == "HEALTHY" and self.desired != HELD:
             self.desired = "Available"
         return self.desired
 
@@ -63,8 +70,12 @@ DESIRED_SCHEMA = "node_id long, window_seq long, state string, desired string, h
 def desired_states(history: DataFrame, drain_degraded: bool = False, commands: DataFrame | None = None) -> DataFrame:
     """(node_id, window_seq, state, desired, held) from health and the hold and release commands of a window."""
     rows = history.select("node_id", "window_seq", "state")
-    rows = rows.join(commands, ["node_id", "window_seq"], "left") if commands is not None else rows.withColumn("command", F.lit(None).cast("string"))
-    return fold_column(rows, lambda: Policy(drain_degraded), lambda s, r: {"desired": s.update(r["state"], r["command"]), "held": s.hold}, DESIRED_SCHEMA)
+    if commands is None:  # then the last state that says anything decides
+        drains = F.when(c("state").isin("CRITICAL", *(["DEGRADED", "RECOVERING"] if drain_degraded else [])), "Draining").when(c("state") == "HEALTHY", "Available")
+        desired = F.coalesce(F.last(drains, ignorenulls=True).over(W.partitionBy("node_id").orderBy("window_seq")), F.lit("Available"))
+        return rows.select("*", desired.alias("desired"), F.lit(False).alias("held"))
+    rows = rows.join(commands, ["node_id", "window_seq"], "left")
+    return fold_column(rows, lambda: Policy(drain_degraded), lambda s, r: {"desired": s.update(r["state"], r["command"]), "held": s.desired == HELD}, DESIRED_SCHEMA)
 
 
 def operator_hold() -> Column:
@@ -76,9 +87,10 @@ def action() -> Column:
     """What would bring the observed state to the desired one."""
     drained = c("observed").isin("Draining", "Drained")
     return (
-        F.when(c("observed") == "Unknown", "skip_unknown")
+        F.when(operator_hold(), "hold")
+        .when(c("observed") == "Unknown", "skip_unknown")
         .when((c("observed") == "Down") & ~c("responsive"), "skip_down")
-        .when((c("desired") == "Available") & (drained | (c("observed") == "Down")) & ~c("managed_by_self"), "hold")
+        .when(c("desired") == HELD, "none")
         .when((c("desired") == "Available") & (c("observed") == "Available"), "none")
         .when((c("desired") == "Draining") & drained, "none")
         .when(c("desired") == "Available", "resume")
@@ -87,38 +99,68 @@ def action() -> Column:
 
 
 class Reconciler(State):
-    """Cool-down before a resume, a pause after a contested one, and backing off from failing reads."""
+    """A node's ticks: the policy, holds that are found, a pause after a contested resume, a cool-down before a
+    resume, and backing off from failing reads but for a probe now and then. Times are seconds."""
 
-    fields = ("drained_at", "contested_until", "last_observed", "failures", "next_read")
+    fields = ("desired", "drained_at", "contested_until", "last_observed", "failures", "probed_at")
+    parts = ("policy",)
 
-    def __init__(self, cooldown: int = 60, contest: int = 300, failures: int = 5, probe: int = 300):
+    def __init__(self, cooldown: int = 60, contest: int = 300, failures: int = 5, probe: int = 300, drain_degraded: bool = False):
         self.cooldown, self.contest, self.most, self.probe = cooldown, contest, failures, probe
-        self.drained_at, self.contested_until, self.last_observed, self.failures, self.next_read = None, None, None, 0, None
+        self.policy, self.desired, self.last_observed = Policy(drain_degraded), "Available", "Unknown"
+        self.drained_at, self.contested_until, self.failures, self.probed_at = None, None, 0, None
+
+    def _skips(self, now: int) -> bool:
+        if self.failures < self.most:
+            return False
+        if self.probed_at is None:
+            self.probed_at = now
+            return True
+        if now - self.probed_at >= self.probe:
+            self.probed_at = now
+            return False
+        return True
 
     def update(self, r: dict) -> str:
-        now = r["at"]
-        if self.next_read is not None and now < self.next_read:
+        now, observed = r["at"], r["observed"]
+        if self._skips(now):
             return "backoff"
+        new = self.policy.update(r["state"], r.get("command"))
         if r.get("error"):
             self.failures += 1
-            if self.failures >= self.most:
-                self.next_read = now + self.probe
             return "read_failed"
-        self.failures, self.next_read = 0, None
-        observed, out = r["observed"], r["action"]
-        if r["desired"] == "Draining" and self.last_observed in ("Draining", "Drained") and observed == "Available":
-            self.contested_until = now + self.contest
-        self.last_observed = observed
-        if self.contested_until is not None and now < self.contested_until:
-            return "contested"
-        if out == "drain":
+        self.failures = 0
+        if new == "Available" and observed in ("Draining", "Drained", "Down") and not r["managed_by_self"]:
+            self.desired = self.policy.desired = HELD
+            return "hold"
+        if self.desired == "Draining" and observed == "Available" and self.last_observed in ("Draining", "Drained"):
+            self.contested_until, self.last_observed = now + self.contest, observed
+            return "contested_resume"
+        if self.contested_until is not None:
+            if now < self.contested_until:
+                return "contested"
+            self.contested_until = None
+        self.desired, self.last_observed = new, observed
+        if observed == "Unknown":
+            return "skip_unknown"
+        if observed == "Down" and not r["responsive"]:
+            return "skip_down"
+        if new == HELD or observed == new or (new == "Draining" and observed == "Drained"):
+            return "none"
+        if new == "Draining":
             self.drained_at = now
-        if out == "resume" and self.drained_at is not None and now - self.drained_at < self.cooldown:
+            return "drain"
+        if self.drained_at is not None and now - self.drained_at < self.cooldown:
             return "cooldown"
-        return out
+        self.drained_at = None
+        return "resume"
+
+
+def reconcile(rows: DataFrame, cooldown: int = 60, contest: int = 300, order=("at",)) -> DataFrame:
+    """rows(node_id, at, state, observed, managed_by_self, responsive, error) with the desired state and decision of each tick."""
 
+    def step(s, r):
+        decision = s.update(r)
+        return {"desired": s.desired, "decision": decision}
 
-def reconcile(rows: DataFrame, cooldown: int = 60, contest: int = 300) -> DataFrame:
-    """rows(node_id, at, desired, observed, managed_by_self, responsive, error) with the decision of each."""
-    judged = rows.withColumn("action", action())
-    return fold_column(judged, lambda: Reconciler(cooldown, contest), lambda s, r: {"decision": s.update(r)}, "node_id long, at long, desired string, observed string, action string, decision string", order="at")
+    return fold_column(rows, lambda: Reconciler(cooldown, contest), step, "node_id long, at long, state string, observed string, desired string, decision string", order=list(order))

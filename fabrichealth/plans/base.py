@@ -35,11 +35,11 @@ RD = """rd as (select *, cast(greatest(coalesce(reading - lag(reading) over (par
 _counters = ", ".join(f"cast(coalesce(sum(delta) filter (counter = {i}), 0) as bigint) as {name}" for i, name in enumerate(DELTAS))
 _cq = "count(*) filter (kind = 'CqCompletion')"
 WA = f"""wa as (select node_id, window_seq, count(*) as n_events, min(ts_us) as window_start_us, max(ts_us) as window_end_us,
-  count(*) filter (kind = 'SlabAlloc') as slab_allocs, 0 as slab_frees, cast(sum(latency_ns) filter (kind = 'SlabAlloc') as bigint) as slab_latency_total, max(latency_ns) filter (kind = 'SlabAlloc') as slab_latency_max,
+  count(*) filter (kind = 'SlabAlloc') as slab_allocs, count(*) filter (kind = 'SlabFree') as slab_frees, cast(sum(latency_ns) filter (kind = 'SlabAlloc') as bigint) as slab_latency_total, max(latency_ns) filter (kind = 'SlabAlloc') as slab_latency_max,
   cast(sum(bytes_req) filter (kind = 'SlabAlloc') as bigint) as slab_bytes_req, cast(sum(bytes_alloc) filter (kind = 'SlabAlloc') as bigint) as slab_bytes_alloc,
   count(*) filter (kind = 'IrqEntry') as irq_total, {", ".join(f"count(*) filter (kind = 'IrqEntry' and cpu = {i}) as irq{i}" for i in range(4))},
   count(*) filter (kind = 'NapiPoll') as napi_polls, cast(sum(work_done) filter (kind = 'NapiPoll') as bigint) as napi_work, cast(sum(budget) filter (kind = 'NapiPoll') as bigint) as napi_budget,
-  0 as rx_packets, 0 as rx_bytes, {_cq} as completions, count(*) filter (kind = 'CqCompletion' and is_error) as completion_errors, cast(sum(latency_ns) filter (kind = 'CqCompletion') as bigint) as completion_latency_total,
+  count(*) filter (kind = 'NetifReceive') as rx_packets, cast(sum(len) filter (kind = 'NetifReceive') as bigint) as rx_bytes, {_cq} as completions, count(*) filter (kind = 'CqCompletion' and is_error) as completion_errors, cast(sum(latency_ns) filter (kind = 'CqCompletion') as bigint) as completion_latency_total,
   max(latency_ns) filter (kind = 'CqCompletion') as completion_latency_max, {_cq} as cq_completions, cast(sum(latency_ns) filter (kind = 'CqCompletion') as bigint) as cq_latency_total, max(latency_ns) filter (kind = 'CqCompletion') as cq_latency_max,
   count(*) filter (kind = 'CqCompletion' and latency_ns > 50000) as cq_stalls from ev group by all)"""
 WC = f"wc as (select node_id, window_seq, {_counters} from rd group by all)"

@@ -18,7 +18,8 @@ c, lit = F.col, F.lit
 
 
 def verdicts(spark, sf_dir):
-    return folds.verdicts(rules.fold_input(wins(spark, sf_dir), SCALED), SCALED)
+    """The verdicts with fusion, and with the weights that each node's coverage gives the rules."""
+    return folds.verdicts(rules.fold_input(wins(spark, sf_dir), SCALED), SCALED, rule_weights(spark, sf_dir))
 
 
 def history(spark, sf_dir):
@@ -119,16 +120,16 @@ query("join_9_merge_instant")(lambda spark, sf_dir: fleet.node_table(history(spa
 
 
 def nodes(spark, sf_dir):
-    """Every nation as an inventory target; most have no telemetry."""
-    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(c("n_nationkey").cast("long").alias("node_id"), c("n_name").alias("name"), c("n_regionkey").cast("long").alias("region"))
+    """Every supplier as an inventory target; most have no telemetry."""
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(c("s_suppkey").cast("long").alias("node_id"), c("s_name").alias("name"), c("s_nationkey").cast("long").alias("region"))
 
 
-@state_query("join_10_unreachable", ", n as (select node_id, max_by(state, window_seq) as state from hist group by all) select cast(n_nationkey as bigint) as node_id, n_name as name, coalesce(state, 'unreachable') as state from nation left join n on n_nationkey = node_id")
+@state_query("join_10_unreachable", ", n as (select node_id, max_by(state, window_seq) as state from hist group by all) select cast(s_suppkey as bigint) as node_id, s_name as name, coalesce(state, 'unreachable') as state from supplier left join n on s_suppkey = node_id")
 def _(spark, sf_dir):
     return fleet.unreachable(nodes(spark, sf_dir).select("node_id", "name"), history(spark, sf_dir))
 
 
-@state_query("agg_17_fleet_rollup", ", n as (select node_id, max_by(state, window_seq) as state from hist group by all) select coalesce(state, 'unreachable') as state, count(*) as nodes from nation left join n on n_nationkey = node_id group by all")
+@state_query("agg_17_fleet_rollup", ", n as (select node_id, max_by(state, window_seq) as state from hist group by all) select coalesce(state, 'unreachable') as state, count(*) as nodes from supplier left join n on s_suppkey = node_id group by all")
 def _(spark, sf_dir):
     return fleet.unreachable(nodes(spark, sf_dir), history(spark, sf_dir)).groupBy("state").agg(F.count("*").alias("nodes"))
 
@@ -190,18 +191,20 @@ def _(spark, sf_dir):
     return alerts(spark, sf_dir)
 
 
-_inh = " select node_id, window_seq, alertname, case severity when 'critical' then 'CRITICAL' else 'DEGRADED' end as severity from al a where severity = 'critical' or not exists (select 1 from al b where b.severity = 'critical' and b.node_id = a.node_id and b.window_seq = a.window_seq)"
+_inh = " select node_id, window_seq, alertname, severity from al a where severity = 'CRITICAL' or not exists (select 1 from al b where b.severity = 'CRITICAL' and b.node_id = a.node_id and b.window_seq = a.window_seq)"
 
 
-def _graded(spark, sf_dir):
-    return alerts(spark, sf_dir).withColumn("severity", F.when(c("severity") == "critical", "CRITICAL").otherwise("DEGRADED"))
+for _alias in ("alr_4_inhibition", "join_11_inhibit"):
+    state_query(_alias, _alr() + _inh)(lambda spark, sf_dir: joins.inhibit(alerts(spark, sf_dir), K))
 
 
-for _alias in ("alr_4_inhibition", "join_11_inhibit"):
-    state_query(_alias, _alr() + _inh)(lambda spark, sf_dir: joins.inhibit(_graded(spark, sf_dir), K))
 
-state_query("flq_3_recent_alerts", _alr() + " select coalesce(count(*), 0) as alerts from al where window_seq > 104 and window_seq <= 119")(lambda spark, sf_dir: fleet.recent_alerts(alerts(spark, sf_dir), 119, 15, []))
-state_query("flq_4_alerts_by_kind", _alr() + " select alertname, severity, count(*) as alerts from al where window_seq > 99 and window_seq <= 119 group by all")(lambda spark, sf_dir: fleet.recent_alerts(alerts(spark, sf_dir), 119, 20, ["alertname", "severity"]))
+def _now(spark, sf_dir):
+    return events(spark, sf_dir).agg(F.max("window_seq").alias("now"))
+
+
+state_query("flq_3_recent_alerts", _alr() + " select coalesce(count(*), 0) as alerts from al where window_seq > (select max(window_seq) from wi) - 15")(lambda spark, sf_dir: fleet.recent_alerts(alerts(spark, sf_dir), _now(spark, sf_dir), 15, []))
+state_query("flq_4_alerts_by_kind", _alr() + " select alertname, severity, count(*) as alerts from al where window_seq > (select max(window_seq) from wi) - 20 group by all")(lambda spark, sf_dir: fleet.recent_alerts(alerts(spark, sf_dir), _now(spark, sf_dir), 20, ["alertname", "severity"]))
 state_query("top_3_recent_alerts", _alr() + ", r as (select *, row_number() over (partition by node_id order by window_seq desc, alertname) as rank from al) select node_id, window_seq, alertname, rank from r where rank <= 20")(
     lambda spark, sf_dir: sketches.recent(alerts(spark, sf_dir), "node_id", [F.desc("window_seq"), F.asc("alertname")], 20).select(*K, "alertname", c("rank").cast("long").alias("rank"))
 )
@@ -269,25 +272,25 @@ def _(spark, sf_dir):
 
 
 # samples
-def _smp(name, provider, sql, where="true"):
+def _smp(name, capability, backend, sql, where="true"):
     @query(name, f"select node_id, window_seq, {sql} from wi where {where}")
     def run(spark, sf_dir):
-        return provider(wins(spark, sf_dir)).select(*K, r6("value").alias("value"), r6("confidence").alias("confidence"))
+        return samples.samples_of(wins(spark, sf_dir), capability, backend).select(*K, r6("value").alias("value"), r6("confidence").alias("confidence"))
 
 
 _unsent = "greatest(xmit_pkts - rcv_pkts, 0)"
 _busy = lambda a, b: f"cast(case when {TRAFFIC} then {a} else {b} end as double) as confidence"
-_smp("smp_1_link_errors", samples.link_errors, f"cast({HARD} + 5 * link_recovery + 50 * link_downed as double) as value, {_busy(1.0, 0.2)}")
-_smp("smp_2_inferred_errors", samples.inferred_link_errors, "cast(cq_stalls as double) as value, cast(case when cq_stalls > 0 then 0.3 else 0.05 end as double) as confidence")
-_smp("smp_5_retransmit_port", samples.retransmit_port, f"round(remote_physical_errors + {D(0.05)} * {_unsent}, 6) as value, {_busy(0.7, 0.2)}")
-_smp("smp_6_retransmit_retry", samples.retransmit_retry, f"round(rxe_retry_exceeded + {D(0.5)} * rxe_seq_error + {D(0.3)} * rxe_duplicate_request, 6) as value, {_busy(0.8, 0.2)}")
-_smp("smp_7_retransmit_ratio", samples.retransmit_ratio, f"round({_unsent} / xmit_pkts, 6) as value, round(least(greatest({_unsent} / xmit_pkts * 4, 0), {D(0.4)}), 6) as confidence", "xmit_pkts >= 1 and rcv_pkts >= 1")
-_smp("smp_8_pause", samples.pause, f"cast(case when {HARD} < 1 then xmit_wait else 0 end as double) as value, cast(case when {HARD} < 1 then 0.3 else 0.05 end as double) as confidence", "xmit_wait >= 1")
+_smp("smp_1_link_errors", "LinkErrors", "sysfs_port_counters", f"cast({HARD} + 5 * link_recovery + 50 * link_downed as double) as value, {_busy(1.0, 0.2)}")
+_smp("smp_2_inferred_errors", "LinkErrors", "cq_error_inference", "cast(cq_stalls as double) as value, cast(case when cq_stalls > 0 then 0.3 else 0.05 end as double) as confidence")
+_smp("smp_5_retransmit_port", "RetransmitSignal", "mad_retx_proxy", f"round(remote_physical_errors + {D(0.05)} * {_unsent}, 6) as value, {_busy(0.7, 0.2)}")
+_smp("smp_6_retransmit_retry", "RetransmitSignal", "ethtool_retx", f"round(rxe_retry_exceeded + {D(0.5)} * rxe_seq_error + {D(0.3)} * rxe_duplicate_request, 6) as value, {_busy(0.8, 0.2)}")
+_smp("smp_7_retransmit_ratio", "RetransmitSignal", "wr_ratio_inference", f"round({_unsent} / xmit_pkts, 6) as value, round(least(greatest({_unsent} / xmit_pkts * 4, 0), {D(0.4)}), 6) as confidence", "xmit_pkts >= 1 and rcv_pkts >= 1")
+_smp("smp_8_pause", "PfcPause", "pfc_inference", f"cast(case when {HARD} < 1 then xmit_wait else 0 end as double) as value, cast(case when {HARD} < 1 then 0.3 else 0.05 end as double) as confidence", "xmit_wait >= 1")
 
 
 @query("smp_3_throughput", f"select node_id, window_seq, 'pkts' as label, cast({PKTS} as double) as value from wi union all select node_id, window_seq, 'bytes', cast({BYTES} as double) from wi")
 def _(spark, sf_dir):
-    return samples.throughput(wins(spark, sf_dir)).select(*K, "label", "value")
+    return samples.samples_of(wins(spark, sf_dir), "Throughput", "sysfs_port_counters").select(*K, "label", "value")
 
 
 QS = {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999}
@@ -325,10 +328,12 @@ def _(spark, sf_dir):
     return cq_quantiles(spark, sf_dir).select(*K, "n", *[F.round(p, 3).alias(p) for p in QS])
 
 
-for _alias in ("smp_4_completion_latency", "smp_11_cq_quantiles"):
-    query(_alias, ", " + SK + " " + " union all ".join(f"select node_id, window_seq, '{p}' as label, {p} as value, round(least(greatest(n / 200, {D(0.1)}), {D(0.95)}), 6) as confidence from q" for p in QS), "ev")(
-        lambda spark, sf_dir: samples.completion_latency(wins(spark, sf_dir), cq_quantiles(spark, sf_dir)).select(*K, "label", F.round("value", 3).alias("value"), r6("confidence").alias("confidence"))
-    )
+query("smp_4_completion_latency", ", " + SK + " " + " union all ".join(f"select node_id, window_seq, '{p}' as label, {p} as value, round(least(greatest(n / 200, {D(0.1)}), {D(0.95)}), 6) as confidence from q" for p in QS), "ev")(
+    lambda spark, sf_dir: samples.completion_latency(wins(spark, sf_dir), cq_quantiles(spark, sf_dir)).select(*K, "label", F.round("value", 3).alias("value"), r6("confidence").alias("confidence"))
+)
+query("smp_11_cq_quantiles", ", " + SK + " " + " union all ".join(f"select node_id, window_seq, '{p}' as label, 'ebpf_cq_latency' as backend, 'High' as quality, {p} as value, round(case when n >= 100 then 1.0::double else greatest(n / 100, {D(0.05)}) end, 6) as confidence from q" for p in ("p50", "p99", "p999")), "ev")(
+    lambda spark, sf_dir: samples.kernel_quantiles(cq_quantiles(spark, sf_dir)).select(*K, "label", "backend", "quality", F.round("value", 3).alias("value"), r6("confidence").alias("confidence"))
+)
 
 
 @query("top_2_quantile_labels", f"select node_id, window_seq, round(case when cq_completions > 0 then cq_latency_total / cq_completions end, 3) as avg, round({P99}, 3) as p99, cast(cq_latency_max as double) as max from wi where cq_completions > 0")
@@ -368,12 +373,12 @@ def _norm():
 SMP = f"""s as (select node_id, window_seq, 'LinkErrors' as capability, cast({HARD} + 5 * link_recovery + 50 * link_downed as double) as value, cast(case when {TRAFFIC} then 1.0 else 0.2 end as double) as confidence, cast(1.0 as double) as q from wi
  union all select node_id, window_seq, 'RetransmitSignal', rxe_retry_exceeded + {D(0.5)} * rxe_seq_error + {D(0.3)} * rxe_duplicate_request, cast(case when {TRAFFIC} then 0.8 else 0.2 end as double), cast(0.7 as double) from wi
  union all select node_id, window_seq, 'PfcPause', cast(case when {HARD} < 1 then xmit_wait else 0 end as double), cast(case when {HARD} < 1 then 0.3 else 0.05 end as double), cast(0.4 as double) from wi where xmit_wait >= 1)"""
-_three = ("sysfs_link_errors", "sysfs_retransmit", "inferred_pfc")
+_three = (("LinkErrors", "sysfs_port_counters"), ("RetransmitSignal", "ethtool_retx"), ("PfcPause", "pfc_inference"))
 
 
 @query("scr_2_fusion", f", {SMP}, x as (select *, case when value > 0 then {_norm()} else 0 end * case capability when 'LinkErrors' then {D(1.0)} when 'RetransmitSignal' then {D(0.8)} else {D(0.5)} end * q * confidence as part from s) select node_id, window_seq, round(tanh(sum(part) / 2) * {D(0.5)}, 6) as fusion from x group by all")
 def _(spark, sf_dir):
-    return samples.fusion(samples.all_samples(wins(spark, sf_dir), _three)).select(*K, r6("fusion").alias("fusion"))
+    return wins(spark, sf_dir).select(*K, r6(samples.fusion_column(_three)).alias("fusion"))
 
 
 @query("sca_14_normalise", f", {SMP} select node_id, window_seq, capability, round(case when value > 0 then {_norm()} else 0 end, 6) as x from s")
@@ -390,7 +395,7 @@ query("scr_3_severity_floor", f"select node_id, window_seq, round(case when link
 
 
 def inventory(spark, sf_dir):
-    """Nations as an inventory of nodes with a fabric and counter lists."""
+    """Suppliers as an inventory of nodes with a fabric and counter lists."""
     fabric = F.when(c("region") % 3 == 0, "InfiniBand").when(c("region") % 3 == 1, "SoftRoCE").otherwise("RoCEv2")
     standard = F.when(c("node_id") % 4 == 3, F.array().cast("array<string>")).otherwise(F.array(lit("symbol_error"), lit("port_rcv_remote_physical_errors")))
     hw = F.when(c("node_id") % 2 == 0, F.array(lit("retry_exceeded_err"))).otherwise(F.array().cast("array<string>"))
@@ -398,10 +403,11 @@ def inventory(spark, sf_dir):
 
 
 _avail = {
-    "sysfs_link_errors": "n % 4 <> 3", "inferred_link_errors": "true", "sysfs_throughput": "n % 4 <> 3 or n % 2 = 0", "throughput_proxy_latency": "true", "mad_retransmit": "r % 3 = 0 and n % 4 <> 3",
-    "sysfs_retransmit": "n % 2 = 0", "inferred_retransmit": "true", "inferred_pfc": "r % 3 = 2", "peer_probe": "n % 5 = 0",
+    ("LinkErrors", "sysfs_port_counters"): "n % 4 <> 3", ("LinkErrors", "cq_error_inference"): "true", ("Throughput", "sysfs_port_counters"): "n % 4 <> 3 or n % 2 = 0",
+    ("CompletionLatency", "throughput_proxy_latency"): "true", ("RetransmitSignal", "mad_retx_proxy"): "r % 3 = 0 and n % 4 <> 3", ("RetransmitSignal", "ethtool_retx"): "n % 2 = 0",
+    ("RetransmitSignal", "wr_ratio_inference"): "true", ("PfcPause", "pfc_inference"): "r % 3 = 2", ("PeerLiveness", "active_prober"): "n % 5 = 0",
 }
-INV = "with inv as (select cast(n_nationkey as bigint) as n, cast(n_regionkey as bigint) as r from nation), pr as (" + " union all ".join(f"select n as node_id, '{cap}' as capability, '{b}' as backend, '{q}' as quality, {samples.QUALITY_CODE[q]} as code, {i} as place, {_avail.get(b, 'false')} as available from inv" for i, (cap, b, q, _) in enumerate(samples.BACKENDS)) + "), wn as (select * from (select *, row_number() over (partition by node_id, capability order by code desc, place desc) as rk from pr where available) where rk = 1)"
+INV = "with inv as (select cast(s_suppkey as bigint) as n, cast(s_nationkey as bigint) as r from supplier), pr as (" + " union all ".join(f"select n as node_id, '{cap}' as capability, '{b}' as backend, '{q}' as quality, {samples.QUALITY_CODE[q]} as code, {i} as place, {_avail.get((cap, b), 'false')} as available from inv" for i, (cap, b, q, _) in enumerate(samples.BACKENDS)) + "), wn as (select * from (select *, row_number() over (partition by node_id, capability order by code desc, place desc) as rk from pr where available) where rk = 1)"
 CAPS = "caps as (select unnest([" + ", ".join(f"'{x}'" for x in CAPABILITY_WEIGHTS) + "]) as capability), cv as (select i.n as node_id, caps.capability, coalesce(wn.backend, 'none') as backend, coalesce(wn.quality, 'Absent') as quality, coalesce(wn.code, 0) as code, coalesce((select string_agg(backend, '>' order by code desc, place desc) from pr where pr.node_id = i.n and pr.capability = caps.capability and available), '') as chain from inv i cross join caps left join wn on wn.node_id = i.n and wn.capability = caps.capability)"
 
 
@@ -417,19 +423,19 @@ query("cov_6_quality_gauge", INV + ", " + CAPS + " select node_id, capability, b
 query("prj_3_codes", INV + ", " + CAPS + " select quality, code, count(*) as n from cv group by all", "")(lambda spark, sf_dir: covered(spark, sf_dir).groupBy("quality", samples.quality_code(c("quality")).alias("code")).agg(F.count("*").alias("n")))
 query("snk_4_coverage_json")(lambda spark, sf_dir: sinks.coverage_json(covered(spark, sf_dir)))
 query("srt_1_sorted_capabilities", INV + ", " + CAPS + " select node_id, capability, row_number() over (partition by node_id order by capability) as place from cv", "")(lambda spark, sf_dir: covered(spark, sf_dir).select("node_id", "capability", F.row_number().over(W.partitionBy("node_id").orderBy("capability")).cast("long").alias("place")))
-query("flt_10_counter_probe", "select cast(n_nationkey as bigint) as node_id from nation where n_nationkey % 2 = 0", "")(lambda spark, sf_dir: inventory(spark, sf_dir).filter(F.exists("hw_counters", lambda x: F.contains(x, lit("retry")))).select("node_id"))
-query("flt_7_device_filter", "select cast(n_nationkey as bigint) as node_id from nation where n_regionkey % 3 = 1", "")(lambda spark, sf_dir: inventory(spark, sf_dir).filter("fabric = 'SoftRoCE'").select("node_id"))
+query("flt_10_counter_probe", "select cast(s_suppkey as bigint) as node_id from supplier where s_suppkey % 2 = 0", "")(lambda spark, sf_dir: inventory(spark, sf_dir).filter(F.exists("hw_counters", lambda x: F.contains(x, lit("retry")))).select("node_id"))
+query("flt_7_device_filter", "select cast(s_suppkey as bigint) as node_id from supplier where s_nationkey % 3 = 1", "")(lambda spark, sf_dir: inventory(spark, sf_dir).filter("fabric = 'SoftRoCE'").select("node_id"))
 
 RULE_CAPS = {"rdma_link_degradation": ["LinkErrors", "RetransmitSignal"], "latency_drift": ["CompletionLatency"], "congestion_spread": ["PfcPause", "CreditStall"], "napi_saturation": []}
 
 
 @query("join_2_rule_weights", INV + ", " + CAPS + ", rc as (select * from (values " + ", ".join(f"('{r}', {repr(x) if x else 'null'})" for r, xs in RULE_CAPS.items() for x in (xs or [None])) + ") v(rule, capability)) select n as node_id, rule, max(cast(case when rc.capability is null then 1.0 when quality = 'High' then 1.0 when quality = 'Medium' then 0.7 when quality = 'Low' then 0.4 else 0.0 end as double)) as weight from inv cross join rc left join cv on cv.node_id = n and cv.capability = rc.capability group by all", "")
-def _(spark, sf_dir):
+def rule_weights(spark, sf_dir):
     table = spark.createDataFrame(list(RULE_CAPS.items()), "rule string, capabilities array<string>")
     return samples.rule_weights(covered(spark, sf_dir), table)
 
 
-@query("join_6_fabric_overlay", "select cast(n_nationkey as bigint) as node_id, case when n_regionkey % 3 = 0 then 0.25 else 0.30 end::double as degrade_enter, case when n_regionkey % 3 = 1 then 3 else 2 end as enter_windows from nation", "")
+@query("join_6_fabric_overlay", "select cast(s_suppkey as bigint) as node_id, case when s_nationkey % 3 = 0 then 0.25 else 0.30 end::double as degrade_enter, case when s_nationkey % 3 = 1 then 3 else 2 end as enter_windows from supplier", "")
 def _(spark, sf_dir):
     profiles = spark.createDataFrame([("InfiniBand", 0.25, None), ("SoftRoCE", None, 3)], "fabric string, degrade_enter double, enter_windows int")
     return joins.overlay(inventory(spark, sf_dir).select("node_id", "fabric"), profiles, {"degrade_enter": 0.30, "enter_windows": 2}).drop("fabric")
@@ -472,10 +478,10 @@ def _(spark, sf_dir):
 
 def _procs(spark, sf_dir):
     cust = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return cust.filter("c_custkey < 97").select((c("c_custkey") % 8).alias("node_id"), c("c_custkey").alias("pid"), c("c_mktsegment").alias("comm"), (c("c_custkey") % 5).cast("string").alias("job_id"), lit(None).cast("string").alias("pod"))
+    return cust.select((c("c_custkey") % 8).alias("node_id"), c("c_custkey").alias("pid"), c("c_mktsegment").alias("comm"), (c("c_custkey") % 5).cast("string").alias("job_id"), lit(None).cast("string").alias("pod"))
 
 
-@query("join_5_blast_radius", ", o as (select distinct node_id, qp as pid from ev), p as (select c_custkey % 8 as node_id, c_custkey as pid, c_mktsegment as comm, cast(c_custkey % 5 as varchar) as job from customer where c_custkey < 97) select node_id, count(*) as processes, 'jobs ' || string_agg(distinct job, ',' order by job) || '; processes ' || string_agg(distinct comm, ',' order by comm) as summary from o join p using (node_id, pid) group by all", "ev")
+@query("join_5_blast_radius", ", o as (select distinct node_id, qp as pid from ev), p as (select c_custkey % 8 as node_id, c_custkey as pid, c_mktsegment as comm, cast(c_custkey % 5 as varchar) as job from customer) select node_id, count(*) as processes, 'jobs ' || string_agg(distinct job, ',' order by job) || '; processes ' || string_agg(distinct comm, ',' order by comm) as summary from o join p using (node_id, pid) group by all", "ev")
 def _(spark, sf_dir):
     owners = events(spark, sf_dir).select("node_id", c("qp").alias("pid"))
     return joins.blast_radius(owners, _procs(spark, sf_dir)).select("node_id", "processes", "summary")
@@ -509,16 +515,19 @@ def _(spark, sf_dir):
     return scheduling.desired_states(history(spark, sf_dir)).select(*K, "state", "desired")
 
 
-also("fold_8_policy", "sch_1_desired_state")
+_hold = ", hc as (select node_id, window_seq, state, row_number() over (partition by node_id order by window_seq) as rn, case window_seq % 30 when 10 then 'hold' when 20 then 'release' end as cmd from hist), pc as (select distinct node_id, cast(0 as bigint) as rn, cast(null as bigint) as window_seq, cast(null as varchar) as state, 'Available' as desired from hc union all select h.node_id, h.rn, h.window_seq, h.state, case when h.state <> 'HEALTHY' then 'Draining' when h.cmd = 'hold' or (p.desired = 'HeldByOperator' and coalesce(h.cmd, '') <> 'release') then 'HeldByOperator' else 'Available' end from pc p join hc h on h.node_id = p.node_id and h.rn = p.rn + 1)"
 
 
-@query("sch_7_hold_commands")
+@state_query("sch_7_hold_commands", _hold + " select node_id, window_seq, state, desired, desired = 'HeldByOperator' as held from pc where rn > 0")
 def _(spark, sf_dir):
     h = history(spark, sf_dir)
     commands = h.filter("window_seq % 30 = 10 or window_seq % 30 = 20").select(*K, F.when(c("window_seq") % 30 == 10, "hold").otherwise("release").alias("command"))
     return scheduling.desired_states(h, True, commands)
 
 
+also("fold_8_policy", "sch_7_hold_commands")
+
+
 _parts = ["IDLE", "ALLOCATED+DRAIN", "DRAINED*", "DOWN*", "MIXED", "IDLE+DRAIN", "PLANNED"]
 _obs = ["Available", "Draining", "Drained", "Down", "Available", "Drained", "Unknown"]
 _pick = lambda xs: F.get(F.array(*[lit(x) for x in xs]), (c("k") % 7).cast("int"))
@@ -547,22 +556,27 @@ def observations(spark, sf_dir):
     reason = scheduling.field(c("line"), "Reason")
     base = events(spark, sf_dir)
     line = F.concat(lit("NodeName=n State="), _pick(_parts), lit(" Reason="), F.when(c("cpu") == 0, lit("fabrichealth:critical")).otherwise(lit("ops")))
-    rows = base.select(*K, c("event_id").alias("at"), line.alias("line"), "is_error").select("*", scheduling.observed_state(raw).alias("observed"), F.startswith(reason, lit(scheduling.PREFIX)).alias("managed_by_self"), (~F.contains(raw, lit("*"))).alias("responsive"))
-    want = scheduling.desired_states(history(spark, sf_dir)).select(*K, "desired")
-    return rows.join(want, K).withColumn("error", c("is_error")).drop("line", "is_error")
+    rows = base.select(*K, "event_id", F.floor(c("ts_us") / 1_000_000).cast("long").alias("at"), line.alias("line")).select("*", scheduling.observed_state(raw).alias("observed"), F.startswith(reason, lit(scheduling.PREFIX)).alias("managed_by_self"), (~F.contains(raw, lit("*"))).alias("responsive"))
+    want = scheduling.desired_states(history(spark, sf_dir)).select(*K, "state", "desired")
+    return rows.join(want, K).withColumn("error", c("window_seq") % 20 == 7).drop("line")
+
+
+def reconciled(spark, sf_dir):
+    return scheduling.reconcile(observations(spark, sf_dir).drop("desired"), order=("at", "event_id"))
 
 
-_obsql = _policy + f", ob as (select ev.node_id, ev.window_seq, event_id as \"at\", {_sqlpick(_obs)} as observed, cpu = 0 as managed, {_sqlpick(_parts)} not like '%*%' as responsive, desired from ev join ds using (node_id, window_seq))"
-_act = """case when observed = 'Unknown' then 'skip_unknown' when observed = 'Down' and not responsive then 'skip_down'
- when desired = 'Available' and observed in ('Draining', 'Drained', 'Down') and not managed then 'hold' when desired = 'Available' and observed = 'Available' then 'none'
+_obsql = _policy + f", ob as (select ev.node_id, ev.window_seq, event_id, {_sqlpick(_obs)} as observed, cpu = 0 as managed, {_sqlpick(_parts)} not like '%*%' as responsive, desired from ev join ds using (node_id, window_seq))"
+_act = """case when desired = 'Available' and observed in ('Draining', 'Drained', 'Down') and not managed then 'hold' when observed = 'Unknown' then 'skip_unknown'
+ when observed = 'Down' and not responsive then 'skip_down' when desired = 'Available' and observed = 'Available' then 'none'
  when desired = 'Draining' and observed in ('Draining', 'Drained') then 'none' when desired = 'Available' then 'resume' else 'drain' end"""
 
 for _alias in ("sch_3_converge", "join_13_desired_vs_observed"):
-    state_query(_alias, _obsql + f" select \"at\", node_id, desired, observed, {_act} as action from ob")(lambda spark, sf_dir: observations(spark, sf_dir).select("at", "node_id", "desired", "observed", scheduling.action().alias("action")))
-state_query("sch_2_operator_hold", _obsql + " select \"at\", node_id from ob where observed in ('Draining', 'Drained', 'Down') and not managed and desired = 'Available'")(lambda spark, sf_dir: observations(spark, sf_dir).filter(scheduling.operator_hold()).select("at", "node_id"))
-for _alias in ("sch_4_contested", "sch_6_backoff", "fold_9_reconciler"):
-    query(_alias)(lambda spark, sf_dir: scheduling.reconcile(observations(spark, sf_dir)))
-query("sch_8_action_log")(lambda spark, sf_dir: scheduling.reconcile(observations(spark, sf_dir)).groupBy("decision").agg(F.count("*").alias("n")))
+    state_query(_alias, _obsql + f" select event_id, node_id, desired, observed, {_act} as action from ob")(lambda spark, sf_dir: observations(spark, sf_dir).select("event_id", "node_id", "desired", "observed", scheduling.action().alias("action")))
+state_query("sch_2_operator_hold", _obsql + " select event_id, node_id from ob where observed in ('Draining', 'Drained', 'Down') and not managed and desired = 'Available'")(lambda spark, sf_dir: observations(spark, sf_dir).filter(scheduling.operator_hold()).select("event_id", "node_id"))
+query("fold_9_reconciler")(reconciled)
+query("sch_4_contested")(lambda spark, sf_dir: reconciled(spark, sf_dir).filter(c("decision").isin("contested_resume", "contested")))
+query("sch_6_backoff")(lambda spark, sf_dir: reconciled(spark, sf_dir).filter(c("decision").isin("read_failed", "backoff")))
+query("sch_8_action_log")(lambda spark, sf_dir: reconciled(spark, sf_dir).groupBy("decision").agg(F.count("*").alias("n")))
 query("sch_5_reconcile_interval", "select node_id, window_seq, min(event_id) as \"at\" from ev group by all", "ev")(lambda spark, sf_dir: events(spark, sf_dir).groupBy(*K).agg(F.min("event_id").alias("at")))
 
 # metrics
@@ -581,7 +595,7 @@ def _(spark, sf_dir):
     return events(spark, sf_dir).filter("kind = 'NapiPoll'").select(body.alias("body")).select(parsed.alias("p")).select("p.event_id", F.inline("p.results")).drop("error")
 
 
-@query("src_12_targets", "select n_name || ':9100' as target, cast(n_regionkey as varchar) as region from nation", "")
+@query("src_12_targets", "select s_name || ':9100' as target, cast(s_nationkey as varchar) as region from supplier", "")
 def _(spark, sf_dir):
     body = F.to_json(F.array(F.struct(F.array(F.concat(c("name"), lit(":9100"))).alias("targets"), F.create_map(lit("region"), c("region").cast("string")).alias("labels"))))
     rows = nodes(spark, sf_dir).select(F.from_json(body, "array<struct<targets: array<string>, labels: map<string,string>>>").alias("x")).select(F.inline("x"))

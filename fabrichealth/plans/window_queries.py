@@ -267,7 +267,8 @@ def _(spark, sf_dir):
 @query("src_9_softnet", "select node_id, window_seq as snapshot, cast(0 as integer) as cpu, n_events as processed, irq_total as dropped, napi_work as time_squeeze from wi")
 def _(spark, sf_dir):
     text = F.concat(F.lower(F.concat_ws(" ", F.hex("n_events"), F.hex("irq_total"), F.hex(c("napi_work")))), F.lit("\nzz 1 2\n"))
-    return landed.softnet(wins(spark, sf_dir).select("node_id", c("window_seq").alias("snapshot"), text.alias("text")))
+    found = landed.softnet(wins(spark, sf_dir).select("node_id", c("window_seq").alias("snapshot"), text.alias("text")))
+    return found.withColumns({x: c(x).cast("long") for x in ("processed", "dropped", "time_squeeze")})
 
 
 @query("src_13_metrics_text", "select 'events_total' as name, cast(node_id as varchar) as node, cast(n_events as double) as value from wi")

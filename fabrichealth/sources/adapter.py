@@ -20,6 +20,11 @@ def micros(ts: Column) -> Column:
     return day + F.hour(ts).cast("long") * 3_600_000_000 + F.minute(ts).cast("long") * 60_000_000 + F.round(F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
 
 
+def _kind(kind: Column, k: Column) -> Column:
+    """Some allocations are frees, and some polls packets."""
+    return F.when((kind == "SlabAlloc") & (k % 5 == 4), "SlabFree").when((kind == "NapiPoll") & (k % 3 == 2), "NetifReceive").otherwise(kind)
+
+
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as telemetry: node, window and the fields of each kind."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -28,7 +33,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         (F.col("user_id") % NODES).alias("node_id"),
         micros(F.col("ts")).alias("ts_us"),
-        F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.col("event_type")).alias("kind"),
+        _kind(F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.col("event_type")), k).alias("kind"),
         (F.round(F.col("value") * 100).cast("long") * 10).alias("latency_ns"),
         k.alias("k"),
     )
@@ -40,12 +45,13 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") % 53 == 0).alias("is_error"),
         ((F.col("k") + 1) * 64).alias("bytes_req"),
         ((F.col("k") + 1) * 128).alias("bytes_alloc"),
+        ((F.col("k") + 1) * 100).alias("len"),
         F.lit(64).cast("long").alias("budget"),
         (F.col("k") % 65).alias("work_done"),
         (1 + F.col("k") % 2).cast("int").alias("port"),
         (F.col("k") % 17).cast("int").alias("counter"),
     )
-    total = F.sum("latency_ns").over(W.partitionBy("node_id", "port", "counter", F.col("kind") == "HardwareCounter").orderBy("ts_us", "event_id"))
+    total = F.sum("latency_ns").over(W.partitionBy("node_id", "port", "counter", "kind").orderBy("ts_us", "event_id"))
     return rows.withColumn("reading", F.when(F.col("kind") == "HardwareCounter", total % 100_000))
 
 
@@ -68,6 +74,6 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 EV = f"""ev0 as (select event_id, user_id % {NODES} as node_id, epoch_us(ts) as ts_us,
   case event_type when 'click' then 'IrqEntry' when 'view' then 'CqCompletion' when 'purchase' then 'SlabAlloc' when 'signup' then 'NapiPoll' when 'error' then 'HardwareCounter' end as kind,
   cast(round(value * 100) as bigint) * 10 as latency_ns, cast(json_extract_string(props, '$.k') as bigint) as k from events),
-ev1 as (select *, cast(floor((ts_us - {EPOCH_US}) / {WINDOW_US}) as bigint) as window_seq, cast(k % 4 as integer) as cpu, event_id % 97 as qp, event_id % 53 = 0 as is_error,
-  (k + 1) * 64 as bytes_req, (k + 1) * 128 as bytes_alloc, cast(64 as bigint) as budget, k % 65 as work_done, cast(1 + k % 2 as integer) as port, cast(k % 17 as integer) as counter from ev0),
+ev1 as (select * replace (case when kind = 'SlabAlloc' and k % 5 = 4 then 'SlabFree' when kind = 'NapiPoll' and k % 3 = 2 then 'NetifReceive' else kind end as kind), cast(floor((ts_us - {EPOCH_US}) / {WINDOW_US}) as bigint) as window_seq, cast(k % 4 as integer) as cpu, event_id % 97 as qp, event_id % 53 = 0 as is_error,
+  (k + 1) * 64 as bytes_req, (k + 1) * 128 as bytes_alloc, (k + 1) * 100 as len, cast(64 as bigint) as budget, k % 65 as work_done, cast(1 + k % 2 as integer) as port, cast(k % 17 as integer) as counter from ev0),
 ev as (select *, case when kind = 'HardwareCounter' then cast(sum(latency_ns) over (partition by node_id, port, counter, kind = 'HardwareCounter' order by ts_us, event_id) % 100000 as bigint) end as reading from ev1)"""

@@ -8,26 +8,40 @@ from pyspark.sql import functions as F
 from fabrichealth.schemas import COUNTER_FILES, SCENARIO_SCHEMA
 
 c = F.col
+#: A scenario larger than this is refused.
 MAX_BYTES, MAX_EVENTS = 100_000_000, 10_000_000
 
 
 def scenarios(spark: SparkSession, path: str) -> DataFrame:
-    """Scenario files as rows; a bare event array is a scenario without expectations; broken files are dropped."""
+    """Scenario files as rows; a bare event array is a scenario without expectations. Broken files are left out, see ``rejected``."""
     return parse_scenarios(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.trim("value").alias("value")))
 
 
+def rejected(text: DataFrame) -> DataFrame:
+    """(file, reason) of the JSON documents(file, value) that are no scenario."""
+    return _parsed(text).filter("events is null").select("file", F.lit("no scenario").alias("reason"))
+
+
+def _refuse(where: Column, value: Column, what: str) -> Column:
+    return F.when(where, F.raise_error(F.concat(F.lit(f"scenario with too many {what}: "), c("file")))).otherwise(value)
+
+
 def parse_scenarios(text: DataFrame) -> DataFrame:
-    """scenario, events and expected_states of JSON documents(file, value) of at most 100 MB."""
+    """scenario, events and expected_states of JSON documents(file, value); one above the fixed sizes is an error."""
+    return _parsed(text).filter("events is not null").drop("file")
+
+
+def _parsed(text: DataFrame) -> DataFrame:
     event = SCENARIO_SCHEMA.split("events array<", 1)[1].split(">>>>, ", 1)[0] + ">>>"
     bare = F.startswith("value", F.lit("["))
-    parsed = text.filter(F.length("value") <= MAX_BYTES).select(
+    parsed = text.withColumn("value", _refuse(F.length("value") > MAX_BYTES, c("value"), "bytes")).select(
         "file",
         F.when(~bare, F.from_json("value", SCENARIO_SCHEMA)).alias("s"),
         F.when(bare, F.from_json("value", f"array<{event}>")).alias("e"),
     )
     name = F.coalesce("s.name", F.regexp_extract("file", r"([^/]+?)(?:\.json)?$", 1))
-    found = parsed.select(name.alias("scenario"), F.coalesce("s.events", "e").alias("events"), "s.expected_states").filter("events is not null")
-    return found.filter(F.size("events") <= MAX_EVENTS)
+    events = F.coalesce("s.events", "e")
+    return parsed.select("file", name.alias("scenario"), _refuse(F.size(events) > MAX_EVENTS, events, "events").alias("events"), "s.expected_states")
 
 
 def scenario_events(found: DataFrame) -> DataFrame:
@@ -73,8 +87,8 @@ def fragmentation_pct() -> Column:
 
 def softnet(snapshots: DataFrame) -> DataFrame:
     """Hexadecimal (processed, dropped, time_squeeze) by CPU; rows with any bad cell are dropped."""
-    rows = _lines(snapshots).withColumn("w", F.split(F.trim("line"), r"\s+")).filter((F.size("w") >= 3) & F.forall(F.slice("w", 1, 3), lambda x: x.rlike("^[0-9a-fA-F]{1,15}$")))
-    number = lambda i: F.conv(c("w")[i], 16, 10).cast("long")
+    rows = _lines(snapshots).withColumn("w", F.split(F.trim("line"), r"\s+")).filter((F.size("w") >= 3) & F.forall(F.slice("w", 1, 3), lambda x: x.rlike("^[0-9a-fA-F]{1,16}$")))
+    number = lambda i: F.conv(c("w")[i], 16, 10).cast("decimal(20,0)")  # noqa: E731  # unsigned 64 bits
     return rows.select("node_id", "snapshot", c("line_no").alias("cpu"), number(0).alias("processed"), number(1).alias("dropped"), number(2).alias("time_squeeze"))
 
 
@@ -110,7 +124,7 @@ def processes(rows: DataFrame) -> DataFrame:
 def env(name: str) -> Column:
     """A variable of NUL-separated text; empty is null."""
     found = F.get(F.filter(F.split("environ", "\u0000"), lambda x: F.startswith(x, F.lit(f"{name}="))), F.lit(0))
-    return F.nullif(F.substring(found, len(name) + 2, 100_000), F.lit(""))
+    return F.nullif(F.replace(F.regexp_replace(found, f"^{name}=", ""), F.lit("\u0000")), F.lit(""))
 
 
 def device_class(name: Column) -> Column:

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from fabrichealth.config import SCALED, StateConfig, Thresholds
-from fabrichealth.operators import folds
+from fabrichealth.operators import folds, scheduling
 from fabrichealth.streaming.jobs import empty_window
 
 
@@ -65,6 +65,33 @@ def test_link_rule_layers_and_cooldown():
     assert rule.elevated == 0 and rule.link == "NOMINAL"
 
 
+def test_a_hold_outlives_health_but_not_a_critical_window():
+    p = scheduling.Policy()
+    assert [p.update(*x) for x in (("HEALTHY",), ("HEALTHY", "hold"), ("DEGRADED",), ("HEALTHY",), ("CRITICAL",), ("DEGRADED",), ("HEALTHY",))] == ["Available", *["HeldByOperator"] * 3, "Draining", "Draining", "Available"]
+    assert p.update("HEALTHY", "hold") == "HeldByOperator" and p.update("HEALTHY", "release") == "Available"
+    assert p.update("CRITICAL") == "Draining" and p.update("DEGRADED", "release") == "Draining"
+    assert scheduling.Policy(True).update("RECOVERING", "hold") == "Draining"
+
+
+def test_reconciler_holds_contests_cools_down_and_backs_off():
+    tick = lambda at, state="CRITICAL", observed="Available", mine=True, **more: {"at": at, "state": state, "observed": observed, "managed_by_self": mine, "responsive": True} | more
+    r = scheduling.Reconciler()
+    assert [r.update(x) for x in (tick(0), tick(10, observed="Drained"), tick(20), tick(30), tick(319), tick(320))] == ["drain", "none", "contested_resume", "contested", "contested", "drain"]
+    assert [r.update(tick(at, "HEALTHY", "Drained")) for at in (330, 379, 380)] == ["cooldown", "cooldown", "resume"]
+    assert [r.update(tick(400, "HEALTHY", "Down", False)), r.update(tick(410, "HEALTHY", "Available")), r.desired] == ["hold", "none", "HeldByOperator"]
+    assert [r.update(tick(420, "CRITICAL", "Down", responsive=False)), r.update(tick(430, "CRITICAL", "Unknown"))] == ["skip_down", "skip_unknown"]
+    assert [r.update(tick(500 + k, error=True)) for k in range(7)] == [*["read_failed"] * 5, "backoff", "backoff"]
+    assert [r.update(tick(804)), r.update(tick(805)), r.update(tick(806))] == ["backoff", "drain", "drain"]
+
+
+def test_fusion_and_weights_move_the_raw_score():
+    w = empty_window(0, 0) | {"score": 0.1, "has_link_signal": True, "fusion": 0.25}
+    assert math.isclose(folds.Verdict(Thresholds()).update(w)["raw"], 0.35)
+    alert = w | {"fusion": 0.0, "slab_pressure_correlation": folds.CRITICAL}
+    assert math.isclose(folds.Verdict(Thresholds(), {"slab_pressure_correlation": 0.4}).update(alert)["raw"], 0.55 * 0.4)
+    assert math.isclose(folds.Verdict(Thresholds()).update(alert)["raw"], 0.55)
+
+
 def test_ties_take_the_slower_track():
     t = folds.Timescales(StateConfig())
     t.fast.machine.state, t.medium.machine.state, t.slow.machine.state = folds.DEGRADED, folds.RECOVERING, folds.HEALTHY

@@ -2,9 +2,10 @@
 
 For every participant of a conversation the dialogue is rendered with that speaker as the assistant and the
 others as named users; the mask marks the characters of the speaker's own turns. A dialogue is rendered in
-parts of ``part_turns`` turns, so a conversation of any length never meets in one task: joined in order of
-``part`` the parts give the whole dialogue, and most conversations have one part. ``start`` is the part's
-place in the whole rendered dialogue; ``mask`` holds spans ``from-to`` in code points within the part.
+parts of ``part_turns`` turn numbers: joined in order of ``part`` the parts give the whole dialogue, and most
+conversations have one part. Turns that share a number stay in one part, and the parts of one conversation and
+speaker are put in order in one task, which sorts and may spill them. ``start`` is the part's place in the whole
+rendered dialogue; ``mask`` holds spans ``from-to`` in code points within the part.
 
 Order: turn (nulls first), then role, then text. Equal rows count once. Null role: the participant
 ``unknown``; null text: empty; null conv_id: a conversation of its own. Extra columns are ignored, an empty

@@ -176,6 +176,23 @@ def test_secrets(spark, empty):
     assert secrets.findings(empty).count() == 0 and secrets.redact(empty).count() == 0
 
 
+def test_short_secrets_and_look_alikes(spark):
+    rnd = random.Random(3)
+    pick = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    hexes = [pick("0123456789abcdef", 40) for _ in range(40)]
+    rows = [(i, f'set token = "{h}" now', "en") for i, h in enumerate(hexes)]
+    short = ["Tr0ub4dor&3", "hunt3r2!x", "pa55-w0rd#9"]
+    rows += [(100, f"use password={short[0]} here", "en"), (101, f"db_pwd: {short[1]} ok", "en"), (102, f'secret = "{short[2]}"', "en")]
+    look = lambda: [f"commit {pick('0123456789abcdef', 40)} fixes", f"id {pick('0123456789abcdef', 8)}-e89b-12d3-a456-{pick('0123456789', 12)} of", f"see https://example.com/{pick('longpath', 32)}/page", f"password: {pick('forgotten', 9)}", "the token was lost"]
+    rows += [(200 + i, t, "en") for i, t in enumerate(t for _ in range(10) for t in look())]
+    table = spark.createDataFrame(rows, SCHEMA).withColumn("_key", F.lit("clash")).withColumn("_values", F.lit("clash"))
+    found = secrets.findings(table).collect()
+    assert {r.value for r in found if r.is_secret} == {*hexes, *short}
+    clean = secrets.redact(table)
+    assert clean.columns == table.columns
+    assert {r.doc_id: r.text for r in clean.collect() if r.doc_id >= 100} == {**{i: t for i, t, _ in rows if i >= 200}, 100: "use password=[SECRET] here", 101: "db_pwd: [SECRET] ok", 102: 'secret = "[SECRET]"'}
+
+
 # 4
 
 

@@ -58,7 +58,7 @@ _word_hashes: dict[bytes, int] = {}
 
 
 def word_hashes(words: list[bytes]):
-    """64-bit hashes of words, remembered in the worker (at most 400,000 of them)."""
+    """64-bit hashes of words, remembered by the task (at most 400,000 of them)."""
     import numpy as np
     import xxhash
 
@@ -119,6 +119,7 @@ def sketches(docs: DataFrame, join: Join) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
+        _word_hashes.clear()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -127,6 +128,7 @@ def sketches(docs: DataFrame, join: Join) -> DataFrame:
                 rows.append((doc_id, len(found), int.from_bytes(print_[:8], "little", signed=True), int.from_bytes(print_[8:], "little", signed=True), signature(found, join.minwise, join.seed).tobytes() if len(found) else None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "n_shingles", "p1", "p2", "sig"])
+        _word_hashes.clear()  # the worker goes on to other stages
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(sketch, "doc_id long, n_shingles long, p1 long, p2 long, sig binary")
 
@@ -314,6 +316,7 @@ def exact_links(docs: DataFrame, clusters: DataFrame, join: Join) -> DataFrame:
             for batch in batches:
                 found = [shingles(t, join.words).tobytes() for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in batch.schema.names if n != "text"), pa.array(found, pa.binary())], [*(n for n in batch.schema.names if n != "text"), "set"])
+            _word_hashes.clear()
 
         return texts.join(named, "id").select(*named.columns, "text").mapInArrow(sets, ", ".join(f"{n} {t}" for n, t in named.dtypes) + ", set binary")
 

@@ -144,5 +144,12 @@ def place(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
 
 
 def pack(docs: DataFrame, size: int = SEQUENCE, tokenizer_path: str | None = None, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """Pack ``docs(doc_id, text)`` into sequences of ``size`` tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return place(settle(cut_pieces(docs, size, tokenizer_path, end_id, with_ids), "pieces"), size)
+    """Pack ``docs(doc_id, text)`` into sequences of ``size`` tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset and, if asked for, ids."""
+    pieces = settle(cut_pieces(docs, size, tokenizer_path, end_id, with_ids), "pieces")
+    if not with_ids:
+        return place(pieces, size)
+    # ids are not sent through the placement, but meet their place by the piece's task, length and rank there
+    own = {"_task": F.col("task"), "_rank": F.col("rank")}
+    placed = place(pieces.drop("ids").withColumns(own), size)
+    ids = pieces.withColumns(own).select("_task", "length", "_rank", "ids")
+    return placed.join(ids, ["_task", "length", "_rank"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")

@@ -394,6 +394,8 @@ def test_packing(docs, empty, tokenizer):
         assert end <= 64
     assert len(sequences) == plain_best_fit([r.length for r in out], 64)
     assert packing.pack(empty).count() == 0
+    whole = packing.pack(docs, size=64, with_ids=True).collect()
+    assert len(whole) == len(out) and all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in whole)
 
 
 # 7

@@ -79,7 +79,7 @@ def notifications(alerts: DataFrame, wait: int = 0, interval: int = 1, repeat: i
         lambda: Notify(wait, interval, repeat),
         lambda s, r: {"sent": s.update(r["window_seq"], r["alerts"])},
         "node_id long, alertname string, severity string, window_seq long, alerts long, sent boolean",
-        key=["node_id", "alertname", "severity"],
+        key=("node_id", "alertname", "severity"),
     )
 
 

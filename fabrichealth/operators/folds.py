@@ -2,14 +2,14 @@
 
 Each step class keeps a small state and takes one window at a time; ``dump`` and ``load`` turn the state into
 plain lists, so a batch back-fill and a stream run the same steps. Windows are aggregated before they reach a
-fold, so a node's group holds one narrow row per window, and ``verdicts`` can start from a stored state, which
-lets long histories run day by day.
+fold; a task walks its nodes' sorted rows batch by batch and never holds a whole history. ``verdicts`` can start
+from a stored state, so new days need no replay of old ones.
 """
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Iterator
 
 from fabrichealth.config import StateConfig, Thresholds
 
@@ -288,7 +288,7 @@ class Verdict(State):
         severity = alerts[worst] if worst else HEALTHY
         fresh = w["score"]
         raw = fresh if w["has_link_signal"] else max(0.9 * self.raw, fresh)
-        raw = min(raw + w.get("fusion", 0.0), 1.0)
+        raw = min(raw + (w.get("fusion") or 0.0), 1.0)
         c = self.t.state
         floor = {CRITICAL: c.critical_enter, DEGRADED: c.degrade_enter}.get(severity, 0.0) * (self.weights.get(worst, 1.0) if worst else 0.0)
         self.raw = raw = max(raw, floor)
@@ -315,12 +315,46 @@ FOLD_COLUMNS = (
 )
 
 
-def fold(rows: Iterator[dict], step) -> Iterator[dict]:
-    """Feed a node's windows in order; a row with ``reset`` starts the node anew."""
-    for w in rows:
-        if w.get("reset"):
-            step = Verdict(step.t, step.weights)
-        yield {"node_id": w["node_id"], "window_seq": w["window_seq"], **step.update(w)}
+def advance(steps: list, w: dict) -> dict:
+    """Feed a node's next window to the only item of ``steps``; a row with ``reset`` starts the node anew."""
+    if w.get("reset"):
+        steps[0] = Verdict(steps[0].t, steps[0].weights)
+    return steps[0].update(w)
+
+
+#: Arrow's name of each type that the folds return.
+ARROW_TYPES = {"long": "int64", "double": "float64", "string": "string", "boolean": "bool"}
+
+
+def walk(table, start, step, schema: str, order=("window_seq",), keys=("node_id",), end=None):
+    """Each key's rows in order through ``step(state, row)``, whose result is added to the row.
+
+    ``start(first row)`` makes a key's state. With ``end`` only ``end(state, last row)`` is given, once per key. Rows
+    are dealt by key and sorted in their partition, so a task holds one batch of rows however long a history is.
+    """
+    fields = [f.split() for f in schema.split(", ")]
+
+    def run(batches):
+        import pyarrow as pa
+
+        given = pa.schema([(name, ARROW_TYPES[kind]) for name, kind in fields])
+        state, last, now = None, None, None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                before, now = now, [row[k] for k in keys]
+                if last is None or now != before:
+                    if end is not None and last is not None:
+                        out.append(end(state, last))
+                    state = start(row)
+                new, last = step(state, row), row
+                if end is None:
+                    out.append({**{name: row[name] for name, _ in fields if name in row}, **new})
+            yield pa.RecordBatch.from_pylist(out, schema=given)
+        if end is not None and last is not None:
+            yield pa.RecordBatch.from_pylist([end(state, last)], schema=given)
+
+    return table.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def verdicts(windows, t: Thresholds, weights=None, states=None):
@@ -329,22 +363,15 @@ def verdicts(windows, t: Thresholds, weights=None, states=None):
     ``weights`` scales the floor of each rule's severity: by rule for all nodes, or as a table (node_id, rule,
     weight). ``states(node_id, state)``, JSON from an earlier run's ``final_states``, continues where that run ended.
     """
-    import json
-
-    import pandas as pd
-
-    names = [f.split()[0] for f in VERDICT_SCHEMA.split(", ")]
-
     by_rule = weights if weights is None or isinstance(weights, dict) else None
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def start(row: dict) -> list:
         step = Verdict(t, by_rule)
-        if "_weights" in pdf and isinstance(pdf["_weights"].iloc[0], str):
-            step.weights = json.loads(pdf["_weights"].iloc[0])
-        if "_state" in pdf and isinstance(pdf["_state"].iloc[0], str):
-            step.load(json.loads(pdf["_state"].iloc[0]))
-        rows = pdf.sort_values("window_seq").drop(columns=["_state", "_weights"], errors="ignore").to_dict("records")
-        return pd.DataFrame(list(fold(rows, step)), columns=names)
+        if row.get("_weights"):
+            step.weights = json.loads(row["_weights"])
+        if row.get("_state"):
+            step.load(json.loads(row["_state"]))
+        return [step]
 
     if weights is not by_rule:
         from pyspark.sql import functions as F
@@ -353,33 +380,15 @@ def verdicts(windows, t: Thresholds, weights=None, states=None):
         windows = windows.join(own, "node_id", "left")
     if states is not None:
         windows = windows.join(states.withColumnRenamed("state", "_state"), "node_id", "left")
-    return windows.groupBy("node_id").applyInPandas(run, VERDICT_SCHEMA)
+    return walk(windows, start, advance, VERDICT_SCHEMA)
 
 
 def final_states(windows, t: Thresholds, weights: dict[str, float] | None = None):
     """(node_id, state): each node's state after its last window, to continue from."""
-    import json
-
-    import pandas as pd
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        step = Verdict(t, weights)
-        for _ in fold(pdf.sort_values("window_seq").to_dict("records"), step):
-            pass
-        return pd.DataFrame({"node_id": [key[0]], "state": [json.dumps(step.dump())]})
-
-    return windows.groupBy("node_id").applyInPandas(run, "node_id long, state string")
+    last = lambda steps, row: {"node_id": row["node_id"], "state": json.dumps(steps[0].dump())}
+    return walk(windows, lambda _: [Verdict(t, weights)], advance, "node_id long, state string", end=last)
 
 
-def fold_column(table, make, update, schema: str, order="window_seq", key="node_id"):
+def fold_column(table, make, update, schema: str, order=("window_seq",), key=("node_id",)):
     """Run one step class over each key's rows in order; ``update(step, row)`` gives the new columns."""
-    import pandas as pd
-
-    names = [f.split()[0] for f in schema.split(", ")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        step = make()
-        rows = pdf.sort_values(order).to_dict("records")
-        return pd.DataFrame([{**{k: r[k] for k in names if k in r}, **update(step, r)} for r in rows], columns=names)
-
-    return table.groupBy(key).applyInPandas(run, schema)
+    return walk(table, lambda _: make(), update, schema, order, key)

@@ -610,12 +610,15 @@ def _streamed(spark, sf_dir):
 
     from fabrichealth.streaming import jobs
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = root or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     place = f"{root}/stream-{uuid.uuid4().hex}"
     rules.fold_input(wins(spark, sf_dir), SCALED).write.parquet(f"{place}/in")
     source = spark.readStream.schema(spark.read.parquet(f"{place}/in").schema).parquet(f"{place}/in")
     jobs.to_tables(jobs.verdict_stream(source, SCALED), f"{place}/out", f"{place}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{place}/out")
+    return spark.read.parquet(f"{place}/out").drop("epoch")
 
 
 query("str_5_stream_verdict")(_streamed)

@@ -68,11 +68,14 @@ def verdict_stream(windows: DataFrame, t: Thresholds, timeout_ms: int | None = N
 
 
 def to_tables(df: DataFrame, path: str, checkpoint: str, handlers=()):
-    """Run to the end of the available input, append to a table, and give each batch to the handlers."""
+    """Run to the end of the available input, write each batch to its own ``epoch`` folder, and give it to the handlers.
+
+    A batch that is run again after a failure replaces its folder. Handlers may see such a batch twice.
+    """
 
     def batch(rows: DataFrame, epoch: int) -> None:
         rows.persist()
-        rows.write.mode("append").parquet(path)
+        rows.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
         for handler in handlers:
             handler(rows, epoch)
         rows.unpersist()

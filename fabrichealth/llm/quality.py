@@ -107,11 +107,11 @@ def thresholds(counted: DataFrame, labels: DataFrame, max_false_rejection: float
     tests = [(rule, cut) for rule, cuts in CUTOFFS.items() for cut in cuts]
     counts = good.groupBy(F.coalesce("lang", F.lit("")).alias("stratum")).agg(F.count("*").alias("n"), *[F.count_if(F.col(rule) > cut).alias(f"k{i}") for i, (rule, cut) in enumerate(tests)])
     rate = max_false_rejection / len(CUTOFFS)
-    strata = counts.select(F.count("*").alias("strata"))
+    strata = counts.select(F.count("*")).scalar()
     # a stratum whose k is already above rate * n can't pass, so long sums are never formed for it
-    allowed = lambda i: (F.col(f"k{i}") <= F.col("n") * rate) & (binomial_cdf(F.when(F.col(f"k{i}") <= F.col("n") * rate, F.col(f"k{i}")).otherwise(0), F.col("n"), rate) * F.col("strata") * len(tests) <= delta)
+    allowed = lambda i: (F.col(f"k{i}") <= F.col("n") * rate) & (binomial_cdf(F.when(F.col(f"k{i}") <= F.col("n") * rate, F.col(f"k{i}")).otherwise(0), F.col("n"), rate) * F.col("_strata") * len(tests) <= delta)
     cuts = {rule: F.least(*[F.when(allowed(i), F.lit(cut)) for i, (r, cut) in enumerate(tests) if r == rule], F.lit(None).cast("double")) for rule in CUTOFFS}
-    return counts.crossJoin(F.broadcast(strata)).select("stratum", *[c.alias(f"cut_{rule}") for rule, c in cuts.items()])
+    return counts.withColumn("_strata", strata).select("stratum", *[c.alias(f"cut_{rule}") for rule, c in cuts.items()])
 
 
 #: Strata up to this many are broadcast; more are joined on their key, where Spark splits a hot stratum.

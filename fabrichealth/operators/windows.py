@@ -91,8 +91,8 @@ def port_counters(events: DataFrame) -> DataFrame:
 
 def spine(windows: DataFrame) -> DataFrame:
     """Every window from the first to the last of the fleet, for every node: also empty ones are evaluated."""
-    ends = windows.agg(F.min("window_seq").alias("a"), F.max("window_seq").alias("b"))
-    return windows.select("node_id").distinct().crossJoin(F.broadcast(ends)).select("node_id", F.explode(F.sequence("a", "b")).alias("window_seq"))
+    ends = windows.agg(F.sequence(F.min("window_seq"), F.max("window_seq"))).scalar()
+    return windows.select("node_id").distinct().select("node_id", F.explode(ends).alias("window_seq"))
 
 
 def health_windows(events: DataFrame, num_cpus: int = 4, derive_cq: bool = True, stall_ns: int = 50_000) -> DataFrame:

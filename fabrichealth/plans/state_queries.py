@@ -473,7 +473,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     ev = events(spark, sf_dir).select("event_id", c("ts_us").alias("timestamp_unix"), lit(86_400_000_000).cast("long").alias("interval_secs"))
     now = ev.agg(F.max("timestamp_unix").alias("now"))
-    return landed.fresh(ev.crossJoin(F.broadcast(now)), c("now")).select("event_id")
+    return landed.fresh(ev, now.scalar()).select("event_id")
 
 
 def _procs(spark, sf_dir):

@@ -111,12 +111,15 @@ def _(spark, sf_dir):
     return fleet.timeline(history(spark, sf_dir)).drop("stretch")
 
 
-@state_query("flq_9_node_table", f", n as (select node_id, max_by(state, window_seq) as state, max_by(effective, window_seq) as e from hist group by all), m as (select node_id, max_by({ALL}, window_seq) as errors, max_by(case when napi_budget > 0 then napi_work / napi_budget * 100 else 0 end, window_seq) as napi from wi group by all) select node_id, state, cast(trunc(e * 1000) as bigint) as score, errors, round(napi, 6) as napi_pct from n full join m using (node_id)")
+_table = f", n as (select node_id, max_by(state, window_seq) as state, max_by(effective, window_seq) as e from hist group by all), m as (select node_id, max_by({ALL}, window_seq) as errors, max_by(case when napi_budget > 0 then napi_work / napi_budget * 100 else 0 end, window_seq) as napi from wi group by all) select node_id, state, cast(trunc(e * 1000) as bigint) as score, errors, round(napi, 6) as napi_pct from n full join m using (node_id)"
+
+
+@state_query("flq_9_node_table", _table)
 def _(spark, sf_dir):
     return fleet.node_table(history(spark, sf_dir), wins(spark, sf_dir)).withColumn("napi_pct", r6("napi_pct"))
 
 
-query("join_9_merge_instant")(lambda spark, sf_dir: fleet.node_table(history(spark, sf_dir), wins(spark, sf_dir)))
+state_query("join_9_merge_instant", _table.replace("round(napi, 6)", "napi"))(lambda spark, sf_dir: fleet.node_table(history(spark, sf_dir), wins(spark, sf_dir)))
 
 
 def nodes(spark, sf_dir):
@@ -213,9 +216,16 @@ state_query("snk_5_alert_payload", _alr() + " select node_id, window_seq, '{\"so
     lambda spark, sf_dir: alerts(spark, sf_dir).select(*K, "severity", c("alertname").alias("kind"), c("alertname").alias("message"), F.concat(lit("node "), c("node_id").cast("string")).alias("affected"), c("window_seq").alias("timestamp_ns")).select(*K, alerting.payload(None).alias("body"))
 )
 query("alr_3_grouping")(lambda spark, sf_dir: alerting.notifications(alerts(spark, sf_dir)))
-query("fold_10_rate_limit")(lambda spark, sf_dir: alerting.rate_limited(alerts(spark, sf_dir), 4))
-query("act_1_dispatch_log")(lambda spark, sf_dir: alerting.dispatch_log(alerting.rate_limited(alerts(spark, sf_dir), 4), ["webhook", "log"]))
-query("snk_3_status_json")(lambda spark, sf_dir: sinks.status_json(history(spark, sf_dir), alerts(spark, sf_dir).withColumnRenamed("alertname", "kind")))
+# of a node's alert windows each next one is sent that lies at least 4 after the last one sent
+_sent = """, a as (select node_id, window_seq, count(*) as alerts from al group by all),
+nx as (select a.node_id, a.window_seq, min(b.window_seq) as nxt from a join a b on b.node_id = a.node_id and b.window_seq >= a.window_seq + 4 group by all),
+d as (select node_id, min(window_seq) as window_seq from a group by node_id union all select nx.node_id, nxt from d join nx using (node_id, window_seq))"""
+state_query("fold_10_rate_limit", _alr() + _sent + " select a.*, (node_id, window_seq) in (select (node_id, window_seq) from d) as dispatched from a")(lambda spark, sf_dir: alerting.rate_limited(alerts(spark, sf_dir), 4))
+state_query("act_1_dispatch_log", _alr() + _sent + " select node_id, window_seq, handler, true as dry_run, 'skipped' as result from d cross join (values ('webhook'), ('log')) h(handler)")(lambda spark, sf_dir: alerting.dispatch_log(alerting.rate_limited(alerts(spark, sf_dir), 4), ["webhook", "log"]))
+_last = """, r as (select *, row_number() over (partition by node_id order by window_seq desc, alertname) as rank from al),
+g as (select node_id, string_agg('{"rank":' || rank || ',"window_seq":' || window_seq || ',"kind":"' || alertname || '","severity":"' || severity || '"}', ',' order by rank) as rows from r where rank <= 100 group by node_id),
+n as (select node_id, max_by(state, window_seq) as state, max(window_seq) as w from hist group by node_id)"""
+state_query("snk_3_status_json", _alr() + _last + """ select node_id, '{"now":{"state":"' || state || '","window_seq":' || w || '},"alerts":[' || coalesce(rows, '') || ']}' as body from n left join g using (node_id)""")(lambda spark, sf_dir: sinks.status_json(history(spark, sf_dir), alerts(spark, sf_dir).withColumnRenamed("alertname", "kind")))
 
 # verdict folds: held against step-by-step tests
 query("scr_4_verdict")(lambda spark, sf_dir: verdicts(spark, sf_dir))
@@ -421,7 +431,8 @@ query("cov_3_coverage", INV + ", " + CAPS + " select node_id, capability, backen
 query("cov_4_grade", INV + ", " + CAPS + " select node_id, case when min(code) = 3 then 'A' when min(code) >= 2 then 'B' when max(code) > 0 then 'C' else 'F' end as grade from cv where capability in ('LinkErrors', 'Throughput', 'CompletionLatency', 'RetransmitSignal') group by all", "")(lambda spark, sf_dir: samples.grade(covered(spark, sf_dir)))
 query("cov_6_quality_gauge", INV + ", " + CAPS + " select node_id, capability, backend, code from cv", "")(lambda spark, sf_dir: covered(spark, sf_dir).select("node_id", "capability", "backend", samples.quality_code(c("quality")).alias("code")))
 query("prj_3_codes", INV + ", " + CAPS + " select quality, code, count(*) as n from cv group by all", "")(lambda spark, sf_dir: covered(spark, sf_dir).groupBy("quality", samples.quality_code(c("quality")).alias("code")).agg(F.count("*").alias("n")))
-query("snk_4_coverage_json")(lambda spark, sf_dir: sinks.coverage_json(covered(spark, sf_dir)))
+_cells = """'{"capability":"' || capability || '","backend":"' || backend || '","quality":"' || quality || '"}'"""
+query("snk_4_coverage_json", INV + ", " + CAPS + f" select node_id, '[' || string_agg({_cells}, ',' order by capability, backend, quality) || ']' as body from cv group by node_id", "")(lambda spark, sf_dir: sinks.coverage_json(covered(spark, sf_dir)))
 query("srt_1_sorted_capabilities", INV + ", " + CAPS + " select node_id, capability, row_number() over (partition by node_id order by capability) as place from cv", "")(lambda spark, sf_dir: covered(spark, sf_dir).select("node_id", "capability", F.row_number().over(W.partitionBy("node_id").orderBy("capability")).cast("long").alias("place")))
 query("flt_10_counter_probe", "select cast(s_suppkey as bigint) as node_id from supplier where s_suppkey % 2 = 0", "")(lambda spark, sf_dir: inventory(spark, sf_dir).filter(F.exists("hw_counters", lambda x: F.contains(x, lit("retry")))).select("node_id"))
 query("flt_7_device_filter", "select cast(s_suppkey as bigint) as node_id from supplier where s_nationkey % 3 = 1", "")(lambda spark, sf_dir: inventory(spark, sf_dir).filter("fabric = 'SoftRoCE'").select("node_id"))

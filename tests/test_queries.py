@@ -11,7 +11,7 @@ from fabrichealth.operators import folds, rules
 from fabrichealth.plans import base, registry
 from fabrichealth.sources import landed
 
-NAMES = ["agg_6_counter_deltas", "win_1_counter_delta", "rule_1_affinity_skew", "scr_1_composite", "fold_3_state_machine", "fold_5_carry_forward", "skt_1_quantiles", "join_3_submit_completion", "alr_1_alert_rules", "sch_3_converge", "cov_3_coverage", "join_2_rule_weights", "src_7_interrupts", "scr_2_fusion"]
+NAMES = ["join_9_merge_instant", "snk_3_status_json", "snk_4_coverage_json", "fold_10_rate_limit", "act_1_dispatch_log", "agg_6_counter_deltas", "win_1_counter_delta", "rule_1_affinity_skew", "scr_1_composite", "fold_3_state_machine", "fold_5_carry_forward", "skt_1_quantiles", "join_3_submit_completion", "alr_1_alert_rules", "sch_3_converge", "cov_3_coverage", "join_2_rule_weights", "src_7_interrupts", "scr_2_fusion"]
 
 
 @pytest.fixture(scope="module")

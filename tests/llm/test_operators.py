@@ -154,6 +154,10 @@ def test_perspectives(spark):
             assert r.rendered[:a].endswith("<|assistant|>\n") and r.rendered[b] == "\n"
     assert whole[1, "assistant"] == "<|user name=unknown|>\n\n<|user name=user|>\nhi\n<|assistant|>\nho\n"
     assert set(whole) == {(1, "user"), (1, "assistant"), (1, "unknown"), (2, "a"), (None, "b"), (3, "u"), (3, "v")}
+    lone = perspectives.rotate(spark.createDataFrame([(None, k, "u" if k % 3 else "v", "t" * k) for k in range(20)] + [("", 1, "w", "x")], "conv_id string, turn int, role string, text string"), part_turns=4).collect()
+    lone = {(r.conv_id, r.speaker, r.part): r for r in lone}
+    assert len(lone) == 11 and all(lone[None, s, p + 1].start == lone[None, s, p].start + len(lone[None, s, p].rendered) for s in "uv" for p in range(4))
+    assert perspectives.rotate(turns.filter("false")).count() == 0
     assert whole[3, "u"].count("<|assistant|>") == 10 and sum(r.n_spoken for r in out if (r.conv_id, r.speaker) == (3, "u")) == 10
 
 
@@ -286,6 +290,10 @@ def test_quality_counts(spark, docs, empty):
     assert quality.judged(empty, labels).count() == 0
     kept = quality.keep_good(docs, labels)
     assert kept.columns == docs.columns
+    clash = table.withColumns({"n_words": F.lit("x"), "_stratum": F.lit(1), "kept": F.lit(False)})
+    rows = quality.keep_good(clash, labels)
+    assert rows.columns == clash.columns and all(r.n_words == "x" for r in rows.collect())
+    assert sorted(r.doc_id for r in rows.collect()) == sorted(i for i, r in out.items() if r.kept)
 
 
 def test_quality_thresholds(spark):

@@ -137,12 +137,11 @@ def judged(docs: DataFrame, labels: DataFrame, max_false_rejection: float = 0.05
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_false_rejection: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns."""
-    counted = settle(with_counts(docs.select("doc_id", "lang", "text")).drop("text"), "counts")
-    cuts = settle(thresholds(counted, labels, max_false_rejection, delta), "cutoffs")
+    """The rows of ``docs`` that are kept, with their own columns. Rows are written once beside their counts, so no text is counted twice."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "lang", "text")
-    # inline drops the rows of rejected documents; a filter would be pushed down and repeat all counts in its condition
-    return judge(with_counts(packed), cuts).select(F.inline(F.filter(F.array("_row"), lambda _: F.col("kept"))))
+    counted = settle(with_counts(packed).drop("text"), "counts")
+    cuts = settle(thresholds(counted.withColumn("doc_id", F.col("_row.doc_id")).drop("_row"), labels, max_false_rejection, delta), "cutoffs")
+    return judge(counted, cuts).filter("kept").select("_row.*")
 
 
 def oracle(max_false_rejection: float = 0.05, delta: float = 0.05) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fabrichealth.llm import bitplanes, decontaminate, interpolation, neardup, packing, perspectives, quality, secrets, toxicity, urls
+from fabrichealth.llm import bitplanes, decontaminate, interpolation, lexical, licenses, neardup, negatives, packing, perspectives, quality, secrets, toxicity, urls
 from fabrichealth.llm.common import crc_mod, table
 
 
@@ -52,12 +52,24 @@ def op10_best_fit(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_diagonal_voting(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op12_shared_lists(spark, sf_dir):
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_document_trie(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
     return {
         f.__name__: f
-        for f in (op1_deleted_interpolation, op2_perspectives, op3_secret_forest, op4_chosen_path, op5_risk_controlled, op6_bit_planes, op7_noisy_or, op8_cgk_windows, op9_host_words, op10_best_fit)
+        for f in (op1_deleted_interpolation, op2_perspectives, op3_secret_forest, op4_chosen_path, op5_risk_controlled, op6_bit_planes, op7_noisy_or, op8_cgk_windows, op9_host_words, op10_best_fit, op11_diagonal_voting, op12_shared_lists, op13_document_trie)
     }
 
 
 def oracle_sql():
-    return {"op2_perspectives": perspectives.ORACLE, "op5_risk_controlled": quality.oracle()}
+    return {"op2_perspectives": perspectives.ORACLE, "op5_risk_controlled": quality.oracle(), "op11_diagonal_voting": licenses.oracle(), "op12_shared_lists": negatives.ORACLE, "op13_document_trie": lexical.ORACLE}

@@ -103,8 +103,8 @@ def verified(docs: DataFrame, found: DataFrame, templates: list[tuple[str, str,
     """doc_id, words and spans (label, no, first, last, share) of every row of ``docs``, from the passages found."""
     spark = docs.sparkSession
     known = [r.asDict() for r in template_words(spark, templates).orderBy("no").collect()]  # bounded by TEMPLATE_BYTES
-    lists = F.array(*[F.array(*[F.lit(w) for w in t["words"]]).cast("array<string>") for t in known]) if known else F.array().cast("array<array<string>>")
-    telling = F.array(*[F.array(*[F.lit(w) for w in t["telling"]]).cast("array<string>") for t in known]) if known else F.array().cast("array<array<string>>")
+    listed = lambda x: F.array(*[F.array_remove(F.split(F.lit(" ".join(t[x])), " "), "") for t in known]).cast("array<array<string>>")
+    lists, telling = listed("words"), listed("telling")
     labels = F.array(*[F.lit(t["label"]) for t in known]).cast("array<string>")
     by_key = found.groupBy("key").agg(F.collect_list(F.struct("no", "diagonals")).alias("passages"))
     by_key = settle(by_key, "passages")

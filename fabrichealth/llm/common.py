@@ -41,3 +41,13 @@ def crc_mod(column: str, modulus: int):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bytes of rows that go to a Python worker at a time.
+BATCH_BYTES = 4_000_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have whole texts go to Python workers a few MB at a time from now on: a batch is held once by the JVM and twice
+    by the worker, and Spark's own bound is many times what a task needs."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabrichealth.llm.common import settle
+from fabrichealth.llm.common import settle, small_batches
 from fabrichealth.llm.components import components
 
 
@@ -367,6 +367,7 @@ def exact_links(docs: DataFrame, clusters: DataFrame, join: Join) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of ``docs(doc_id, text)``."""
+    small_batches(docs.sparkSession)
     sketched = settle(sketches(docs, join), "sketches")
     known = sketched.filter("n_shingles > 0 and doc_id is not null")
     prints = known.groupBy("p1", "p2", "n_shingles").agg(F.min("doc_id").alias("rep"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fabrichealth.operators.folds import State, fold_column
+from fabrichealth.operators.folds import State, fold_column, walk
 
 c = F.col
 
@@ -32,22 +32,43 @@ def alert_rules(series: DataFrame, window_seconds: float, rules=RULES) -> DataFr
     return rows.withColumns(breaks).select("node_id", "window_seq", F.inline(F.filter(found, lambda x: x["fires"]))).drop("fires")
 
 
-class Notify(State):
-    """Group notifications: the first after the wait, then at each change or repeat."""
+#: What groups alerts, and what a notification holds.
+GROUP = ["node_id", "alertname", "severity"]
+NOTIFICATION_SCHEMA = "node_id long, alertname string, severity string, at_us long, kind string"
+#: Seconds until a new group is told, those of critical ones, between looks at a group, until a lasting
+#: group is told again, and until an alert that fires no more counts as resolved.
+WAIT, CRITICAL_WAIT, INTERVAL, REPEAT, RESOLVE = 10, 5, 30, 14_400, 60
 
-    fields = ("since", "sent", "count")
 
-    def __init__(self, wait: int = 0, interval: int = 1, repeat: int = 40):
-        self.wait, self.interval, self.repeat = wait, interval, repeat
-        self.since, self.sent, self.count = None, None, 0
+class Notifier(State):
+    """One group's notifications in microseconds: the first after the wait, then a look every interval, which repeats a
+    lasting alert, or tells that it is resolved and ends the group. The next firing makes a new group."""
 
-    def update(self, at: int, alerts: int) -> bool:
-        if self.since is None or (self.sent is not None and at - self.sent > self.repeat):
-            self.since, self.sent, self.count = at, None, 0
-        due = at - self.since >= self.wait if self.sent is None else (at - self.sent >= self.repeat or (alerts != self.count and at - self.sent >= self.interval))
-        if due:
-            self.sent, self.count = at, alerts
-        return due
+    fields = ("tick", "sent", "last")
+
+    def __init__(self, severity: str, wait: float = WAIT, critical_wait: float = CRITICAL_WAIT, interval: float = INTERVAL, repeat: float = REPEAT, resolve: float = RESOLVE):
+        self.wait, self.interval, self.repeat, self.resolve = (round(x * 1_000_000) for x in (critical_wait if severity == "CRITICAL" else wait, interval, repeat, resolve))
+        self.tick, self.sent, self.last = None, None, None
+
+    def fire(self, at: int) -> None:
+        if self.tick is None:
+            self.tick, self.sent = at + self.wait, None
+        self.last = at
+
+    def advance(self, until: int) -> list[tuple[int, str]]:
+        """The notifications due before a time, at which everything that fired before it is known."""
+        out = []
+        while self.tick is not None and self.tick < until:
+            if self.tick - self.last > self.resolve:
+                if self.sent is not None:
+                    out.append((self.tick, "resolved"))
+                self.tick = None
+                break
+            if self.sent is None or self.tick - self.sent >= self.repeat:
+                out.append((self.tick, "firing"))
+                self.sent = self.tick
+            self.tick += self.interval
+        return out
 
 
 class RateLimit(State):
@@ -71,16 +92,19 @@ def rate_limited(alerts: DataFrame, span: int) -> DataFrame:
     return fold_column(rows, lambda: RateLimit(span), lambda s, r: {"dispatched": s.update(r["window_seq"])}, "node_id long, window_seq long, alerts long, dispatched boolean")
 
 
-def notifications(alerts: DataFrame, wait: int = 0, interval: int = 1, repeat: int = 40) -> DataFrame:
-    """Which firing rows of a group (alertname, node, severity) are sent."""
-    rows = alerts.groupBy("node_id", "alertname", "severity", "window_seq").agg(F.count("*").alias("alerts"))
-    return fold_column(
-        rows,
-        lambda: Notify(wait, interval, repeat),
-        lambda s, r: {"sent": s.update(r["window_seq"], r["alerts"])},
-        "node_id long, alertname string, severity string, window_seq long, alerts long, sent boolean",
-        key=("node_id", "alertname", "severity"),
-    )
+def notifications(alerts: DataFrame, until_us: int, **settings) -> DataFrame:
+    """(group, at_us, kind) of alerts(node_id, alertname, severity, event_us) up to a time: a firing row per evaluation."""
+
+    def step(notifier, row):
+        found = notifier.advance(row["event_us"])
+        notifier.fire(row["event_us"])
+        return [{"at_us": at, "kind": kind} for at, kind in found]
+
+    def end(notifier, key):
+        return [{**key, "at_us": at, "kind": kind} for at, kind in notifier.advance(until_us + 1)]
+
+    rows = alerts.select(*GROUP, "event_us").distinct()
+    return walk(rows, lambda _, key: Notifier(key["severity"], **settings), step, NOTIFICATION_SCHEMA, order=("event_us",), keys=GROUP, end=end, many=True)
 
 
 def dispatch_log(dispatched: DataFrame, handlers: list[str], dry_run: bool = True) -> DataFrame:

@@ -12,6 +12,7 @@ import json
 import math
 
 from fabrichealth.config import StateConfig, Thresholds
+from fabrichealth.operators.rules import ORDER
 
 EPSILON = 2.220446049250313e-16
 HEALTHY, DEGRADED, CRITICAL, RECOVERING = "HEALTHY", "DEGRADED", "CRITICAL", "RECOVERING"
@@ -264,27 +265,42 @@ class RollingRules(State):
         return out
 
 
+class TrendRule(State):
+    """Rising error totals, for rows that hold no trend of their own: a stream can't look back over its rows."""
+
+    fields = ("before", "streak")
+
+    def __init__(self, t: Thresholds):
+        self.t, self.before, self.streak = t, None, 0
+
+    def update(self, w: dict) -> str | None:
+        total = w["hard_errors"] + w["rcv_errors"] + w["xmit_discards"]
+        self.streak = self.streak + 1 if self.before is not None and total > self.before else 0
+        self.before = total
+        return (CRITICAL if self.streak >= 6 else DEGRADED) if self.streak >= self.t.trend_streak and total > 0 else None
+
+
 class Verdict(State):
     """One node: stateful rules, carry-forward of the raw score, fusion, severity floor, smoothing, states."""
 
     fields = ("raw",)
-    parts = ("link", "rolling", "track", "scales", "bursts")
+    parts = ("trend", "link", "rolling", "track", "scales", "bursts")
 
-    #: The rules in their order; of equally severe alerts the first gives the coverage weight.
-    ORDER = ("interrupt_affinity_skew", "rdma_latency_spike", "rdma_link_degradation", "slab_pressure_correlation", "rising_error_trend", "latency_drift", "throughput_drop", "napi_saturation", "cq_jitter_stall", "congestion_spread", "pcie_bottleneck")
-
-    def __init__(self, t: Thresholds, weights: dict[str, float] | None = None):
-        self.t, self.weights, self.raw = t, weights or {}, 0.0
-        self.link, self.rolling = LinkRule(t), RollingRules(t)
+    def __init__(self, t: Thresholds, weights: dict[str, float] | None = None, order: tuple[str, ...] = ORDER):
+        self.t, self.weights, self.order, self.raw = t, weights or {}, order, 0.0
+        self.trend, self.link, self.rolling = TrendRule(t), LinkRule(t), RollingRules(t)
         self.track, self.scales, self.bursts = Track(0.3, 0.85, t.state), Timescales(t.state), Bursts()
 
     def update(self, w: dict) -> dict:
-        alerts = {rule: w[rule] for rule in self.ORDER if w.get(rule)}
+        rising = self.trend.update(w)
+        alerts = {rule: w[rule] for rule in self.order if w.get(rule)}
+        if rising and "rising_error_trend" not in w:
+            alerts["rising_error_trend"] = rising
         cause = self.link.update(w)
         if cause:
             alerts["rdma_link_degradation"] = cause[0]
         alerts |= self.rolling.update(w)
-        worst = max((r for r in self.ORDER if r in alerts), key=lambda r: (RANK[alerts[r]], -self.ORDER.index(r)), default=None)
+        worst = max((r for r in self.order if r in alerts), key=lambda r: (RANK[alerts[r]], -self.order.index(r)), default=None)
         severity = alerts[worst] if worst else HEALTHY
         fresh = w["score"]
         raw = fresh if w["has_link_signal"] else max(0.9 * self.raw, fresh)
@@ -298,7 +314,7 @@ class Verdict(State):
         score = self.track.score
         return {
             "raw": raw, "ewma": score.mean, "peak": score.peak, "effective": max(score.mean, score.peak), "state": state, "severity": severity,
-            "worst_rule": worst, "alerts": ",".join(f"{r}:{alerts[r]}" for r in self.ORDER if r in alerts), "link_cause": cause[1] if cause else None,
+            "worst_rule": worst, "alerts": ",".join(f"{r}:{alerts[r]}" for r in self.order if r in alerts), "link_cause": cause[1] if cause else None,
             "link_state": self.link.link, "fast_state": fast, "medium_state": medium, "slow_state": slow, "composite_state": composite,
             "burst": self.bursts.update(raw, fast, slow), "stuck": self.track.machine.stuck, "windows_in_state": self.track.machine.in_state,
         }
@@ -318,7 +334,7 @@ FOLD_COLUMNS = (
 def advance(steps: list, w: dict) -> dict:
     """Feed a node's next window to the only item of ``steps``; a row with ``reset`` starts the node anew."""
     if w.get("reset"):
-        steps[0] = Verdict(steps[0].t, steps[0].weights)
+        steps[0] = Verdict(steps[0].t, steps[0].weights, steps[0].order)
     return steps[0].update(w)
 
 
@@ -326,69 +342,118 @@ def advance(steps: list, w: dict) -> dict:
 ARROW_TYPES = {"long": "int64", "double": "float64", "string": "string", "boolean": "bool"}
 
 
-def walk(table, start, step, schema: str, order=("window_seq",), keys=("node_id",), end=None):
+def walk(table, start, step, schema: str, order=("window_seq",), keys=("node_id",), end=None, last=None, heads=None, many: bool = False):
     """Each key's rows in order through ``step(state, row)``, whose result is added to the row.
 
-    ``start(first row)`` makes a key's state. With ``end`` only ``end(state, last row)`` is given, once per key. Rows
-    are dealt by key and sorted in their partition, so a task holds one batch of rows however long a history is.
+    ``start(head, key)`` makes a key's state from its JSON in ``heads(keys, head)``, None for a key without one. With
+    ``end`` only ``end(state, key)`` is given, once per key, also for keys that have a head and no rows. With ``last``
+    the last row of each key also holds ``last(state)``. With ``many`` a step gives any number of rows, and so does ``end``
+    after the key's last one. Heads come as the first row of their key, so they are neither joined to the rows nor
+    held by the driver. Rows are dealt by key and sorted in their partition, so a task holds one batch of rows however
+    long a history is.
     """
+    from pyspark.sql import functions as F
+
     fields = [f.split() for f in schema.split(", ")]
+    if heads is not None:
+        table = heads.select(*keys, F.coalesce("head", F.lit("null")).alias("_head")).unionByName(table, allowMissingColumns=True)
+    else:
+        table = table.withColumn("_head", F.lit(None).cast("string"))
 
     def run(batches):
         import pyarrow as pa
 
         given = pa.schema([(name, ARROW_TYPES[kind]) for name, kind in fields])
-        state, last, now = None, None, None
+        state, now, held = None, None, None
+
+        def closing():
+            """What is left to give of the key that just ended."""
+            if held is not None:
+                return [{**held, **last(state)}]
+            if end is None or now is None:
+                return []
+            made = end(state, dict(zip(keys, now)))
+            return made if many else [made]
+
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                before, now = now, [row[k] for k in keys]
-                if last is None or now != before:
-                    if end is not None and last is not None:
-                        out.append(end(state, last))
-                    state = start(row)
-                new, last = step(state, row), row
-                if end is None:
-                    out.append({**{name: row[name] for name, _ in fields if name in row}, **new})
+                key = [row[k] for k in keys]
+                if key != now:
+                    out += closing()
+                    state, now, held = start(row["_head"] and json.loads(row["_head"]), dict(zip(keys, key))), key, None
+                if row["_head"] is not None:
+                    continue
+                new = step(state, row)
+                own = {name: row[name] for name, _ in fields if name in row}
+                if many:
+                    out += [{**own, **x} for x in new]
+                elif last is not None:
+                    if held is not None:
+                        out.append(held)
+                    held = {**own, **new}
+                elif end is None:
+                    out.append({**own, **new})
             yield pa.RecordBatch.from_pylist(out, schema=given)
-        if end is not None and last is not None:
-            yield pa.RecordBatch.from_pylist([end(state, last)], schema=given)
+        yield pa.RecordBatch.from_pylist(closing(), schema=given)
 
-    return table.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return table.repartition(*keys).sortWithinPartitions(*keys, F.col("_head").isNull(), *order).mapInArrow(run, schema)
 
 
-def verdicts(windows, t: Thresholds, weights=None, states=None):
-    """The verdict of every (node, window) row of a table with the fold columns, rule columns and fusion.
+def _heads(weights, states):
+    """(node_id, head): a node's weights by rule and its state to continue from, as JSON."""
+    from pyspark.sql import functions as F
 
-    ``weights`` scales the floor of each rule's severity: by rule for all nodes, or as a table (node_id, rule,
-    weight). ``states(node_id, state)``, JSON from an earlier run's ``final_states``, continues where that run ended.
-    """
-    by_rule = weights if weights is None or isinstance(weights, dict) else None
+    own = None
+    if weights is not None:
+        own = weights.groupBy("node_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("rule", "weight")))).alias("weights"))
+    if states is not None:
+        given = states.select("node_id", "state")
+        own = given if own is None else own.join(given, "node_id", "full")
+    if own is None:
+        return None
+    parts = [F.coalesce(F.col(c) if c in own.columns else F.lit(None), F.lit("null")) for c in ("weights", "state")]
+    return own.select("node_id", F.concat(F.lit("["), parts[0], F.lit(","), parts[1], F.lit("]")).alias("head"))
 
-    def start(row: dict) -> list:
-        step = Verdict(t, by_rule)
-        if row.get("_weights"):
-            step.weights = json.loads(row["_weights"])
-        if row.get("_state"):
-            step.load(json.loads(row["_state"]))
-        return [step]
 
-    if weights is not by_rule:
-        from pyspark.sql import functions as F
+def _verdict_start(t: Thresholds, weights):
+    from fabrichealth.operators import rules
 
-        own = weights.groupBy("node_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("rule", "weight")))).alias("_weights"))
-        windows = windows.join(own, "node_id", "left")
-    if states is not None:
-        windows = windows.join(states.withColumnRenamed("state", "_state"), "node_id", "left")
-    return walk(windows, start, advance, VERDICT_SCHEMA)
+    by_rule, order = weights if isinstance(weights, dict) else None, rules.order()
+
+    def start(head: list | None, key: dict) -> list:
+        own, state = head or (None, None)
+        step = Verdict(t, by_rule if own is None else own, order)
+        return [step if state is None else step.load(state)]
+
+    return start
+
+
+def verdicts(windows, t: Thresholds, weights=None, states=None, with_states: bool = False):
+    """The verdict of every (node, window) row of a table with the fold columns, rule columns and fusion.
+
+    ``weights`` scales the floor of each rule's severity: by rule for all nodes, or as a table (node_id, rule,
+    weight). ``states(node_id, state)`` continues where an earlier run ended. ``with_states`` adds final_state: the
+    state to continue from, on each node's last row, so one pass gives both.
+    """
+    schema, last = VERDICT_SCHEMA, None
+    if with_states:
+        schema, last = f"{VERDICT_SCHEMA}, final_state string", lambda steps: {"final_state": json.dumps(steps[0].dump())}
+    heads = _heads(None if isinstance(weights, dict) else weights, states)
+    return walk(windows, _verdict_start(t, weights), advance, schema, last=last, heads=heads)
 
 
-def final_states(windows, t: Thresholds, weights: dict[str, float] | None = None):
-    """(node_id, state): each node's state after its last window, to continue from."""
-    last = lambda steps, row: {"node_id": row["node_id"], "state": json.dumps(steps[0].dump())}
-    return walk(windows, lambda _: [Verdict(t, weights)], advance, "node_id long, state string", end=last)
+def final_states(windows, t: Thresholds, weights=None, states=None):
+    """(node_id, state): each node's state after its last window, to continue from; nodes without new windows keep theirs."""
+    end = lambda steps, key: {**key, "state": json.dumps(steps[0].dump())}
+    kept = states.select("node_id") if states is not None else None
+    own = _heads(None if isinstance(weights, dict) else weights, states)
+    if own is not None and weights is not None and not isinstance(weights, dict):
+        known = windows.select("node_id").distinct() if kept is None else windows.select("node_id").unionByName(kept).distinct()
+        own = own.join(known, "node_id", "left_semi")  # a node that has weights alone has no state
+    return walk(windows, _verdict_start(t, weights), advance, "node_id long, state string", end=end, heads=own)
 
 
 def fold_column(table, make, update, schema: str, order=("window_seq",), key=("node_id",)):
     """Run one step class over each key's rows in order; ``update(step, row)`` gives the new columns."""
-    return walk(table, lambda _: make(), update, schema, order, key)
+    return walk(table, lambda head, own: make(), update, schema, order, key)

@@ -61,14 +61,48 @@ STATELESS = {
 }
 
 
-def register(name: str, rule) -> None:
-    """Add a stateless rule: a function of the thresholds that gives the severity as a column, null where it doesn't fire."""
+#: All rules in their order of evaluation; of equally severe alerts the first gives the coverage weight.
+ORDER = (
+    "interrupt_affinity_skew", "rdma_latency_spike", "rdma_link_degradation", "slab_pressure_correlation", "rising_error_trend", "latency_drift",
+    "throughput_drop", "napi_saturation", "cq_jitter_stall", "congestion_spread", "pcie_bottleneck",
+)
+#: The capabilities that a rule consults; a rule that isn't named reads signals of the host alone.
+CONSULTS = {
+    "rdma_latency_spike": ("CompletionLatency",), "rdma_link_degradation": ("LinkErrors", "RetransmitSignal"), "rising_error_trend": ("LinkErrors",),
+    "latency_drift": ("CompletionLatency",), "throughput_drop": ("Throughput",), "cq_jitter_stall": ("CompletionLatency",), "congestion_spread": ("PfcPause", "CreditStall"),
+}
+#: Rules that were registered beside the built-in ones: name to capabilities, in order of registration.
+REGISTERED: dict[str, tuple[str, ...]] = {}
+
+
+def register(name: str, rule, capabilities: tuple[str, ...] = ()) -> None:
+    """Add a stateless rule: a function of the thresholds that gives the severity as a column, null where it doesn't fire.
+
+    It takes part in the verdict after the built-in rules; its floor is scaled by the best coverage of ``capabilities``.
+    """
+    if name in ORDER:
+        raise ValueError(f"{name} is a built-in rule")
     STATELESS[name] = rule
+    REGISTERED[name] = tuple(capabilities)
 
 
-def with_rules(windows: DataFrame, t: Thresholds) -> DataFrame:
-    """Add a column for each rule that needs no fold, and the figures that the folds read."""
-    ruled = with_trend(windows, t).withColumns({name: rule(t) for name, rule in STATELESS.items()})
+def unregister(name: str) -> None:
+    del STATELESS[name], REGISTERED[name]
+
+
+def order() -> tuple[str, ...]:
+    """Every rule of the verdict in order of evaluation."""
+    return (*ORDER, *REGISTERED)
+
+
+def consulted(spark) -> DataFrame:
+    """(rule, capabilities) of every rule."""
+    return spark.createDataFrame([(r, list(CONSULTS.get(r, REGISTERED.get(r, ())))) for r in order()], "rule string, capabilities array<string>")
+
+
+def with_rules(windows: DataFrame, t: Thresholds, trend: bool = True) -> DataFrame:
+    """Add a column for each rule that needs no fold, and the figures that the folds read; without ``trend`` also on streams."""
+    ruled = (with_trend(windows, t) if trend else windows).withColumns({name: rule(t) for name, rule in STATELESS.items()})
     return ruled.withColumns(
         {
             "score": X.composite_score(t.num_cpus),
@@ -85,9 +119,9 @@ def with_rules(windows: DataFrame, t: Thresholds) -> DataFrame:
     )
 
 
-def fold_input(windows: DataFrame, t: Thresholds) -> DataFrame:
-    """The narrow table that the verdict fold reads."""
+def fold_input(windows: DataFrame, t: Thresholds, trend: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The narrow table that the verdict fold reads; without ``trend`` the fold finds rising errors itself."""
     from fabrichealth.operators import samples
     from fabrichealth.operators.folds import FOLD_COLUMNS
 
-    return with_rules(windows, t).withColumn("fusion", samples.fusion_column()).select(*FOLD_COLUMNS, *STATELESS, "rising_error_trend")
+    return with_rules(windows, t, trend).withColumn("fusion", samples.fusion_column()).select(*FOLD_COLUMNS, *STATELESS, *(["rising_error_trend"] if trend else []), *keep)

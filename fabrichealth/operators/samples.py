@@ -102,9 +102,24 @@ PROVIDERS = {
 ACTIVE = (("LinkErrors", "sysfs_port_counters"), ("Throughput", "sysfs_port_counters"), ("CompletionLatency", "throughput_proxy_latency"), ("RetransmitSignal", "ethtool_retx"), ("PfcPause", "pfc_inference"))
 
 
-def register(capability: str, backend: str, provider) -> None:
-    """Add a provider: a function without arguments that gives an array column of samples over window columns."""
+#: Providers that were registered beside the built-in ones: declared quality and availability by capability and backend.
+REGISTERED: dict[tuple[str, str], tuple[str, Column]] = {}
+
+sample, sent = _sample, _sent
+
+
+def register(capability: str, backend: str, provider, quality: str, available: Column) -> None:
+    """Add a provider: a function without arguments that gives an array column of samples over window columns (see
+    ``sample`` and ``sent``), the quality it declares, and a condition on the inventory for where it is available.
+
+    It is probed, and wins over built-in ones of equal or lower quality.
+    """
     PROVIDERS[capability, backend] = provider
+    REGISTERED[capability, backend] = (quality, available)
+
+
+def unregister(capability: str, backend: str) -> None:
+    del PROVIDERS[capability, backend], REGISTERED[capability, backend]
 
 
 def samples_of(windows: DataFrame, capability: str, backend: str) -> DataFrame:
@@ -179,10 +194,11 @@ def inventory_predicates() -> dict[tuple[str, str], Column]:
 
 def probe(inventory: DataFrame) -> DataFrame:
     """Every backend of every node with its availability and reason."""
-    known = inventory_predicates()
+    known = inventory_predicates() | {at: available for at, (_, available) in REGISTERED.items()}
+    declared = [b[:3] for b in BACKENDS] + [(*at, quality) for at, (quality, _) in REGISTERED.items()]
     rows = [
         F.struct(lit(cap).alias("capability"), lit(name).alias("backend"), lit(quality).alias("quality"), lit(i).alias("place"), F.coalesce(known[cap, name], lit(False)).alias("available") if (cap, name) in known else lit(False).alias("available"))
-        for i, (cap, name, quality, _) in enumerate(BACKENDS)
+        for i, (cap, name, quality) in enumerate(declared)
     ]
     out = inventory.select("node_id", F.inline(F.array(*rows)))
     return out.withColumn("reason", F.when(c("available"), lit("ok")).otherwise(lit("not available on this fabric")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fabrichealth.plans import state_queries, window_queries  # noqa: F401
+from fabrichealth.plans import state_queries, stream_queries, verdict_queries, window_queries  # noqa: F401
 from fabrichealth.plans.base import ORACLES, QUERIES
 
 

@@ -17,11 +17,6 @@ from fabrichealth.sources.adapter import completions
 c, lit = F.col, F.lit
 
 
-def verdicts(spark, sf_dir):
-    """The verdicts with fusion, and with the weights that each node's coverage gives the rules."""
-    return folds.verdicts(rules.fold_input(wins(spark, sf_dir), SCALED), SCALED, rule_weights(spark, sf_dir))
-
-
 def history(spark, sf_dir):
     """Health history by the smoothing and state machine over the plain composite score."""
     scored = wins(spark, sf_dir).select(*K, X.composite_score(4).alias("raw"))
@@ -215,7 +210,6 @@ state_query("top_4_alert_log", _alr() + " select node_id, window_seq, alertname
 state_query("snk_5_alert_payload", _alr() + " select node_id, window_seq, '{\"source\":\"fabric\",\"severity\":\"' || severity || '\",\"kind\":\"' || alertname || '\",\"message\":\"' || alertname || '\",\"affected\":\"node ' || node_id || '\",\"timestamp_ns\":' || window_seq || '}' as body from al")(
     lambda spark, sf_dir: alerts(spark, sf_dir).select(*K, "severity", c("alertname").alias("kind"), c("alertname").alias("message"), F.concat(lit("node "), c("node_id").cast("string")).alias("affected"), c("window_seq").alias("timestamp_ns")).select(*K, alerting.payload(None).alias("body"))
 )
-query("alr_3_grouping")(lambda spark, sf_dir: alerting.notifications(alerts(spark, sf_dir)))
 # of a node's alert windows each next one is sent that lies at least 4 after the last one sent
 _sent = """, a as (select node_id, window_seq, count(*) as alerts from al group by all),
 nx as (select a.node_id, a.window_seq, min(b.window_seq) as nxt from a join a b on b.node_id = a.node_id and b.window_seq >= a.window_seq + 4 group by all),
@@ -227,31 +221,6 @@ g as (select node_id, string_agg('{"rank":' || rank || ',"window_seq":' || windo
 n as (select node_id, max_by(state, window_seq) as state, max(window_seq) as w from hist group by node_id)"""
 state_query("snk_3_status_json", _alr() + _last + """ select node_id, '{"now":{"state":"' || state || '","window_seq":' || w || '},"alerts":[' || coalesce(rows, '') || ']}' as body from n left join g using (node_id)""")(lambda spark, sf_dir: sinks.status_json(history(spark, sf_dir), alerts(spark, sf_dir).withColumnRenamed("alertname", "kind")))
 
-# verdict folds: held against step-by-step tests
-query("scr_4_verdict")(lambda spark, sf_dir: verdicts(spark, sf_dir))
-query("rule_3_link_degradation")(lambda spark, sf_dir: verdicts(spark, sf_dir).filter("link_cause is not null").select(*K, "link_cause", "link_state"))
-for _id, _rule in (("rule_6", "latency_drift"), ("rule_7", "throughput_drop"), ("rule_9", "cq_jitter_stall"), ("rule_10", "congestion_spread")):
-    query(f"{_id}_{_rule}")(lambda spark, sf_dir, r=_rule: verdicts(spark, sf_dir).select(*K, F.nullif(F.regexp_extract("alerts", rf"{r}:(\w+)", 1), lit("")).alias("severity")).filter("severity is not null"))
-query("rule_12_worst_severity")(lambda spark, sf_dir: verdicts(spark, sf_dir).select(*K, "severity", "worst_rule"))
-query("fold_4_link_rule")(lambda spark, sf_dir: verdicts(spark, sf_dir).select(*K, "link_cause", "link_state"))
-query("fold_6_timescales")(lambda spark, sf_dir: verdicts(spark, sf_dir).select(*K, "fast_state", "medium_state", "slow_state", "composite_state"))
-query("fold_7_burst_class")(lambda spark, sf_dir: verdicts(spark, sf_dir).select(*K, "burst"))
-
-
-def _roll(spark, sf_dir):
-    rows = wins(spark, sf_dir).filter("cq_completions > 0").select(*K, X.average("cq_latency_total", "cq_completions").alias("value"))
-
-    def step(s, r):
-        z = s.z(r["value"])
-        s.push(r["value"])
-        return {"z": z, "mean": s.mean, "sd": s.var**0.5, "warm": s.warm}
-
-    return folds.fold_column(rows, lambda: folds.Rolling(0.1, 5.0), step, "node_id long, window_seq long, value double, z double, mean double, sd double, warm boolean")
-
-
-query("fold_1_rolling_stats")(_roll)
-
-
 def _carry(spark, sf_dir):
     rows = wins(spark, sf_dir).select(*K, X.composite_score(4).alias("fresh"), X.has_link_signal().alias("signal"))
 
@@ -275,12 +244,6 @@ select node_id, window_seq, round(raw, 6) as raw from cf"""
 query("fold_5_carry_forward", _cw, recursive=True)(_carry)
 
 
-@query("fold_11_reset")
-def _(spark, sf_dir):
-    marked = rules.fold_input(wins(spark, sf_dir), SCALED).withColumn("reset", c("window_seq") % 40 == 0)
-    return folds.verdicts(marked, SCALED).select(*K, r6("effective").alias("effective"), "state")
-
-
 # samples
 def _smp(name, capability, backend, sql, where="true"):
     @query(name, f"select node_id, window_seq, {sql} from wi where {where}")
@@ -437,13 +400,15 @@ query("srt_1_sorted_capabilities", INV + ", " + CAPS + " select node_id, capabil
 query("flt_10_counter_probe", "select cast(s_suppkey as bigint) as node_id from supplier where s_suppkey % 2 = 0", "")(lambda spark, sf_dir: inventory(spark, sf_dir).filter(F.exists("hw_counters", lambda x: F.contains(x, lit("retry")))).select("node_id"))
 query("flt_7_device_filter", "select cast(s_suppkey as bigint) as node_id from supplier where s_nationkey % 3 = 1", "")(lambda spark, sf_dir: inventory(spark, sf_dir).filter("fabric = 'SoftRoCE'").select("node_id"))
 
-RULE_CAPS = {"rdma_link_degradation": ["LinkErrors", "RetransmitSignal"], "latency_drift": ["CompletionLatency"], "congestion_spread": ["PfcPause", "CreditStall"], "napi_saturation": []}
+RULE_CAPS = {r: list(rules.CONSULTS.get(r, ())) for r in rules.ORDER}
+
 
+WEIGHTS = INV + ", " + CAPS + ", rc as (select * from (values " + ", ".join(f"('{r}', {repr(x) if x else 'null'})" for r, xs in RULE_CAPS.items() for x in (xs or [None])) + ") v(rule, capability)), wt as (select n as node_id, rule, max(cast(case when rc.capability is null then 1.0 when quality = 'High' then 1.0 when quality = 'Medium' then 0.7 when quality = 'Low' then 0.4 else 0.0 end as double)) as weight from inv cross join rc left join cv on cv.node_id = n and cv.capability = rc.capability group by all)"
 
-@query("join_2_rule_weights", INV + ", " + CAPS + ", rc as (select * from (values " + ", ".join(f"('{r}', {repr(x) if x else 'null'})" for r, xs in RULE_CAPS.items() for x in (xs or [None])) + ") v(rule, capability)) select n as node_id, rule, max(cast(case when rc.capability is null then 1.0 when quality = 'High' then 1.0 when quality = 'Medium' then 0.7 when quality = 'Low' then 0.4 else 0.0 end as double)) as weight from inv cross join rc left join cv on cv.node_id = n and cv.capability = rc.capability group by all", "")
+
+@query("join_2_rule_weights", WEIGHTS + " select * from wt", "")
 def rule_weights(spark, sf_dir):
-    table = spark.createDataFrame(list(RULE_CAPS.items()), "rule string, capabilities array<string>")
-    return samples.rule_weights(covered(spark, sf_dir), table)
+    return samples.rule_weights(covered(spark, sf_dir), rules.consulted(spark))
 
 
 @query("join_6_fabric_overlay", "select cast(s_suppkey as bigint) as node_id, case when s_nationkey % 3 = 0 then 0.25 else 0.30 end::double as degrade_enter, case when s_nationkey % 3 = 1 then 3 else 2 end as enter_windows from supplier", "")
@@ -515,8 +480,6 @@ def _(spark, sf_dir):
     return alerts(spark, sf_dir).join(radius, "node_id", "left").select(*K, "alertname", F.concat(c("alertname"), F.coalesce(F.concat(lit(" | Affected: "), c("summary")), lit(""))).alias("message"))
 
 
-query("act_2_port_disable")(lambda spark, sf_dir: alerting.port_disable_candidates(verdicts(spark, sf_dir), ports(spark, sf_dir).filter("node_id % 2 = 0 or port = 1")))
-
 # scheduling
 _policy = ", dl as (select node_id, window_seq, state, case when state = 'CRITICAL' then 'Draining' when state = 'HEALTHY' then 'Available' end as want from hist), ds as (select node_id, window_seq, state, coalesce(last_value(want ignore nulls) over (partition by node_id order by window_seq), 'Available') as desired from dl)"
 
@@ -611,26 +574,3 @@ def _(spark, sf_dir):
     body = F.to_json(F.array(F.struct(F.array(F.concat(c("name"), lit(":9100"))).alias("targets"), F.create_map(lit("region"), c("region").cast("string")).alias("labels"))))
     rows = nodes(spark, sf_dir).select(F.from_json(body, "array<struct<targets: array<string>, labels: map<string,string>>>").alias("x")).select(F.inline("x"))
     return rows.select(F.explode("targets").alias("target"), c("labels")["region"].alias("region"))
-
-
-
-def _streamed(spark, sf_dir):
-    """The verdicts of the windows taken as a stream to its end, with state kept from window to window."""
-    import tempfile
-    import uuid
-
-    from fabrichealth.streaming import jobs
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    root = root or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    place = f"{root}/stream-{uuid.uuid4().hex}"
-    rules.fold_input(wins(spark, sf_dir), SCALED).write.parquet(f"{place}/in")
-    source = spark.readStream.schema(spark.read.parquet(f"{place}/in").schema).parquet(f"{place}/in")
-    jobs.to_tables(jobs.verdict_stream(source, SCALED), f"{place}/out", f"{place}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{place}/out").drop("epoch")
-
-
-query("str_5_stream_verdict")(_streamed)
-also("str_3_final_flush", "str_5_stream_verdict")

@@ -4,8 +4,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from fabrichealth.config import SCALED, StateConfig, Thresholds
-from fabrichealth.operators import folds, scheduling
-from fabrichealth.streaming.jobs import empty_window
+from fabrichealth.operators import alerting, folds, scheduling
+from fabrichealth.streaming.stateful import empty_window
 
 
 def test_recovery_takes_9_12_and_17_clean_windows():
@@ -114,3 +114,21 @@ def test_any_scores_give_a_valid_state(scores):
     for k, x in enumerate(scores):
         out = v.update(empty_window(1, k) | {"score": x, "has_link_signal": True})
         assert out["state"] in folds.RANK and 0 <= out["effective"] <= 1
+
+
+def test_notifications_wait_repeat_and_resolve():
+    second = 1_000_000
+
+    def told(severity, fired, until, **settings):
+        n, out = alerting.Notifier(severity, **settings), []
+        for at in fired:
+            out += n.advance(at * second)
+            n.fire(at * second)
+        return [(at // second, kind) for at, kind in out + n.advance(until * second)]
+
+    assert told("DEGRADED", [100], 1000) == [(110, "firing"), (170, "resolved")]  # looks at 140, where it still fires
+    assert told("CRITICAL", [100], 106) == [(105, "firing")]
+    assert told("DEGRADED", range(0, 15_000, 15), 15_000) == [(10, "firing"), (14_410, "firing")]
+    assert told("DEGRADED", range(0, 960, 15), 1000, repeat=300) == [(at, "firing") for at in (10, 310, 610, 910)]
+    assert told("DEGRADED", [0, 500], 2000) == [(10, "firing"), (70, "resolved"), (510, "firing"), (570, "resolved")]
+    assert told("DEGRADED", [0, 65], 1000) == [(10, "firing"), (130, "resolved")]

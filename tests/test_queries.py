@@ -48,19 +48,55 @@ def test_day_by_day_equals_at_once(spark, sf_dir):
     assert rest and all(whole[r.node_id, r.window_seq] == r.effective for r in rest)
 
 
-def test_stream_equals_batch(spark, sf_dir, tmp_path):
-    from fabrichealth.streaming import jobs
-
-    windows = rules.fold_input(base.wins(spark, sf_dir), SCALED)
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    windows.filter("window_seq < 50").coalesce(1).write.parquet(source)
-    query = jobs.to_tables(jobs.verdict_stream(spark.readStream.schema(windows.schema).parquet(source), SCALED), out, str(tmp_path / "ck"))
-    query.awaitTermination(120)
-    windows.filter("window_seq >= 50").coalesce(1).write.mode("append").parquet(source)
-    query = jobs.to_tables(jobs.verdict_stream(spark.readStream.schema(windows.schema).parquet(source), SCALED), out, str(tmp_path / "ck"))
-    query.awaitTermination(120)
-    key = lambda r: (r.node_id, r.window_seq, r.effective, r.state, r.burst)
-    assert sorted(map(key, spark.read.parquet(out).collect())) == sorted(map(key, folds.verdicts(windows, SCALED).collect()))
+def test_three_days_equal_one_run(spark, sf_dir):
+    """States, weights and nodes without new windows go on from day to day; one pass gives verdicts and states."""
+    from fabrichealth.plans.state_queries import rule_weights
+
+    windows, weights = rules.fold_input(base.wins(spark, sf_dir), SCALED).cache(), rule_weights(spark, sf_dir).cache()
+    whole = {(r.node_id, r.window_seq): r for r in folds.verdicts(windows, SCALED, weights).collect()}
+    states, seen = None, 0
+    for low, high in ((0, 40), (40, 80), (80, 10_000)):
+        day = windows.filter(f"window_seq >= {low} and window_seq < {high}" + (" and node_id <> 3" if low == 40 else ""))
+        if low == 80:
+            day = day.unionByName(windows.filter("window_seq >= 40 and window_seq < 80 and node_id = 3"))
+        rows = folds.verdicts(day, SCALED, weights, states, with_states=True).cache()
+        for r in rows.drop("final_state").collect():
+            assert r == whole[r.node_id, r.window_seq]
+            seen += 1
+        own = {r.node_id: r.final_state for r in rows.filter("final_state is not null").collect()}
+        kept = {r.node_id: r.state for r in folds.final_states(day, SCALED, weights, states).collect()}
+        assert all(kept[n] == s for n, s in own.items()) and len(kept) == 8
+        states = spark.createDataFrame(list(kept.items()), "node_id long, state string")
+    assert seen == len(whole)
+
+
+def test_registered_rules_and_providers_take_part(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from fabrichealth.operators import samples
+
+    windows = base.wins(spark, sf_dir)
+    rules.register("always", lambda t: F.lit("CRITICAL"), ("Throughput",))
+    try:
+        given = rules.fold_input(windows, SCALED)
+        rows = folds.verdicts(given, SCALED).collect()
+        assert all("always:CRITICAL" in r.alerts and r.severity == "CRITICAL" for r in rows)
+        none = spark.createDataFrame([(n, r, 0.0) for n in range(8) for r in rules.order()], "node_id long, rule string, weight double")
+        assert min(r.raw for r in folds.verdicts(given, SCALED, none).collect()) < 0.1 < min(r.raw for r in rows)
+        assert rules.consulted(spark).filter("rule = 'always'").first().capabilities == ["Throughput"]
+    finally:
+        rules.unregister("always")
+    assert "always" not in rules.order()
+    with pytest.raises(ValueError):
+        rules.register("latency_drift", None)
+    inventory = spark.createDataFrame([(1, "RoCEv2", ["symbol_error"], ["x_pause"], False), (2, "RoCEv2", ["symbol_error"], [], False)], "node_id long, fabric string, counters array<string>, hw_counters array<string>, probes boolean")
+    samples.register("PfcPause", "own_pause", lambda: samples.sent(samples.sample("PfcPause", F.lit(200.0), F.lit(1.0), "High", "own_pause")), "High", F.exists("hw_counters", lambda x: F.contains(x, F.lit("pause"))))
+    try:
+        best = {r.node_id: (r.backend, r.quality) for r in samples.coverage(samples.probe(inventory)).filter("capability = 'PfcPause'").collect()}
+        assert best == {1: ("own_pause", "High"), 2: ("pfc_inference", "Low")}
+        assert samples.all_samples(windows, (("PfcPause", "own_pause"),)).filter("value = 200").count() == windows.count()
+    finally:
+        samples.unregister("PfcPause", "own_pause")
 
 
 def test_scenario_files(spark, tmp_path):

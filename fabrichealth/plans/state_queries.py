@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fabrichealth.config import SCALED
 from fabrichealth.functions import exprs as X
-from fabrichealth.operators import alerting, fleet, folds, joins, rules, samples, scheduling, sketches
+from fabrichealth.operators import alerting, fleet, folds, joins, rules, samples, scans, scheduling, sketches
 from fabrichealth.plans.base import ALL, BYTES, HARD, P99, PKTS, SCORE, SIGNAL, TRAFFIC, D, also, events, ports, query, r6, wins
 from fabrichealth.plans.window_queries import K
 from fabrichealth.schemas import CAPABILITY_WEIGHTS
@@ -19,8 +19,7 @@ c, lit = F.col, F.lit
 
 def history(spark, sf_dir):
     """Health history by the smoothing and state machine over the plain composite score."""
-    scored = wins(spark, sf_dir).select(*K, X.composite_score(4).alias("raw"))
-    return folds.fold_column(scored, lambda: folds.Track(0.3, 0.85, SCALED.state), _track, "node_id long, window_seq long, raw double, ewma double, peak double, effective double, state string")
+    return folds.fold_column(scored(spark, sf_dir), lambda: folds.Track(0.3, 0.85, SCALED.state), _track, "node_id long, window_seq long, raw double, ewma double, peak double, effective double, state string")
 
 
 def _track(track, r):
@@ -59,9 +58,13 @@ def state_query(name, tail):
 _six = "round(raw, 6) as raw, round(ewma, 6) as ewma, round(peak, 6) as peak, round(effective, 6) as effective"
 
 
+def scored(spark, sf_dir):
+    return wins(spark, sf_dir).select(*K, X.composite_score(4).alias("raw"))
+
+
 @state_query("fold_2_smoothed", f"select node_id, window_seq, {_six} from hist")
 def _(spark, sf_dir):
-    return history(spark, sf_dir).select(*K, *[r6(x).alias(x) for x in ("raw", "ewma", "peak", "effective")])
+    return scans.smoothed(scored(spark, sf_dir)).select(*K, *[r6(x).alias(x) for x in ("raw", "ewma", "peak", "effective")])
 
 
 @state_query("fold_3_state_machine", "select node_id, window_seq, state from hist")
@@ -71,7 +74,7 @@ def _(spark, sf_dir):
 
 @state_query("scr_5_published_score", "select node_id, window_seq, round(effective, 6) as composite from hist")
 def _(spark, sf_dir):
-    return history(spark, sf_dir).select(*K, r6("effective").alias("composite"))
+    return scans.smoothed(scored(spark, sf_dir)).select(*K, r6("effective").alias("composite"))
 
 
 @state_query("win_5_transitions", "select * from (select node_id, window_seq, coalesce(lag(state) over (partition by node_id order by window_seq), 'HEALTHY') as from_state, state as to_state from hist) where from_state <> to_state")
@@ -223,16 +226,7 @@ state_query("snk_3_status_json", _alr() + _last + """ select node_id, '{"now":{"
 
 def _carry(spark, sf_dir):
     rows = wins(spark, sf_dir).select(*K, X.composite_score(4).alias("fresh"), X.has_link_signal().alias("signal"))
-
-    class Carry(folds.State):
-        fields = ("raw",)
-        raw = 0.0
-
-    def step(s, r):
-        s.raw = r["fresh"] if r["signal"] else max(0.9 * s.raw, r["fresh"])
-        return {"raw": s.raw}
-
-    return folds.fold_column(rows, Carry, step, "node_id long, window_seq long, raw double").withColumn("raw", r6("raw"))
+    return scans.carried(rows).withColumn("raw", r6("raw"))
 
 
 _cw = f""", raws as materialized (select node_id, window_seq, row_number() over (partition by node_id order by window_seq) as rn, {SCORE} as fresh, {SIGNAL} as signal from wi),
@@ -324,6 +318,9 @@ def heavy(spark, sf_dir):
 
 query("top_1_heavy_hitters", f", {_heavy} select node_id, window_seq, qp, weight, rank from r where rank <= 8", "ev")(lambda spark, sf_dir: heavy(spark, sf_dir).select(*K, "qp", "weight", c("rank").cast("long").alias("rank")))
 query("smp_10_qp_attribution", f", {_heavy} select node_id, window_seq, cast(qp as varchar) as label, cast(weight as double) as value from r where rank <= 8", "ev")(lambda spark, sf_dir: samples.qp_attribution(heavy(spark, sf_dir)).select(*K, "label", "value"))
+query("top_1_space_saving", f", {_heavy} select node_id, window_seq, qp, weight, cast(0 as bigint) as error, rank from r where rank <= 8", "ev")(  # no window has more queue pairs than counters, so nothing is unsure
+    lambda spark, sf_dir: sketches.space_saving(events(spark, sf_dir).filter("kind = 'CqCompletion'"), K, "qp", c("latency_ns")).withColumn("rank", c("rank").cast("long"))
+)
 query("top_1_lineitem", "with h as (select l_suppkey % 64 as node_id, cast(date_diff('day', date '1970-01-01', cast(l_shipdate as date)) as bigint) as window_seq, l_partkey % 97 as qp, cast(sum(cast(round(l_extendedprice * 100) as bigint)) as bigint) as weight from lineitem group by all), r as (select *, row_number() over (partition by node_id, window_seq order by weight desc, qp) as rank from h) select node_id, window_seq, qp, weight from r where rank <= 3", "")(
     lambda spark, sf_dir: sketches.heavy_hitters(completions(spark, sf_dir), K, "qp", c("latency_ns"), 3).select(*K, "qp", "weight")
 )

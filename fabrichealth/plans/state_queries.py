@@ -11,7 +11,7 @@ from fabrichealth.operators import alerting, fleet, folds, joins, rules, samples
 from fabrichealth.plans.base import ALL, BYTES, HARD, P99, PKTS, SCORE, SIGNAL, TRAFFIC, D, also, events, ports, query, r6, wins
 from fabrichealth.plans.window_queries import K
 from fabrichealth.schemas import CAPABILITY_WEIGHTS
-from fabrichealth.sources import landed, sinks
+from fabrichealth.sources import landed, sinks, store
 from fabrichealth.sources.adapter import completions
 
 c, lit = F.col, F.lit
@@ -463,11 +463,31 @@ def _(spark, sf_dir):
 also("sca_24_blast_summary", "join_5_blast_radius")
 
 
-@query("join_12_expected_vs_actual")
+_level = f"case when raw >= {D(0.55)} then 'CRITICAL' when raw >= {D(0.30)} then 'DEGRADED' else 'HEALTHY' end"
+
+
+@state_query("join_12_expected_vs_actual", f"select node_id, window_seq, {_level} as expected, state, {_level} = state as agrees from hist where window_seq % 10 = 9")
+def _(spark, sf_dir):
+    """What a window's own score would call the node, beside the state that smoothing and dwell times give it."""
+    level = F.when(c("raw") >= 0.55, "CRITICAL").when(c("raw") >= 0.30, "DEGRADED").otherwise("HEALTHY")
+    want = scored(spark, sf_dir).filter("window_seq % 10 = 9").select(*K, level.alias("expected"))
+    return want.join(history(spark, sf_dir).select(*K, "state"), K).select(*K, "expected", "state", (c("expected") == c("state")).alias("agrees"))
+
+
+_saved = ", ch as (select *, lag(state) over (partition by node_id order by window_seq) as before from hist), lc as (select node_id, max(window_seq) as since from ch where before is null or before <> state group by all)"
+
+
+@state_query("snk_6_versions", _saved + " select node_id, state, since from ch join lc on lc.node_id = ch.node_id and lc.since = ch.window_seq".replace("select node_id", "select ch.node_id"))
 def _(spark, sf_dir):
-    h = history(spark, sf_dir).select(*K, "state")
-    want = h.filter("window_seq % 10 = 9").select(*K, c("state").alias("expected"))
-    return want.join(h, K).select(*K, "expected", "state", (c("expected") == c("state")).alias("agrees"))
+    """The states as they are kept: written on change only, in versions, day after day."""
+    h = store.settle(history(spark, sf_dir).select(*K, "state"), "history")
+    kept = store.KeyedState(spark, store.shared_dir(spark, "decisions"), "node_id long, state string, since long")
+    changes = h.withColumn("_c", sinks.changed(h, ["state"], "window_seq")).filter("_c").select("node_id", "state", c("window_seq").alias("since"))
+    low, high = h.agg(F.coalesce(F.min("window_seq"), lit(0)), F.coalesce(F.max("window_seq"), lit(0))).first()
+    for part in range(3):
+        a, b = (low + (high + 1 - low) * k // 3 for k in (part, part + 1))
+        kept.save(store.updated(kept.load(), changes.filter((c("since") >= a) & (c("since") < b)), "node_id", "since"))
+    return kept.load()
 
 
 @query("act_3_enriched_alerts")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fabrichealth.config import SCALED
@@ -9,6 +10,7 @@ from fabrichealth.operators import alerting, rules
 from fabrichealth.plans.base import events, query, wins
 from fabrichealth.plans.state_queries import _alr, alerts, rule_weights, state_query
 from fabrichealth.plans.verdict_queries import rounded, verdict_query
+from fabrichealth.sources import event_source
 from fabrichealth.sources.adapter import EPOCH_US, WINDOW_US
 from fabrichealth.sources.store import shared_dir
 from fabrichealth.streaming import jobs
@@ -141,3 +143,42 @@ def _(spark, sf_dir):
     rows, until = firing(spark, sf_dir)
     source = replayed(rows.withColumn("event_time", F.timestamp_micros("event_us")), "event_us", "event_time", until)
     return finished(jobs.notification_stream(source, repeat=REPEAT))
+
+
+def arrays(spark, sf_dir):
+    """Events written as JSON arrays, a file for each node and span of windows; the folder."""
+    kinds = {"IrqEntry": ("cpu",), "SlabAlloc": ("cpu", "bytes_req", "bytes_alloc", "latency_ns"), "SlabFree": ("cpu",), "NapiPoll": ("cpu", "budget", "work_done"), "NetifReceive": ("cpu", "len"), "CqCompletion": ("cpu", "latency_ns", "is_error"), "HardwareCounter": ("cpu",)}
+    body = lit(None).cast("string")
+    for kind, fields in kinds.items():
+        inner = F.struct((c("ts_us") * 1000).alias("timestamp_ns"), *fields)
+        body = F.when(c("kind") == kind, F.concat(lit(f'{{"{kind}":'), F.to_json(inner), lit("}"))).otherwise(body)
+    rows = events(spark, sf_dir).select(c("node_id").alias("node"), F.floor(c("window_seq") / SPAN).alias("span"), body.alias("body"))
+    path = shared_dir(spark, "arrays")
+    whole = rows.groupBy("node", "span").agg(F.concat(lit("["), F.array_join(F.collect_list("body"), ","), lit("]")).alias("value"))
+    whole.write.partitionBy("span", "node").text(path)
+    return path
+
+
+#: Windows of one file.
+SPAN = 40
+
+
+def landed_events(spark, sf_dir):
+    event_source.register(spark)
+    found = spark.read.format(event_source.NAME).load(arrays(spark, sf_dir))
+    named = lambda key: F.regexp_extract("file", rf"{key}=(-?\d+)", 1).cast("long").alias(key)
+    return found.select(named("node"), named("span"), "*")
+
+
+@query("ext_3_event_source", "select node_id as node, ts_us * 1000 as timestamp_ns, kind, cpu, case when kind in ('SlabAlloc', 'CqCompletion') then latency_ns end as latency_ns, case when kind = 'NetifReceive' then len end as len from ev", "ev")
+def _(spark, sf_dir):
+    return landed_events(spark, sf_dir).select("node", "timestamp_ns", "kind", "cpu", "latency_ns", "len")
+
+
+@query("src_4_ordered_replay", f"select node_id as node, window_seq // {SPAN} as span, count(*) as n, min(ts_us) * 1000 as first_ns, true as in_order from ev group by all", "ev")
+def _(spark, sf_dir):
+    """The source gives a file's events in order of time: read off the order in which its rows came."""
+    rows = landed_events(spark, sf_dir).select("node", "span", "timestamp_ns", F.monotonically_increasing_id().alias("came"))
+    before = F.lag("timestamp_ns").over(W.partitionBy("node", "span").orderBy("came"))
+    told = rows.withColumn("_ok", F.coalesce(before <= c("timestamp_ns"), lit(True)))
+    return told.groupBy("node", "span").agg(F.count("*").alias("n"), F.min("timestamp_ns").alias("first_ns"), F.min("_ok").alias("in_order"))

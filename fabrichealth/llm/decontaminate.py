@@ -14,7 +14,8 @@ recall, which is held at ``edit_share`` for every length of item (measured with
 places: 0.95 or more of items of 5 to 250 words). Every candidate is verified by the exact edit distance of
 the whole item to the document around the match.
 
-Null or empty texts and items, and items of fewer than ``min_words`` words, match nothing. Repeated rows are
+Items of fewer than ``min_words`` words leave no room for an edit: they are found where their words stand as they are,
+by the hash of all their words. Null or empty texts and items match nothing. Repeated rows are
 searched one by one; null ids are kept as null. Extra columns are passed through by ``clean``. The items are
 collected in blocks of about ``block_chars`` characters, and each block is searched in turn.
 """
@@ -73,6 +74,18 @@ def word_codes(text: bytes | None):
     return codes[codes != 0]
 
 
+def run_hashes(codes, n: int):
+    """A hash of the ``n`` words from each place on."""
+    import numpy as np
+
+    out = np.zeros(max(0, len(codes) - n + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            out = (out ^ codes[k : len(codes) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out
+
+
 def edit_distance(item, region) -> tuple[int, int]:
     """The least edit distance of ``item`` to any stretch of ``region``, and the first place where one ends."""
     import numpy as np
@@ -95,10 +108,15 @@ class Index:
         import numpy as np
 
         self.search = search
-        self.items = [(i, c) for i, t in items if len(c := word_codes(t)) >= search.min_words]
+        self.items = [(i, c) for i, t in items if len(c := word_codes(t)) > 0]
         self.words = [frozenset(c.tolist()) for _, c in self.items]
         self.classes = []
         by_length = sorted(range(len(self.items)), key=lambda k: len(self.items[k][1]))
+        self.short: dict[int, dict[int, list[int]]] = {}  # by number of words: the items of each hash
+        while by_length and len(self.items[by_length[0]][1]) < search.min_words:
+            k = by_length.pop(0)
+            n = len(self.items[k][1])
+            self.short.setdefault(n, {}).setdefault(int(run_hashes(self.items[k][1], n)[0]), []).append(k)
         draw = np.random.default_rng(search.seed)
         while by_length:
             least = len(self.items[by_length[0]][1])
@@ -133,6 +151,14 @@ class Index:
         whole = np.concatenate([*codes, np.empty(0, np.uint64)])
         best: dict[tuple[int, int], tuple[int, int]] = {}
         tried = set()
+        for n, items in self.short.items():
+            hashes = run_hashes(whole, n)
+            for start in np.flatnonzero(np.isin(hashes, np.array(list(items), np.uint64))).tolist():
+                text = int(np.searchsorted(ends, start, "right"))
+                at = start - int(ends[text] - lengths[text])
+                for k in items[int(hashes[start])]:
+                    if at + n <= lengths[text] and (text, k) not in best and (codes[text][at : at + n] == self.items[k][1]).all():
+                        best[text, k] = (0, at)
         for width, stride, owner, offset, repetitions in self.classes:
             counts = np.maximum(0, (lengths - width) // stride + 1) * (lengths >= width)
             first = np.repeat(ends - lengths, counts)

@@ -107,7 +107,8 @@ def train(docs: DataFrame, labelled: DataFrame, how: Fit = Fit()) -> tuple[float
         return -20.0, {}
     parts = [named.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.sample) for k in (0, 1)]
     sample = parts[0].unionByName(parts[1])
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    # of a repeated doc_id the smallest text counts, so the same tables give the same model
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def run(batches):
         import json

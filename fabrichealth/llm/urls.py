@@ -26,7 +26,6 @@ from fabrichealth.llm.common import LOWER, UPPER, settle
 #: The rules (verdict, host and path).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 SHARE = 200_000
-LONGEST_WORD = 24
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -70,32 +69,37 @@ def counted(tokens: DataFrame, *key: str) -> DataFrame:
 def html_words(pages: DataFrame) -> DataFrame:
     """Lower-case words of the pages' text, one a row, the source of the unigram model."""
     text = F.regexp_replace(F.lower(F.coalesce("html", F.lit(""))), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ")
-    return pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).filter((F.length("word") > 0) & (F.length("word") <= LONGEST_WORD))
+    return pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).filter(F.length("word") > 0)
 
 
 class Segmenter:
-    """Splits letters into words by the most probable unigram segmentation."""
+    """Splits letters into words by the most probable unigram segmentation.
 
-    def __init__(self, counts: dict[str, int], total: int | None = None):
+    A piece that is no known word has a tenth of a count and costs more with each letter. ``lengths`` are those of known
+    words, so a piece of another length is unknown without a look; unknown pieces may be of any length.
+    """
+
+    def __init__(self, counts: dict[str, int], total: int | None = None, lengths=None):
         self.total = max(1, sum(counts.values()) if total is None else total)
         self.log = {w: math.log(n / self.total) for w, n in counts.items()}
+        self.lengths = sorted({len(w) for w in counts} if lengths is None else lengths, reverse=True)
         self.known: dict[str, list[str]] = {}
 
-    def _cost(self, word: str) -> float:
-        if word in self.log:
-            return self.log[word]
-        return math.log(0.1 / self.total) - 2.3 * len(word)
-
     def split(self, text: str) -> list[str]:
         if text not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
+            log, unknown = self.log.get, math.log(0.1 / self.total)
             best, back = [0.0] + [-math.inf] * len(text), [0] * (len(text) + 1)
+            open_cost, open_at = -math.inf, 0  # of the best unknown piece that ends here
             for end in range(1, len(text) + 1):
-                for start in range(max(0, end - LONGEST_WORD), end):
-                    cost = best[start] + self._cost(text[start:end])
-                    if cost > best[end]:
-                        best[end], back[end] = cost, start
+                if best[end - 1] + unknown > open_cost:
+                    open_cost, open_at = best[end - 1] + unknown, end - 1
+                open_cost -= 2.3
+                best[end], back[end] = open_cost, open_at
+                for n in self.lengths:
+                    if n <= end and (cost := log(text[end - n : end])) is not None and best[end - n] + cost > best[end]:
+                        best[end], back[end] = best[end - n] + cost, end - n
             out, at = [], len(text)
             while at:
                 out.append(text[back[at] : at])
@@ -126,6 +130,7 @@ def runs(host: str, path: str) -> list[tuple[str, str]]:
 def pieces(letters: DataFrame, words: DataFrame, share: int) -> DataFrame:
     """``letters(run)`` of distinct runs with their pieces, by the whole unigram model ``words(word, n)``."""
     total = words.agg(F.sum("n")).first()[0] or 0
+    lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())  # a few dozen numbers
     shared = words.sparkSession.sparkContext.broadcast({r["word"]: r["n"] for r in frequent(words, share).collect()})
 
     def substrings(batches):
@@ -134,7 +139,7 @@ def pieces(letters: DataFrame, words: DataFrame, share: int) -> DataFrame:
         for batch in batches:
             found, of = [], []
             for run in batch.column("run").to_pylist():
-                own = {run[a:b] for a in range(len(run)) for b in range(a + 1, min(len(run), a + LONGEST_WORD) + 1)}
+                own = {run[a : a + n] for n in lengths for a in range(len(run) - n + 1)}
                 own = [w for w in own if w not in shared.value]
                 found += own
                 of += [run] * len(own)
@@ -146,7 +151,7 @@ def pieces(letters: DataFrame, words: DataFrame, share: int) -> DataFrame:
     def split(batches):
         import pyarrow as pa
 
-        segmenter = Segmenter(shared.value, total)
+        segmenter = Segmenter(shared.value, total, lengths)
         for batch in batches:
             found = []
             for run, own in zip(batch.column("run").to_pylist(), batch.column("own").to_pylist()):

@@ -86,10 +86,14 @@ class RateLimit(State):
         return True
 
 
-def rate_limited(alerts: DataFrame, span: int) -> DataFrame:
-    """alerts(node_id, window_seq, ...) reduced to window rows, with ``dispatched``: at most one per node and span."""
-    rows = alerts.groupBy("node_id", "window_seq").agg(F.count("*").alias("alerts"))
-    return fold_column(rows, lambda: RateLimit(span), lambda s, r: {"dispatched": s.update(r["window_seq"])}, "node_id long, window_seq long, alerts long, dispatched boolean")
+def rate_limited(alerts: DataFrame, span: int, rules=RULES) -> DataFrame:
+    """alerts(node_id, alertname, severity, window_seq) by window: how many, the first in order of the rules, and ``dispatched``: at most one per node and span."""
+    place = F.lit(len(rules))
+    for i, (name, *_) in enumerate(rules):
+        place = F.when(c("alertname") == name, i).otherwise(place)
+    rows = alerts.groupBy("node_id", "window_seq").agg(F.count("*").alias("alerts"), F.min_by(F.struct("alertname", "severity"), F.struct(place, c("alertname"))).alias("_first"))
+    rows = rows.select("node_id", "window_seq", "alerts", "_first.*")
+    return fold_column(rows, lambda: RateLimit(span), lambda s, r: {"dispatched": s.update(r["window_seq"])}, "node_id long, window_seq long, alerts long, alertname string, severity string, dispatched boolean")
 
 
 def notifications(alerts: DataFrame, until_us: int, **settings) -> DataFrame:
@@ -108,9 +112,9 @@ def notifications(alerts: DataFrame, until_us: int, **settings) -> DataFrame:
 
 
 def dispatch_log(dispatched: DataFrame, handlers: list[str], dry_run: bool = True) -> DataFrame:
-    """A row per handler for each dispatched alert."""
+    """A row per handler for each dispatched alert: what it was told, and how that went; a dry run calls none and is ok."""
     kinds = F.explode(F.array(*[F.lit(h) for h in handlers]))
-    return dispatched.filter("dispatched").select("node_id", "window_seq", kinds.alias("handler"), F.lit(dry_run).alias("dry_run"), F.lit("skipped" if dry_run else "sent").alias("result"))
+    return dispatched.filter("dispatched").select("node_id", "window_seq", "alertname", "severity", kinds.alias("handler"), F.lit(dry_run).alias("dry_run"), F.lit("ok" if dry_run else None).cast("string").alias("result"))
 
 
 def port_disable_candidates(alerts: DataFrame, ports: DataFrame) -> DataFrame:

@@ -52,11 +52,14 @@ class Policy(State):
     def __init__(self, drain_degraded: bool = False):
         self.drain_degraded, self.desired = drain_degraded, "Available"
 
-    def update(self, state: str, command: str | None = None) -> str:
+    def command(self, command: str | None) -> None:
         if command == "hold":
             self.desired = HELD
         elif command == "release" and self.desired == HELD:
             self.desired = "Available"
+
+    def update(self, state: str, command: str | None = None) -> str:
+        self.command(command)
         if state == "CRITICAL" or (state in ("DEGRADED", "RECOVERING") and self.drain_degraded):
             self.desired = "Draining"
         elif state == "HEALTHY" and self.desired != HELD:
@@ -100,7 +103,8 @@ def action() -> Column:
 
 class Reconciler(State):
     """A node's ticks: the policy, holds that are found, a pause after a contested resume, a cool-down before a
-    resume, and backing off from failing reads but for a probe now and then. Times are seconds."""
+    resume, and backing off from failing reads but for a probe now and then. An operator's hold and release take effect
+    at once, also while reads fail; a release ends a contested pause. Times are seconds."""
 
     fields = ("desired", "drained_at", "contested_until", "last_observed", "failures", "probed_at")
     parts = ("policy",)
@@ -122,10 +126,15 @@ class Reconciler(State):
         return True
 
     def update(self, r: dict) -> str:
-        now, observed = r["at"], r["observed"]
+        now, observed, command = r["at"], r["observed"], r.get("command")
+        self.policy.command(command)
+        if command == "hold":
+            self.desired = HELD
+        elif command == "release":
+            self.desired, self.contested_until = "Available", None
         if self._skips(now):
             return "backoff"
-        new = self.policy.update(r["state"], r.get("command"))
+        new = self.policy.update(r["state"])
         if r.get("error"):
             self.failures += 1
             return "read_failed"
@@ -157,10 +166,46 @@ class Reconciler(State):
 
 
 def reconcile(rows: DataFrame, cooldown: int = 60, contest: int = 300, order=("at",)) -> DataFrame:
-    """rows(node_id, at, state, observed, managed_by_self, responsive, error) with the desired state and decision of each tick."""
+    """rows(node_id, at, state, observed, managed_by_self, responsive, error, command) with the desired state and decision of each tick."""
+    if "command" not in rows.columns:
+        rows = rows.withColumn("command", F.lit(None).cast("string"))
 
     def step(s, r):
         decision = s.update(r)
         return {"desired": s.desired, "decision": decision}
 
-    return fold_column(rows, lambda: Reconciler(cooldown, contest), step, "node_id long, at long, state string, observed string, desired string, decision string", order=list(order))
+    return fold_column(rows, lambda: Reconciler(cooldown, contest), step, "node_id long, at long, state string, observed string, command string, desired string, decision string", order=list(order))
+
+
+#: What the action log calls a decision; other decisions leave no entry.
+LOG_KINDS = {"drain": "drained", "resume": "resumed", "hold": "operator_hold_detected", "read_failed": "error", "skip_down": "skipped", "skip_unknown": "skipped", "cooldown": "skipped", "contested_resume": "contested_resume"}
+
+
+def action_log(decided: DataFrame, dry_run: bool = True) -> DataFrame:
+    """(node_id, at, kind, mode) of reconciled ticks: what a decision did, and the operator's own commands."""
+    kind = F.lit(None).cast("string")
+    for decision, name in LOG_KINDS.items():
+        kind = F.when(c("decision") == decision, name).otherwise(kind)
+    asked = F.when(c("command") == "hold", "hold_set").when(c("command") == "release", "hold_released")
+    both = F.filter(F.array(asked, kind), lambda k: k.isNotNull())
+    return decided.select("node_id", "at", F.explode(both).alias("kind"), F.lit("dry_run" if dry_run else "live").alias("mode"))
+
+
+class Interval(State):
+    """Ticks at least a span apart."""
+
+    fields = ("last",)
+
+    def __init__(self, span: int):
+        self.span, self.last = span, None
+
+    def due(self, at: int) -> bool:
+        if self.last is not None and at - self.last < self.span:
+            return False
+        self.last = at
+        return True
+
+
+def due_ticks(rows: DataFrame, interval: int = 10, order=("at",)) -> DataFrame:
+    """rows(node_id, at, event_id) with ``due``: a node is reconciled when that was ``interval`` seconds ago or more."""
+    return fold_column(rows, lambda: Interval(interval), lambda s, r: {"due": s.due(r["at"])}, "node_id long, at long, event_id long, due boolean", order=list(order))

@@ -217,8 +217,10 @@ state_query("snk_5_alert_payload", _alr() + " select node_id, window_seq, '{\"so
 _sent = """, a as (select node_id, window_seq, count(*) as alerts from al group by all),
 nx as (select a.node_id, a.window_seq, min(b.window_seq) as nxt from a join a b on b.node_id = a.node_id and b.window_seq >= a.window_seq + 4 group by all),
 d as (select node_id, min(window_seq) as window_seq from a group by node_id union all select nx.node_id, nxt from d join nx using (node_id, window_seq))"""
-state_query("fold_10_rate_limit", _alr() + _sent + " select a.*, (node_id, window_seq) in (select (node_id, window_seq) from d) as dispatched from a")(lambda spark, sf_dir: alerting.rate_limited(alerts(spark, sf_dir), 4))
-state_query("act_1_dispatch_log", _alr() + _sent + " select node_id, window_seq, handler, true as dry_run, 'skipped' as result from d cross join (values ('webhook'), ('log')) h(handler)")(lambda spark, sf_dir: alerting.dispatch_log(alerting.rate_limited(alerts(spark, sf_dir), 4), ["webhook", "log"]))
+_place = "case alertname " + " ".join(f"when '{r[0]}' then {i}" for i, r in enumerate(alerting.RULES)) + " end"
+_first = f", fi as (select node_id, window_seq, arg_min(alertname, {_place}) as alertname, arg_min(severity, {_place}) as severity from al group by all)"
+state_query("fold_10_rate_limit", _alr() + _sent + _first + " select a.*, alertname, severity, (node_id, window_seq) in (select (node_id, window_seq) from d) as dispatched from a join fi using (node_id, window_seq)")(lambda spark, sf_dir: alerting.rate_limited(alerts(spark, sf_dir), 4))
+state_query("act_1_dispatch_log", _alr() + _sent + _first + " select node_id, window_seq, alertname, severity, handler, true as dry_run, 'ok' as result from d join fi using (node_id, window_seq) cross join (values ('webhook'), ('log')) h(handler)")(lambda spark, sf_dir: alerting.dispatch_log(alerting.rate_limited(alerts(spark, sf_dir), 4), ["webhook", "log"]))
 _last = """, r as (select *, row_number() over (partition by node_id order by window_seq desc, alertname) as rank from al),
 g as (select node_id, string_agg('{"rank":' || rank || ',"window_seq":' || window_seq || ',"kind":"' || alertname || '","severity":"' || severity || '"}', ',' order by rank) as rows from r where rank <= 100 group by node_id),
 n as (select node_id, max_by(state, window_seq) as state, max(window_seq) as w from hist group by node_id)"""
@@ -359,10 +361,6 @@ def _(spark, sf_dir):
 for _alias in ("set_1_union_samples", "cov_5_active_samples"):
     query(_alias, f", {SMP} select capability, count(*) as n, round(sum(value), 3) as total from s group by all")(lambda spark, sf_dir: samples.all_samples(wins(spark, sf_dir), _three).groupBy("capability").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total")))
 query("flt_6_actionable", f", {SMP} select count(*) as n from s where confidence > 0 and value > 1")(lambda spark, sf_dir: samples.all_samples(wins(spark, sf_dir), _three).filter(X.is_actionable(c("quality"), c("confidence")) & (c("value") > 1)).agg(F.count("*").alias("n")))
-query("scr_3_severity_floor", f"select node_id, window_seq, round(case when link_downed > 0 then {D(0.55)} when {HARD} > 5 then {D(0.30)} else 0 end * {D(0.7)}, 6) as floor from wi")(
-    lambda spark, sf_dir: wins(spark, sf_dir).select(*K, r6(samples.severity_floor(F.when(c("link_downed") > 0, "CRITICAL").when(X.hard_errors() > 5, "DEGRADED").otherwise("HEALTHY"), lit(0.7))).alias("floor"))
-)
-
 
 def inventory(spark, sf_dir):
     """Suppliers as an inventory of nodes with a fabric and counter lists."""
@@ -549,7 +547,8 @@ def observations(spark, sf_dir):
     line = F.concat(lit("NodeName=n State="), _pick(_parts), lit(" Reason="), F.when(c("cpu") == 0, lit("fabrichealth:critical")).otherwise(lit("ops")))
     rows = base.select(*K, "event_id", F.floor(c("ts_us") / 1_000_000).cast("long").alias("at"), line.alias("line")).select("*", scheduling.observed_state(raw).alias("observed"), F.startswith(reason, lit(scheduling.PREFIX)).alias("managed_by_self"), (~F.contains(raw, lit("*"))).alias("responsive"))
     want = scheduling.desired_states(history(spark, sf_dir)).select(*K, "state", "desired")
-    return rows.join(want, K).withColumn("error", c("window_seq") % 20 == 7).drop("line")
+    command = F.when(c("event_id") % 211 == 5, "hold").when(c("event_id") % 211 == 100, "release")
+    return rows.join(want, K).withColumns({"error": c("window_seq") % 20 == 7, "command": command}).drop("line")
 
 
 def reconciled(spark, sf_dir):
@@ -564,11 +563,49 @@ _act = """case when desired = 'Available' and observed in ('Draining', 'Drained'
 for _alias in ("sch_3_converge", "join_13_desired_vs_observed"):
     state_query(_alias, _obsql + f" select event_id, node_id, desired, observed, {_act} as action from ob")(lambda spark, sf_dir: observations(spark, sf_dir).select("event_id", "node_id", "desired", "observed", scheduling.action().alias("action")))
 state_query("sch_2_operator_hold", _obsql + " select event_id, node_id from ob where observed in ('Draining', 'Drained', 'Down') and not managed and desired = 'Available'")(lambda spark, sf_dir: observations(spark, sf_dir).filter(scheduling.operator_hold()).select("event_id", "node_id"))
-query("fold_9_reconciler")(reconciled)
-query("sch_4_contested")(lambda spark, sf_dir: reconciled(spark, sf_dir).filter(c("decision").isin("contested_resume", "contested")))
-query("sch_6_backoff")(lambda spark, sf_dir: reconciled(spark, sf_dir).filter(c("decision").isin("read_failed", "backoff")))
-query("sch_8_action_log")(lambda spark, sf_dir: reconciled(spark, sf_dir).groupBy("decision").agg(F.count("*").alias("n")))
-query("sch_5_reconcile_interval", "select node_id, window_seq, min(event_id) as \"at\" from ev group by all", "ev")(lambda spark, sf_dir: events(spark, sf_dir).groupBy(*K).agg(F.min("event_id").alias("at")))
+_held_ = scheduling.HELD
+_ticks = f""", tk as materialized (select ob.node_id, event_id, ev.ts_us // 1000000 as "at", state, observed, managed, responsive, ob.window_seq % 20 = 7 as error, case event_id % 211 when 5 then 'hold' when 100 then 'release' end as cmd,
+  row_number() over (partition by ob.node_id order by ev.ts_us // 1000000, event_id) as rn from ob join hist using (node_id, window_seq) join (select event_id, ts_us from ev) ev using (event_id)),
+rr as (select node_id, cast(0 as bigint) as rn, cast(null as bigint) as "at", cast(null as varchar) as state, cast(null as varchar) as observed, cast(null as varchar) as cmd, 'Available' as des, 'Available' as pol, cast(null as bigint) as con, cast(null as bigint) as drained, 'Unknown' as seen, 0 as fails, cast(null as bigint) as probed, cast(null as varchar) as decision from (select distinct node_id from tk) union all
+  select node_id, rn, "at", state, observed, cmd,
+    case when d in ('hold') then '{_held_}' when d in ('backoff', 'read_failed', 'contested_resume', 'contested') then des0 else pol1 end,
+    case when d = 'backoff' then pol0 when d = 'hold' then '{_held_}' else pol1 end,
+    case when d in ('backoff', 'read_failed', 'hold', 'contested') then con0 when d = 'contested_resume' then "at" + 300 end,
+    case when d = 'drain' then "at" when d = 'resume' then null else drained end,
+    case when d in ('backoff', 'read_failed', 'hold', 'contested') then seen else observed end,
+    case when d = 'backoff' then fails when d = 'read_failed' then fails + 1 else 0 end, probed1, d
+  from (select *, case when skip then 'backoff' when error then 'read_failed' when pol1 = 'Available' and observed in ('Draining', 'Drained', 'Down') and not managed then 'hold'
+      when des0 = 'Draining' and observed = 'Available' and seen in ('Draining', 'Drained') then 'contested_resume' when con0 is not null and "at" < con0 then 'contested'
+      when observed = 'Unknown' then 'skip_unknown' when observed = 'Down' and not responsive then 'skip_down' when pol1 = '{_held_}' or observed = pol1 or (pol1 = 'Draining' and observed = 'Drained') then 'none'
+      when pol1 = 'Draining' then 'drain' when drained is not null and "at" - drained < 60 then 'cooldown' else 'resume' end as d
+    from (select *, case when state = 'CRITICAL' then 'Draining' when state = 'HEALTHY' and pol0 <> '{_held_}' then 'Available' else pol0 end as pol1
+      from (select t.*, p.drained, p.seen, p.fails, case t.cmd when 'hold' then '{_held_}' when 'release' then case when p.pol = '{_held_}' then 'Available' else p.pol end else p.pol end as pol0,
+          case t.cmd when 'hold' then '{_held_}' when 'release' then 'Available' else p.des end as des0, case when t.cmd = 'release' then null else p.con end as con0,
+          p.fails >= 5 and (p.probed is null or t."at" - p.probed < 300) as skip, case when p.fails >= 5 and (p.probed is null or t."at" - p.probed >= 300) then t."at" else p.probed end as probed1
+        from rr p join tk t on t.node_id = p.node_id and t.rn = p.rn + 1)))),
+dc as (select node_id, "at", state, observed, cmd as command, des as desired, decision from rr where rn > 0)"""
+_log = "case decision " + " ".join(f"when '{d}' then '{k}'" for d, k in scheduling.LOG_KINDS.items()) + " end"
+for _name, _tail, _run in (
+    ("fold_9_reconciler", "select * from dc", lambda df: df),
+    ("sch_4_contested", "select * from dc where decision in ('contested_resume', 'contested')", lambda df: df.filter(c("decision").isin("contested_resume", "contested"))),
+    ("sch_6_backoff", "select * from dc where decision in ('read_failed', 'backoff')", lambda df: df.filter(c("decision").isin("read_failed", "backoff"))),
+    ("sch_8_action_log", f"select kind, 'dry_run' as mode, count(*) as n from (select unnest([case command when 'hold' then 'hold_set' when 'release' then 'hold_released' end, {_log}]) as kind from dc) where kind is not null group by all", lambda df: scheduling.action_log(df).groupBy("kind", "mode").agg(F.count("*").alias("n"))),
+):
+    state_query(_name, _obsql + _ticks + " " + _tail)(lambda spark, sf_dir, run=_run: run(reconciled(spark, sf_dir)))
+
+#: The events lie minutes apart, so a node is due once an hour here.
+DUE = 3600
+_due = f""", e as materialized (select node_id, ts_us // 1000000 as "at", event_id, row_number() over (partition by node_id order by ts_us // 1000000, event_id) as rn from ev),
+nx as materialized (select a.node_id, a.rn, b.rn as nxt from e a asof join (select *, "at" - {DUE} as due_at, -("at" - {DUE}) as neg from e qualify row_number() over (partition by node_id, "at" order by rn) = 1) b on a.node_id = b.node_id and a."at" <= b.due_at),
+d as (select node_id, cast(1 as bigint) as rn from (select distinct node_id from e) union all select d.node_id, nx.nxt from d join nx on nx.node_id = d.node_id and nx.rn = d.rn)
+select e.node_id, "at", event_id, d.rn is not null as due from e left join d on d.node_id = e.node_id and d.rn = e.rn"""
+
+
+@query("sch_5_reconcile_interval", _due, "ev", recursive=True)
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir).select("node_id", F.floor(c("ts_us") / 1_000_000).cast("long").alias("at"), "event_id")
+    return scheduling.due_ticks(rows, DUE, order=("at", "event_id"))
+
 
 # metrics
 GAUGES = {"irq_total": lambda: c("irq_total"), "napi_pct": X.napi_utilisation, "slab_max": lambda: c("slab_latency_max")}

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from fabrichealth.config import SCALED
 from fabrichealth.functions import exprs as X
-from fabrichealth.operators import alerting, folds, rules
-from fabrichealth.plans.base import D, query, r6, wins
+from fabrichealth.operators import alerting, folds, rules, samples
+from fabrichealth.plans.base import query, r6, wins
 from fabrichealth.plans.state_queries import WEIGHTS, inventory, rule_weights
 from fabrichealth.plans.verdict_sql import rollings, verdict_views
 from fabrichealth.plans.window_queries import K
@@ -70,3 +70,11 @@ def _(spark, sf_dir):
     """Nodes of the inventory have one port or two."""
     ports = inventory(spark, sf_dir).select("node_id", F.explode(F.sequence(lit(1).cast("long"), 1 + c("node_id") % 2)).alias("port"))
     return alerting.port_disable_candidates(verdicts(spark, sf_dir), ports)
+
+
+@verdict_query("scr_3_severity_floor", "select node_id, window_seq, worst_rule, round(floor, 6) as floor from xf")
+def _(spark, sf_dir):
+    """The floor of each window's worst severity, scaled by the node's coverage of the rule that raised it."""
+    worst = verdicts(spark, sf_dir).select(*K, "severity", "worst_rule")
+    weighted = worst.join(rule_weights(spark, sf_dir).withColumnRenamed("rule", "worst_rule"), ["node_id", "worst_rule"], "left")
+    return weighted.select(*K, "worst_rule", r6(samples.severity_floor(c("severity"), F.coalesce("weight", lit(1.0)))).alias("floor"))

@@ -61,6 +61,29 @@ STATELESS = {
 }
 
 
+def _fixed(x: Column, places: int) -> Column:
+    """A number with so many places, rounded by its exact binary value, ties to the even digit."""
+    return F.call_function("format_number", x.cast("double"), F.lit("0." + "0" * places if places else "0"))
+
+
+#: The texts of the stateless rules' alerts, with figures in their places.
+MESSAGES = {
+    "interrupt_affinity_skew": ("Interrupt affinity skew: CPU %s handling %s%% of interrupts", lambda t: (F.coalesce(X.dominant_cpu(), F.lit(0)), _fixed(X.dominant_cpu_pct(), 1))),
+    "rdma_latency_spike": ("RDMA latency spike: %sns (%sx baseline)", lambda t: (X.whole_average("completion_latency_total", "completions"), _fixed(X.whole_average("completion_latency_total", "completions") / t.latency_baseline_ns, 1))),
+    "slab_pressure_correlation": ("Slab pressure correlated with IB errors: %s allocs/window, %s IB errors", lambda t: (c("slab_allocs"), X.total_errors())),
+    "rising_error_trend": ("IB errors rising for %s consecutive windows (current delta: %s)", lambda t: (c("error_streak"), X.total_errors())),
+    "napi_saturation": ("NAPI saturation: %s%% budget utilization (%s/%s per poll)", lambda t: (_fixed(X.napi_utilisation(), 0), _fixed(c("napi_work") / F.nullif(c("napi_polls"), F.lit(0)), 0), _fixed(c("napi_budget") / F.nullif(c("napi_polls"), F.lit(0)), 0))),
+    "pcie_bottleneck": ("PCIe bottleneck suspected: %s CQ stalls + %s slab allocs, no IB errors — not a cable fault", lambda t: (c("cq_stalls"), c("slab_allocs"))),
+}
+
+
+def alerts(windows: DataFrame, t: Thresholds) -> DataFrame:
+    """(node_id, window_seq, rule, severity, message) of the stateless rules and the trend, one row per alert."""
+    ruled = with_rules(windows, t)
+    told = [F.struct(F.lit(name).alias("rule"), c(name).alias("severity"), F.format_string(text, *[x.cast("string") for x in figures(t)]).alias("message")) for name, (text, figures) in MESSAGES.items()]
+    return ruled.select("node_id", "window_seq", F.inline(F.filter(F.array(*told), lambda a: a["severity"].isNotNull())))
+
+
 #: All rules in their order of evaluation; of equally severe alerts the first gives the coverage weight.
 ORDER = (
     "interrupt_affinity_skew", "rdma_latency_spike", "rdma_link_degradation", "slab_pressure_correlation", "rising_error_trend", "latency_drift",

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fabrichealth.schemas import DELTAS
+from fabrichealth.sources.store import settle
 
 #: What an empty window holds: every figure 0.
 SUMS = (
@@ -44,12 +45,16 @@ def window_aggregates(events: DataFrame, num_cpus: int = 4, derive_cq: bool = Tr
 
     ``derive_cq`` fills the completion-queue statistics from completion events; without it they are 0.
     """
+    return events.groupBy("node_id", "window_seq").agg(*_figures(events, num_cpus, derive_cq, stall_ns))
+
+
+def _figures(events: DataFrame, num_cpus: int, derive_cq: bool, stall_ns: int) -> list[Column]:
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     count = lambda kind: F.count_if(F.col("kind") == kind)
     cq = (lambda c: n(c)) if derive_cq else (lambda c: F.lit(0).cast("long"))
     has = set(events.columns)
     length = "len" if "len" in has else F.lit(0)
-    return events.groupBy("node_id", "window_seq").agg(
+    return [
         F.count("*").alias("n_events"),
         F.min("ts_us").alias("window_start_us"),
         F.max("ts_us").alias("window_end_us"),
@@ -74,13 +79,32 @@ def window_aggregates(events: DataFrame, num_cpus: int = 4, derive_cq: bool = Tr
         cq(F.sum(_kind("CqCompletion"))).alias("cq_latency_total"),
         cq(F.max(_kind("CqCompletion"))).alias("cq_latency_max"),
         cq(F.count_if((F.col("kind") == "CqCompletion") & (F.col("latency_ns") > stall_ns))).alias("cq_stalls"),
-    )
+    ]
+
+
+def _delta_sums() -> list[Column]:
+    return [F.coalesce(F.sum(F.when(F.col("counter") == i, F.col("delta"))), F.lit(0)).cast("long").alias(name) for i, name in enumerate(DELTAS)]
 
 
 def window_counters(events: DataFrame) -> DataFrame:
     """The 17 counter deltas of each node and window, summed over ports."""
-    deltas = counter_deltas(events.filter(F.col("kind") == "HardwareCounter"))
-    return deltas.groupBy("node_id", "window_seq").agg(*[F.coalesce(F.sum(F.when(F.col("counter") == i, F.col("delta"))), F.lit(0)).cast("long").alias(name) for i, name in enumerate(DELTAS)])
+    return counter_deltas(events.filter(F.col("kind") == "HardwareCounter")).groupBy("node_id", "window_seq").agg(*_delta_sums())
+
+
+#: The event columns that window aggregates read.
+EVENT_COLUMNS = ("node_id", "window_seq", "ts_us", "kind", "cpu", "latency_ns", "bytes_req", "bytes_alloc", "work_done", "budget", "len", "is_error")
+
+
+def windows_with_events(events: DataFrame, num_cpus: int = 4, derive_cq: bool = True, stall_ns: int = 50_000) -> DataFrame:
+    """All figures and counter deltas of the windows that have events, in one aggregation.
+
+    Only counter readings are sorted for their deltas; they meet the other events, which are not, before the sums.
+    """
+    columns = [c for c in EVENT_COLUMNS if c in events.columns]
+    none = {"counter": F.lit(None).cast("int"), "delta": F.lit(None).cast("long")}
+    others = events.filter(F.col("kind") != "HardwareCounter").select(*columns).withColumns(none)
+    counters = counter_deltas(events.filter(F.col("kind") == "HardwareCounter")).select(*columns, F.col("counter").cast("int").alias("counter"), "delta")
+    return others.unionByName(counters).groupBy("node_id", "window_seq").agg(*_figures(events, num_cpus, derive_cq, stall_ns), *_delta_sums())
 
 
 def port_counters(events: DataFrame) -> DataFrame:
@@ -89,16 +113,26 @@ def port_counters(events: DataFrame) -> DataFrame:
     return deltas.groupBy("node_id", "port", "window_seq").agg(*[F.coalesce(F.sum(F.when(F.col("counter") == i, F.col("delta"))), F.lit(0)).cast("long").alias(name) for i, name in enumerate(DELTAS)])
 
 
+#: Windows that are made of one row at a time: no array as long as a history is ever held.
+SPINE_BLOCK = 4096
+
+
 def spine(windows: DataFrame) -> DataFrame:
     """Every window from the first to the last of the fleet, for every node: also empty ones are evaluated."""
-    ends = windows.agg(F.sequence(F.min("window_seq"), F.max("window_seq"))).scalar()
-    return windows.select("node_id").distinct().select("node_id", F.explode(ends).alias("window_seq"))
+    ends = windows.agg(F.struct(F.min("window_seq").alias("low"), F.max("window_seq").alias("high"))).scalar()
+    low, high = F.col("_ends.low"), F.col("_ends.high")
+    block = lambda x: F.floor(x / SPINE_BLOCK)
+    blocks = windows.select("node_id").distinct().withColumn("_ends", ends).select("node_id", "_ends", F.explode(F.sequence(block(low), block(high))).alias("_block"))
+    return blocks.select("node_id", F.explode(F.sequence(F.greatest(low, F.col("_block") * SPINE_BLOCK), F.least(high, (F.col("_block") + 1) * SPINE_BLOCK - 1))).alias("window_seq"))
 
 
 def health_windows(events: DataFrame, num_cpus: int = 4, derive_cq: bool = True, stall_ns: int = 50_000) -> DataFrame:
-    """The dense window table: all aggregates and counter deltas, 0 where a window is empty."""
-    aggregates = window_aggregates(events, num_cpus, derive_cq, stall_ns)
-    joined = spine(aggregates).join(aggregates, ["node_id", "window_seq"], "left").join(window_counters(events), ["node_id", "window_seq"], "left")
+    """The dense window table: all aggregates and counter deltas, 0 where a window is empty.
+
+    The aggregates are settled, since the spine and the table itself both read them; the events are read once.
+    """
+    aggregates = settle(windows_with_events(events, num_cpus, derive_cq, stall_ns), "windows")
+    joined = spine(aggregates).join(aggregates, ["node_id", "window_seq"], "left")
     zeros = F.array(*[F.lit(0).cast("long")] * num_cpus)
     return joined.fillna(0, [*SUMS, *DELTAS]).withColumn("irq_per_cpu", F.coalesce("irq_per_cpu", zeros))
 
@@ -115,6 +149,22 @@ def snapshot_windows(snapshots: DataFrame) -> DataFrame:
     return rise.filter(~F.col("_first")).drop("_first")
 
 
+def proc_windows(interrupts: DataFrame, slab: DataFrame, softnet: DataFrame) -> DataFrame:
+    """Window columns from parsed /proc snapshots, for nodes without kernel statistics: (node_id, window_seq, ...).
+
+    Interrupts and softnet rows count up and give their rise since the node's last snapshot; a first snapshot is the
+    baseline and gives no row. Slab objects are levels: active ones stand for allocations, the rest for frees. Polls and
+    their budget are packets processed, work is the time squeeze.
+    """
+    irq = interrupts.groupBy("node_id", "snapshot").agg(F.sum("count").alias("irq_total"))
+    net = softnet.groupBy("node_id", "snapshot").agg(F.sum("processed").cast("long").alias("_polls"), F.sum("time_squeeze").cast("long").alias("_work"))
+    order = W.partitionBy("node_id").orderBy("snapshot")
+    rise = lambda name: saturating_delta(F.col(name), F.lag(name).over(order))
+    whole = irq.join(net, ["node_id", "snapshot"]).join(slab, ["node_id", "snapshot"])
+    rows = whole.withColumns({"irq_total": rise("irq_total"), "napi_polls": rise("_polls"), "napi_work": rise("_work"), "_first": F.row_number().over(order) == 1}).filter(~F.col("_first"))
+    return rows.select("node_id", F.col("snapshot").alias("window_seq"), "irq_total", F.col("active_objects").alias("slab_allocs"), F.greatest(F.col("objects") - F.col("active_objects"), F.lit(0)).alias("slab_frees"), "napi_polls", "napi_work", F.col("napi_polls").alias("napi_budget"))
+
+
 def prefer_snapshot(windows: DataFrame, snapshots: DataFrame, columns: list[str]) -> DataFrame:
     """Windows whose columns come from a snapshot where there is one."""
     renamed = snapshots.select("node_id", "window_seq", *[F.col(c).alias(f"_{c}") for c in columns])

@@ -17,9 +17,9 @@ from fabrichealth.sources.adapter import completions
 c, lit = F.col, F.lit
 
 
-def history(spark, sf_dir):
+def history(spark, sf_dir, windows=None):
     """Health history by the smoothing and state machine over the plain composite score."""
-    return folds.fold_column(scored(spark, sf_dir), lambda: folds.Track(0.3, 0.85, SCALED.state), _track, "node_id long, window_seq long, raw double, ewma double, peak double, effective double, state string")
+    return folds.fold_column(scored(spark, sf_dir, windows), lambda: folds.Track(0.3, 0.85, SCALED.state), _track, "node_id long, window_seq long, raw double, ewma double, peak double, effective double, state string")
 
 
 def _track(track, r):
@@ -58,8 +58,8 @@ def state_query(name, tail):
 _six = "round(raw, 6) as raw, round(ewma, 6) as ewma, round(peak, 6) as peak, round(effective, 6) as effective"
 
 
-def scored(spark, sf_dir):
-    return wins(spark, sf_dir).select(*K, X.composite_score(4).alias("raw"))
+def scored(spark, sf_dir, windows=None):
+    return (wins(spark, sf_dir) if windows is None else windows).select(*K, X.composite_score(4).alias("raw"))
 
 
 @state_query("fold_2_smoothed", f"select node_id, window_seq, {_six} from hist")
@@ -112,12 +112,17 @@ def _(spark, sf_dir):
 _table = f", n as (select node_id, max_by(state, window_seq) as state, max_by(effective, window_seq) as e from hist group by all), m as (select node_id, max_by({ALL}, window_seq) as errors, max_by(case when napi_budget > 0 then napi_work / napi_budget * 100 else 0 end, window_seq) as napi from wi group by all) select node_id, state, cast(trunc(e * 1000) as bigint) as score, errors, round(napi, 6) as napi_pct from n full join m using (node_id)"
 
 
+def _node_table(spark, sf_dir):
+    windows = wins(spark, sf_dir)
+    return fleet.node_table(history(spark, sf_dir, windows), windows)
+
+
 @state_query("flq_9_node_table", _table)
 def _(spark, sf_dir):
-    return fleet.node_table(history(spark, sf_dir), wins(spark, sf_dir)).withColumn("napi_pct", r6("napi_pct"))
+    return _node_table(spark, sf_dir).withColumn("napi_pct", r6("napi_pct"))
 
 
-state_query("join_9_merge_instant", _table.replace("round(napi, 6)", "napi"))(lambda spark, sf_dir: fleet.node_table(history(spark, sf_dir), wins(spark, sf_dir)))
+state_query("join_9_merge_instant", _table.replace("round(napi, 6)", "napi"))(lambda spark, sf_dir: _node_table(spark, sf_dir))
 
 
 def nodes(spark, sf_dir):
@@ -171,8 +176,9 @@ def _(spark, sf_dir):
 
 
 def series(spark, sf_dir):
-    h = history(spark, sf_dir).select(*K, X.state_code(c("state")).alias("state_code"))
-    return wins(spark, sf_dir).join(h, K)
+    windows = wins(spark, sf_dir)
+    h = history(spark, sf_dir, windows).select(*K, X.state_code(c("state")).alias("state_code"))
+    return windows.join(h, K)
 
 
 def alerts(spark, sf_dir):

@@ -85,18 +85,32 @@ def _(spark, sf_dir):
     return windows.snapshot_windows(snapshots(spark, sf_dir)).select("node_id", "snapshot", "irq_count", "napi_polls", "slab_allocs", "cq_completions", "cq_latency_total", "cq_stalls", "latency_max")
 
 
-@query("agg_11_prefer_snapshot", "select node_id, window_seq, cq_completions, cq_latency_total, cq_stalls from wi")
+_cq3 = ("cq_completions", "cq_latency_total", "cq_stalls")
+
+
+@query("agg_11_prefer_snapshot", ", k as (select *, lag(window_seq) over w as before, " + ", ".join(f"sum({x}) over w0 as s_{x}" for x in _cq3) + " from wi window w as (partition by node_id order by window_seq), w0 as (partition by node_id order by window_seq)), s as (select node_id, window_seq, " + ", ".join(f"s_{x} - lag(s_{x}) over v as d_{x}" for x in _cq3) + ", lag(window_seq) over v as prev from k where window_seq % 3 <> 0 window v as (partition by node_id order by window_seq)) select wi.node_id, wi.window_seq, " + ", ".join(f"cast(case when s.prev is null then 0 else d_{x} end as bigint) as {x}" for x in _cq3) + " from wi left join s using (node_id, window_seq)")
 def _(spark, sf_dir):
+    """Events alone tell nothing of the completion queues; kernel snapshots do, where there are any: not every third window."""
     base = windows.health_windows(events(spark, sf_dir), derive_cq=False)
-    snap = windows.snapshot_windows(snapshots(spark, sf_dir)).withColumnRenamed("snapshot", "window_seq")
-    first = windows.window_aggregates(events(spark, sf_dir))
-    out = windows.prefer_snapshot(base, snap, ["cq_completions", "cq_latency_total", "cq_stalls"])
-    return windows.prefer_snapshot(out, first, ["cq_completions", "cq_latency_total", "cq_stalls"]).select(*K, "cq_completions", "cq_latency_total", "cq_stalls")
+    snap = windows.snapshot_windows(snapshots(spark, sf_dir).filter("snapshot % 3 <> 0")).withColumnRenamed("snapshot", "window_seq")
+    return windows.prefer_snapshot(base, snap, list(_cq3)).select(*K, *_cq3)
+
+
+def proc_text(spark, sf_dir):
+    """/proc snapshots of each node and window as text: interrupts and softnet count up, slab objects are levels."""
+    order = W.partitionBy("node_id").orderBy("window_seq")
+    rows = wins(spark, sf_dir).withColumns({f"_irq{i}": F.sum(c("irq_per_cpu")[i]).over(order) for i in range(4)} | {"_polled": F.sum("n_events").over(order), "_squeezed": F.sum("irq_total").over(order)})
+    at = ["node_id", c("window_seq").alias("snapshot")]
+    irq = F.concat(F.lit("      CPU0 CPU1 CPU2 CPU3\n 24: "), F.concat_ws("  ", *[c(f"_irq{i}").cast("string") for i in range(4)]), F.lit(" PCI-MSI mlx5\n"))
+    slab = F.concat(F.lit("slabinfo - version: 2.1\n# name <active_objs>\nkmalloc "), c("slab_allocs").cast("string"), F.lit(" "), (c("slab_allocs") + c("slab_frees")).cast("string"), F.lit(" 64 64 1 : tunables 0 0 0 : slabdata 1 9 0\n"))
+    softnet = F.concat_ws(" ", F.hex("_polled"), F.lit("0"), F.hex("_squeezed"))
+    return [rows.select(*at, text.alias("text")) for text in (irq, slab, softnet)]
 
 
-@query("agg_12_proc_windows", "select node_id, window_seq, slab_allocs as allocs, slab_bytes_alloc - slab_bytes_req as frees, napi_polls as polls, napi_work as work, napi_polls as budget from wi")
+@query("agg_12_proc_windows", "select node_id, window_seq, irq_total, slab_allocs, slab_frees, n_events as napi_polls, irq_total as napi_work, n_events as napi_budget from wi where window_seq > (select min(window_seq) from wi)")
 def _(spark, sf_dir):
-    return wins(spark, sf_dir).select(*K, c("slab_allocs").alias("allocs"), (c("slab_bytes_alloc") - c("slab_bytes_req")).alias("frees"), c("napi_polls").alias("polls"), c("napi_work").alias("work"), c("napi_polls").alias("budget"))
+    irq, slab, softnet = proc_text(spark, sf_dir)
+    return windows.proc_windows(landed.interrupts(irq), landed.slabinfo(slab), landed.softnet(softnet))
 
 
 @query("agg_13_label_counts", "select kind, is_error, count(*) as n, cast(sum(latency_ns) as bigint) as total from ev group by all", "ev")
@@ -223,7 +237,24 @@ one("sca_12_math", lambda: r6(F.tanh(F.log(1 + c("completion_latency_total")) /
 one("sca_13_quality_weight", lambda: r6(X.effective_weight(F.when(c("irq_total") > 2, "High").when(c("irq_total") > 1, "Medium").when(c("irq_total") > 0, "Low").otherwise("Absent"), c("completions") / 3)), "round(case when irq_total > 2 then 1.0 when irq_total > 1 then 0.7 when irq_total > 0 then 0.4 else 0.0 end * least(greatest(completions / 3, 0), 1), 6)", "weight")
 one("sca_16_error_summary", X.error_summary, "concat_ws(', ', " + ", ".join(f"case when {n} > 0 then '{s}+' || cast({n} as bigint) end" for s, n in X.ERROR_PARTS) + ")", "summary")
 one("sca_26_fragmentation", lambda: r6(F.when(c("slab_bytes_alloc") > 0, (1 - c("slab_bytes_req") / c("slab_bytes_alloc")) * 100).otherwise(0.0)), "round(case when slab_bytes_alloc > 0 then (1 - slab_bytes_req / slab_bytes_alloc) * 100 else 0 end, 6)", "pct")
-one("sca_25_message", lambda: F.format_string("%d completions, %d errors above %.1f", c("completions"), c("completion_errors"), F.lit(2.5)), "format('{:d} completions, {:d} errors above {:.1f}', completions, completion_errors, 2.5::double)", "message")
+_cpu = "(case when irq3 = greatest(irq0, irq1, irq2, irq3) then 3 when irq2 = greatest(irq0, irq1, irq2, irq3) then 2 when irq1 = greatest(irq0, irq1, irq2, irq3) then 1 else 0 end)"
+_mean = "(completion_latency_total // completions)"
+_told = {
+    "interrupt_affinity_skew": (f"irq_total >= 2 and {DOMINANT} >= 70", f"{DOMINANT} >= 90", f"format('Interrupt affinity skew: CPU {{}} handling {{:.1f}}% of interrupts', {_cpu}, cast({DOMINANT} as double))"),
+    "rdma_latency_spike": (f"completions >= 1 and {_mean} >= 50000", f"{_mean} >= 100000", f"format('RDMA latency spike: {{}}ns ({{:.1f}}x baseline)', {_mean}, {_mean} / 10000)"),
+    "slab_pressure_correlation": (f"slab_allocs >= 2 and {TOTAL} > 0", f"{TOTAL} > 100", f"format('Slab pressure correlated with IB errors: {{}} allocs/window, {{}} IB errors', slab_allocs, {TOTAL})"),
+    "rising_error_trend": (f"streak >= 3 and {TOTAL} > 0", "streak >= 6", f"format('IB errors rising for {{}} consecutive windows (current delta: {{}})', streak, {TOTAL})"),
+    "napi_saturation": ("napi_polls >= 1 and napi_work / napi_budget * 100 >= 85", "napi_work / napi_budget * 100 >= 95", "format('NAPI saturation: {:.0f}% budget utilization ({:.0f}/{:.0f} per poll)', napi_work / napi_budget * 100, napi_work / napi_polls, napi_budget / napi_polls)"),
+    "pcie_bottleneck": (f"cq_stalls >= 1 and slab_allocs >= 1 and {ALL} = 0", "false", "format('PCIe bottleneck suspected: {} CQ stalls + {} slab allocs, no IB errors — not a cable fault', cq_stalls, slab_allocs)"),
+}
+_streaks = f", rt as (select *, coalesce({TOTAL} > lag({TOTAL}) over (partition by node_id order by window_seq), false) as rises, row_number() over (partition by node_id order by window_seq) as rn from wi), rs as (select *, rn - coalesce(max(case when not rises then rn end) over (partition by node_id order by window_seq), 0) as streak from rt) "
+
+
+@query("sca_25_message", _streaks + " union all ".join(f"select node_id, window_seq, '{rule}' as rule, case when {critical} then 'CRITICAL' else 'DEGRADED' end as severity, {text} as message from rs where {fires}" for rule, (fires, critical, text) in _told.items()))
+def _(spark, sf_dir):
+    return rules.alerts(wins(spark, sf_dir), SCALED)
+
+
 query("sca_27_time", "select event_id, cast(ts_us // 86400000000 as bigint) as days, cast((ts_us % 86400000000) // 3600000000 as bigint) as hours from ev", "ev")(lambda spark, sf_dir: events(spark, sf_dir).select("event_id", F.expr("ts_us div 86400000000").alias("days"), F.expr("(ts_us % 86400000000) div 3600000000").alias("hours")))
 query("sca_28_json", "select event_id, '{\"kind\":\"' || kind || '\",\"cpu\":' || cpu || '}' as body from ev", "ev")(lambda spark, sf_dir: events(spark, sf_dir).select("event_id", F.to_json(F.struct("kind", "cpu")).alias("body")))
 
@@ -372,8 +403,21 @@ def _documents(spark, sf_dir, bare: bool):
 
 
 _position = "select 'n-' || node_id || '-' || window_seq as scenario, row_number() over (partition by node_id, window_seq order by ts_us, event_id) - 1 as position, ts_us * 1000 as timestamp_ns, cpu from ev where kind = 'IrqEntry'"
-for _name, _bare in (("src_1_event_array", True), ("src_2_scenario", False), ("src_3_either_shape", True)):
-    query(_name, _position, "ev")(lambda spark, sf_dir, bare=_bare: landed.scenario_events(landed.parse_scenarios(_documents(spark, sf_dir, bare))).select("scenario", c("position").cast("long").alias("position"), "timestamp_ns", "cpu"))
+def _landed(spark, sf_dir, documents):
+    return landed.scenario_events(landed.parse_scenarios(documents)).select("scenario", c("position").cast("long").alias("position"), "timestamp_ns", "cpu")
+
+
+for _name, _bare in (("src_1_event_array", True), ("src_2_scenario", False)):
+    query(_name, _position, "ev")(lambda spark, sf_dir, bare=_bare: _landed(spark, sf_dir, _documents(spark, sf_dir, bare)))
+
+
+@query("src_3_either_shape", _position, "ev")
+def _(spark, sf_dir):
+    """A folder of both shapes, and of documents that are neither, which are listed as rejected and give no events."""
+    arrays, scenarios_ = (_documents(spark, sf_dir, bare) for bare in (True, False))
+    odd = F.crc32("file") % 2 == 1
+    broken = arrays.select(F.concat(F.lit("x"), c("file")).alias("file"), F.concat(F.lit("{"), c("value")).alias("value"))
+    return _landed(spark, sf_dir, arrays.filter(odd).unionByName(scenarios_.filter(~odd)).unionByName(broken))
 
 
 @query("src_15_processes", "select event_id as pid, cast(qp as varchar) as job_id, cast(cpu as varchar) as gpus from ev", "ev")

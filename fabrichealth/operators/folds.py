@@ -397,7 +397,9 @@ def walk(table, start, step, schema: str, order=("window_seq",), keys=("node_id"
             yield pa.RecordBatch.from_pylist(out, schema=given)
         yield pa.RecordBatch.from_pylist(closing(), schema=given)
 
-    return table.repartition(*keys).sortWithinPartitions(*keys, F.col("_head").isNull(), *order).mapInArrow(run, schema)
+    # dealt by a hash of its own: a table that is dealt by the keys already would not be dealt again, and the adaptive
+    # planner may then read its shuffle by map task, which parts a key's rows before an operator that can't say it needs them
+    return table.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, F.col("_head").isNull(), *order).mapInArrow(run, schema)
 
 
 def _heads(weights, states):

@@ -94,6 +94,11 @@ def irq_threshold(num_cpus: int, floor: float = 70.0) -> float:
     return max(floor, 100.0 / num_cpus + 45.0)
 
 
+def irq_threshold_of(num_cpus: Column, floor: float = 70.0) -> Column:
+    """The same threshold for a number of CPUs that differs from node to node."""
+    return F.greatest(F.lit(floor), 100.0 / num_cpus + 45.0)
+
+
 def quality_weight(quality: Column) -> Column:
     out = F.lit(0.0)
     for name, weight in QUALITY_WEIGHTS.items():

@@ -118,9 +118,9 @@ def order() -> tuple[str, ...]:
     return (*ORDER, *REGISTERED)
 
 
-def consulted(spark) -> DataFrame:
-    """(rule, capabilities) of every rule."""
-    return spark.createDataFrame([(r, list(CONSULTS.get(r, REGISTERED.get(r, ())))) for r in order()], "rule string, capabilities array<string>")
+def capabilities() -> dict[str, tuple[str, ...]]:
+    """The capabilities that each rule consults."""
+    return {r: CONSULTS.get(r, REGISTERED.get(r, ())) for r in order()}
 
 
 def with_rules(windows: DataFrame, t: Thresholds, trend: bool = True) -> DataFrame:

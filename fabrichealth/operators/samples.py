@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fabrichealth.functions import exprs as X
-from fabrichealth.schemas import CAPABILITY_WEIGHTS
+from fabrichealth.schemas import CAPABILITY_WEIGHTS, QUALITY_WEIGHTS
 
 c, lit = F.col, F.lit
 
@@ -192,6 +192,13 @@ def inventory_predicates() -> dict[tuple[str, str], Column]:
     }
 
 
+#: Why a backend is not available on a node, by backend; those that are not named have no collector.
+REASONS = {
+    "sysfs_port_counters": "no port counters", "mad_retx_proxy": "no InfiniBand port with physical-error counters", "ethtool_retx": "no retry counter",
+    "pfc_inference": "no pause frames on this fabric", "active_prober": "no peer probes",
+}
+
+
 def probe(inventory: DataFrame) -> DataFrame:
     """Every backend of every node with its availability and reason."""
     known = inventory_predicates() | {at: available for at, (_, available) in REGISTERED.items()}
@@ -201,7 +208,10 @@ def probe(inventory: DataFrame) -> DataFrame:
         for i, (cap, name, quality) in enumerate(declared)
     ]
     out = inventory.select("node_id", F.inline(F.array(*rows)))
-    return out.withColumn("reason", F.when(c("available"), lit("ok")).otherwise(lit("not available on this fabric")))
+    missing = lit("no collector attached")
+    for name, reason in REASONS.items():
+        missing = F.when(c("backend") == name, reason).otherwise(missing)
+    return out.withColumn("reason", F.when(c("available"), lit("ok")).otherwise(missing))
 
 
 def quality_code(quality: Column) -> Column:
@@ -233,12 +243,27 @@ def grade(covered: DataFrame) -> DataFrame:
     return covered.groupBy("node_id").agg(F.when(least == 3, "A").when(least >= 2, "B").when(most > 0, "C").otherwise("F").alias("grade"))
 
 
-def rule_weights(covered: DataFrame, rules: DataFrame) -> DataFrame:
-    """(node_id, rule, weight): the best coverage weight among a rule's capabilities; a rule without any has 1."""
-    asked = rules.select("rule", F.explode_outer("capabilities").alias("capability"))
-    joined = covered.select("node_id").distinct().crossJoin(F.broadcast(asked)).join(covered.select("node_id", "capability", "quality"), ["node_id", "capability"], "left")
-    weight = F.when(c("capability").isNull(), 1.0).otherwise(X.quality_weight(F.coalesce("quality", lit("Absent"))))
-    return joined.groupBy("node_id", "rule").agg(F.max(weight).alias("weight"))
+def _weighed(rows: DataFrame, capabilities: dict[str, tuple[str, ...]], best) -> DataFrame:
+    """(node_id, rule, weight): the largest of ``best(capability)`` over a rule's capabilities; a rule without any has 1."""
+    weight = lambda asked: F.greatest(lit(0.0), *[best(x) for x in asked]) if asked else lit(1.0)
+    return rows.select("node_id", F.inline(F.array(*[F.struct(lit(rule).alias("rule"), weight(asked).alias("weight")) for rule, asked in capabilities.items()])))
+
+
+def rule_weights(covered: DataFrame, capabilities: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(node_id, rule, weight): the best coverage weight among a rule's capabilities, from a coverage table."""
+    quality = F.struct("capability", X.quality_weight(F.coalesce("quality", lit("Absent"))).alias("weight"))
+    own = covered.groupBy("node_id").agg(F.map_from_entries(F.collect_set(quality)).alias("_w"))
+    return _weighed(own, capabilities, lambda x: F.coalesce(F.try_element_at(c("_w"), lit(x)), lit(0.0)))
+
+
+def inventory_weights(inventory: DataFrame, capabilities: dict[str, tuple[str, ...]]) -> DataFrame:
+    """The same weights straight from the inventory, a row per node, with nothing shuffled: a capability's backend is its
+    best available one, so its weight is the largest of those that are available."""
+    known = inventory_predicates() | {at: available for at, (_, available) in REGISTERED.items()}
+    declared = [b[:3] for b in BACKENDS] + [(*at, quality) for at, (quality, _) in REGISTERED.items()]
+    one = lambda cap, name, quality: F.when(F.coalesce(known[cap, name], lit(False)), QUALITY_WEIGHTS[quality]).otherwise(0.0)
+    best = lambda x: F.greatest(lit(0.0), lit(0.0), *[one(*d) for d in declared if d[0] == x and d[:2] in known])
+    return _weighed(inventory, capabilities, best)
 
 
 def severity_floor(severity: Column, weight: Column, degrade: float = 0.30, critical: float = 0.55) -> Column:

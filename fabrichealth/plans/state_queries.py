@@ -389,7 +389,8 @@ def covered(spark, sf_dir):
     return samples.coverage(samples.probe(inventory(spark, sf_dir)))
 
 
-query("cov_1_probe", INV + " select node_id, capability, backend, available from pr", "")(lambda spark, sf_dir: samples.probe(inventory(spark, sf_dir)).select("node_id", "capability", "backend", "available"))
+_why = "case when available then 'ok' else case backend " + " ".join(f"when '{b}' then '{r}'" for b, r in samples.REASONS.items()) + " else 'no collector attached' end end"
+query("cov_1_probe", INV + f" select node_id, capability, backend, available, {_why} as reason from pr", "")(lambda spark, sf_dir: samples.probe(inventory(spark, sf_dir)).select("node_id", "capability", "backend", "available", "reason"))
 query("cov_2_best_backend", INV + " select node_id, capability, backend, quality from wn", "")(lambda spark, sf_dir: samples.winners(samples.probe(inventory(spark, sf_dir))).select("node_id", "capability", "backend", "quality"))
 query("cov_3_coverage", INV + ", " + CAPS + " select node_id, capability, backend, quality, chain from cv", "")(covered)
 query("cov_4_grade", INV + ", " + CAPS + " select node_id, case when min(code) = 3 then 'A' when min(code) >= 2 then 'B' when max(code) > 0 then 'C' else 'F' end as grade from cv where capability in ('LinkErrors', 'Throughput', 'CompletionLatency', 'RetransmitSignal') group by all", "")(lambda spark, sf_dir: samples.grade(covered(spark, sf_dir)))
@@ -408,8 +409,13 @@ WEIGHTS = INV + ", " + CAPS + ", rc as (select * from (values " + ", ".join(f"('
 
 
 @query("join_2_rule_weights", WEIGHTS + " select * from wt", "")
+def coverage_weights(spark, sf_dir):
+    return samples.rule_weights(covered(spark, sf_dir), rules.capabilities())
+
+
 def rule_weights(spark, sf_dir):
-    return samples.rule_weights(covered(spark, sf_dir), rules.consulted(spark))
+    """The same weights by node from the inventory alone."""
+    return samples.inventory_weights(inventory(spark, sf_dir), rules.capabilities())
 
 
 @query("join_6_fabric_overlay", "select cast(s_suppkey as bigint) as node_id, case when s_nationkey % 3 = 0 then 0.25 else 0.30 end::double as degrade_enter, case when s_nationkey % 3 = 1 then 3 else 2 end as enter_windows from supplier", "")

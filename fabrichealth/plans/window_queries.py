@@ -220,7 +220,7 @@ query("flt_2_sample_guards", "select node_id, window_seq, irq_total >= 2 as irq,
 query("flt_3_cpu_range", "select node_id, window_seq, irq_total, irq0 + irq1 as in_range from wi")(lambda spark, sf_dir: windows.health_windows(events(spark, sf_dir), num_cpus=2).select(*K, "irq_total", (c("irq_per_cpu")[0] + c("irq_per_cpu")[1]).alias("in_range")))
 query("flt_8_label_matcher", "select event_id, kind from ev where regexp_full_match(kind, 'Irq.*|.*Poll') and port = 1", "ev")(lambda spark, sf_dir: events(spark, sf_dir).filter(c("kind").rlike("^(?:Irq.*|.*Poll)$") & (c("port") == 1)).select("event_id", "kind"))
 query("prj_1_names", "select event_id, case counter " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(COUNTER_KINDS)) + " end as counter_kind from ev", "ev")(lambda spark, sf_dir: events(spark, sf_dir).select("event_id", counter_kind(c("counter")).alias("counter_kind")))
-query("sca_1_saturating", "select node_id, window_seq, greatest(completions - irq_total, 0) as rest from wi")(lambda spark, sf_dir: wins(spark, sf_dir).select(*K, F.greatest(c("completions") - c("irq_total"), F.lit(0)).alias("rest")))
+query("sca_1_saturating", "select node_id, window_seq, greatest(completions - irq_total, 0) as rest from wi")(lambda spark, sf_dir: wins(spark, sf_dir).select(*K, windows.saturating_delta(c("completions"), c("irq_total")).alias("rest")))
 query("sca_2_averages", f"select node_id, window_seq, {SLABAVG} as slab_avg, case when completions > 0 then completion_latency_total // completions else 0 end as rdma_avg, round(case when cq_completions > 0 then cq_latency_total / cq_completions else 0 end, 6) as cq_avg from wi")(
     lambda spark, sf_dir: wins(spark, sf_dir).select(*K, X.whole_average("slab_latency_total", "slab_allocs").alias("slab_avg"), X.whole_average("completion_latency_total", "completions").alias("rdma_avg"), r6(X.average("cq_latency_total", "cq_completions")).alias("cq_avg"))
 )
@@ -232,11 +232,11 @@ one("sca_7_dominant_pct", lambda: r6(X.dominant_cpu_pct()), f"round({DOMINANT},
 one("sca_8_dominant_cpu", lambda: X.dominant_cpu().cast("long"), "cast(case when irq3 = greatest(irq0, irq1, irq2, irq3) then 3 when irq2 = greatest(irq0, irq1, irq2, irq3) then 2 when irq1 = greatest(irq0, irq1, irq2, irq3) then 1 else 0 end as bigint)", "cpu")
 one("sca_9_imbalance", lambda: r6(X.irq_imbalance_pct(4)), f"round(least(greatest(({DOMINANT} - 25) / 75 * 100, 0), 100), 6)", "pct")
 one("sca_10_napi", lambda: r6(X.napi_utilisation()), "round(case when napi_budget > 0 then napi_work / napi_budget * 100 else 0 end, 6)", "pct")
-query("sca_11_irq_threshold", "select n, greatest(70.0, 100.0 / n + 45.0) as threshold from (select distinct cast(port + cpu as integer) as n from ev)", "ev")(lambda spark, sf_dir: events(spark, sf_dir).select((c("port") + c("cpu")).alias("n")).distinct().select("n", F.greatest(F.lit(70.0), 100.0 / c("n") + 45.0).alias("threshold")))
+query("sca_11_irq_threshold", "select n, greatest(70.0, 100.0 / n + 45.0) as threshold from (select distinct cast(port + cpu as integer) as n from ev)", "ev")(lambda spark, sf_dir: events(spark, sf_dir).select((c("port") + c("cpu")).alias("n")).distinct().select("n", X.irq_threshold_of(c("n")).alias("threshold")))
 one("sca_12_math", lambda: r6(F.tanh(F.log(1 + c("completion_latency_total")) / 20) + F.sqrt(c("napi_work")) + F.pow(c("irq_total"), 2)), "round(tanh(ln(1 + completion_latency_total) / 20) + sqrt(napi_work) + pow(irq_total, 2), 6)", "x")
 one("sca_13_quality_weight", lambda: r6(X.effective_weight(F.when(c("irq_total") > 2, "High").when(c("irq_total") > 1, "Medium").when(c("irq_total") > 0, "Low").otherwise("Absent"), c("completions") / 3)), "round(case when irq_total > 2 then 1.0 when irq_total > 1 then 0.7 when irq_total > 0 then 0.4 else 0.0 end * least(greatest(completions / 3, 0), 1), 6)", "weight")
 one("sca_16_error_summary", X.error_summary, "concat_ws(', ', " + ", ".join(f"case when {n} > 0 then '{s}+' || cast({n} as bigint) end" for s, n in X.ERROR_PARTS) + ")", "summary")
-one("sca_26_fragmentation", lambda: r6(F.when(c("slab_bytes_alloc") > 0, (1 - c("slab_bytes_req") / c("slab_bytes_alloc")) * 100).otherwise(0.0)), "round(case when slab_bytes_alloc > 0 then (1 - slab_bytes_req / slab_bytes_alloc) * 100 else 0 end, 6)", "pct")
+one("sca_26_fragmentation", lambda: r6(landed.fragmentation_pct("slab_bytes_req", "slab_bytes_alloc")), "round(case when slab_bytes_alloc > 0 then (1 - slab_bytes_req / slab_bytes_alloc) * 100 else 0 end, 6)", "pct")
 _cpu = "(case when irq3 = greatest(irq0, irq1, irq2, irq3) then 3 when irq2 = greatest(irq0, irq1, irq2, irq3) then 2 when irq1 = greatest(irq0, irq1, irq2, irq3) then 1 else 0 end)"
 _mean = "(completion_latency_total // completions)"
 _told = {

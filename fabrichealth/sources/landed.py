@@ -34,7 +34,7 @@ def parse_scenarios(text: DataFrame) -> DataFrame:
 def _parsed(text: DataFrame) -> DataFrame:
     event = SCENARIO_SCHEMA.split("events array<", 1)[1].split(">>>>, ", 1)[0] + ">>>"
     bare = F.startswith("value", F.lit("["))
-    parsed = text.withColumn("value", _refuse(F.length("value") > MAX_BYTES, c("value"), "bytes")).select(
+    parsed = text.withColumn("value", _refuse(F.octet_length("value") > MAX_BYTES, c("value"), "bytes")).select(
         "file",
         F.when(~bare, F.from_json("value", SCENARIO_SCHEMA)).alias("s"),
         F.when(bare, F.from_json("value", f"array<{event}>")).alias("e"),
@@ -81,8 +81,8 @@ def slabinfo(snapshots: DataFrame) -> DataFrame:
     return rows.groupBy("node_id", "snapshot").agg(total(1).alias("active_objects"), total(2).alias("objects"), total(13).alias("active_slabs"))
 
 
-def fragmentation_pct() -> Column:
-    return F.when(c("objects") > 0, (1 - c("active_objects") / c("objects")) * 100).otherwise(F.lit(0.0))
+def fragmentation_pct(active: str = "active_objects", whole: str = "objects") -> Column:
+    return F.when(c(whole) > 0, (1 - c(active) / c(whole)) * 100).otherwise(F.lit(0.0))
 
 
 def softnet(snapshots: DataFrame) -> DataFrame:

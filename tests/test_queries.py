@@ -83,7 +83,7 @@ def test_registered_rules_and_providers_take_part(spark, sf_dir):
         assert all("always:CRITICAL" in r.alerts and r.severity == "CRITICAL" for r in rows)
         none = spark.createDataFrame([(n, r, 0.0) for n in range(8) for r in rules.order()], "node_id long, rule string, weight double")
         assert min(r.raw for r in folds.verdicts(given, SCALED, none).collect()) < 0.1 < min(r.raw for r in rows)
-        assert rules.consulted(spark).filter("rule = 'always'").first().capabilities == ["Throughput"]
+        assert rules.capabilities()["always"] == ("Throughput",)
     finally:
         rules.unregister("always")
     assert "always" not in rules.order()
@@ -94,12 +94,17 @@ def test_registered_rules_and_providers_take_part(spark, sf_dir):
     try:
         best = {r.node_id: (r.backend, r.quality) for r in samples.coverage(samples.probe(inventory)).filter("capability = 'PfcPause'").collect()}
         assert best == {1: ("own_pause", "High"), 2: ("pfc_inference", "Low")}
+        told = rules.capabilities()
+        plain = sorted(map(tuple, samples.rule_weights(samples.coverage(samples.probe(inventory)), told).collect()))
+        assert plain == sorted(map(tuple, samples.inventory_weights(inventory, told).collect()))
+        assert {w for n, r, w in plain if r == "congestion_spread"} == {1.0, 0.4}
         assert samples.all_samples(windows, (("PfcPause", "own_pause"),)).filter("value = 200").count() == windows.count()
     finally:
         samples.unregister("PfcPause", "own_pause")
 
 
 def test_scenario_files(spark, tmp_path):
+    # fixed values: the field names of scenario files
     (tmp_path / "a.json").write_text('{"name": "s", "description": "", "events": [{"IrqEntry": {"timestamp_ns": 1, "cpu": 2, "irq": 3, "handler_name_hash": 18446744073709551615}}, {"HardwareCounter": {"timestamp_ns": 2, "port_num": 1, "counter": {"LinkDowned": 4}}}], "expected_states": [{"after_event_index": 1, "expected_state": "Healthy"}]}')
     (tmp_path / "b.json").write_text('[{"SlabFree": {"timestamp_ns": 5, "cpu": 0, "bytes_freed": 9}}]')
     (tmp_path / "c.json").write_text("not json")

@@ -122,14 +122,14 @@ ac as materialized (select *, {EVALUATION} * w + wait - {EVALUATION} * before <=
 nt as (select ac.*, cast(null as bigint) as sent from ac where w = w0 union all
   select ac.*, case when not nt.active then null when nt.sent is null or {EVALUATION} * (nt.w - nt.sent) >= {REPEAT} then nt.w else nt.sent end
   from nt join ac on ac.node_id = nt.node_id and ac.alertname = nt.alertname and ac.severity = nt.severity and ac.w = case when nt.active then nt.w + {alerting.INTERVAL // EVALUATION} else nt.nxt end),
-out as (select node_id, alertname, severity, ({EVALUATION} * w + wait) * 1000000 as at_us, case when active and (sent is null or {EVALUATION} * (w - sent) >= {REPEAT}) then 'firing' when not active and sent is not null then 'resolved' end as kind from nt)
-select node_id, alertname, severity, at_us, kind from out, hz where kind is not null and at_us <= ({EVALUATION} * last + 120) * 1000000"""
+out as (select node_id, alertname, severity, {EPOCH_US} + ({EVALUATION} * w + wait) * 1000000 as at_us, case when active and (sent is null or {EVALUATION} * (w - sent) >= {REPEAT}) then 'firing' when not active and sent is not null then 'resolved' end as kind from nt)
+select node_id, alertname, severity, at_us, kind from out, hz where kind is not null and at_us <= {EPOCH_US} + ({EVALUATION} * last + 120) * 1000000"""
 
 
 def firing(spark, sf_dir):
     """Alerts by the time of their evaluation, and the time up to which notifications are told."""
     last = events(spark, sf_dir).agg(F.coalesce(F.max("window_seq"), lit(0))).first()[0]
-    return alerts(spark, sf_dir).select(*alerting.GROUP, (c("window_seq") * EVALUATION * 1_000_000).alias("event_us")).distinct(), (EVALUATION * last + 120) * 1_000_000
+    return alerts(spark, sf_dir).select(*alerting.GROUP, (EPOCH_US + c("window_seq") * EVALUATION * 1_000_000).alias("event_us")).distinct(), EPOCH_US + (EVALUATION * last + 120) * 1_000_000
 
 
 @state_query("alr_3_grouping", _alr() + _groups)

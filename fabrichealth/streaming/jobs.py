@@ -1,6 +1,6 @@
 """Structured Streaming jobs: ordered replay, windowed aggregation, and the operators of ``stateful`` as streams.
 
-Streams run in event time. ``end_of_data`` appends a marker that moves the watermark past the last row, so that a stream
+Streams run in event time, which starts after 1970: Spark's first watermark is that moment. ``end_of_data`` appends a marker that moves the watermark past the last row, so that a stream
 which ends also closes its last windows; what comes later than the watermark is dropped and counted (``late_rows``).
 State lives in RocksDB and in the checkpoint folder, so a restart continues where the last batch ended.
 """

@@ -137,7 +137,7 @@ def test_streams_equal_batch_joins_and_notifications(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, batch.select("node_id", "event_id", "matched_id").collect()))
     assert 20 < sum(r.matched_id is not None for r in got) < len(got) - 20
 
-    alerts = spark.createDataFrame([(n, "A", s, t * 15_000_000) for n in (1, 2) for s in ("DEGRADED", "CRITICAL") for t in range(60) if rnd.random() < 0.25 * n], "node_id long, alertname string, severity string, event_us long").withColumn("event_time", F.timestamp_micros("event_us"))
+    alerts = spark.createDataFrame([(n, "A", s, (t + 1) * 15_000_000) for n in (1, 2) for s in ("DEGRADED", "CRITICAL") for t in range(58) if rnd.random() < 0.25 * n], "node_id long, alertname string, severity string, event_us long").withColumn("event_time", F.timestamp_micros("event_us"))
     source, until = str(tmp_path / "alerts"), 1_100_000_000
     for k in range(2):
         alerts.filter(F.floor(F.col("event_us") / 450_000_000) == k).coalesce(1).write.mode("append").parquet(source)

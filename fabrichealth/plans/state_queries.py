@@ -500,7 +500,10 @@ def _(spark, sf_dir):
     return kept.load()
 
 
-@query("act_3_enriched_alerts")
+_radius = ", o as (select distinct node_id, qp as pid from ev), p as (select c_custkey % 8 as node_id, c_custkey as pid, c_mktsegment as comm, cast(c_custkey % 5 as varchar) as job from customer), br as (select node_id, 'jobs ' || string_agg(distinct job, ',' order by job) || '; processes ' || string_agg(distinct comm, ',' order by comm) as summary from o join p using (node_id, pid) group by all)"
+
+
+@state_query("act_3_enriched_alerts", _alr() + _radius + " select al.node_id, window_seq, alertname, alertname || coalesce(' | Affected: ' || summary, '') as message from al left join br using (node_id)")
 def _(spark, sf_dir):
     owners = events(spark, sf_dir).select("node_id", c("qp").alias("pid"))
     radius = joins.blast_radius(owners, _procs(spark, sf_dir)).select("node_id", "summary")

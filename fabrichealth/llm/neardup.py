@@ -252,8 +252,11 @@ def small_nodes(rows: DataFrame, join: Join) -> DataFrame:
     return rows.select("node", "id", "sig").repartition("node").sortWithinPartitions("node").mapInArrow(runs, "a long, b long")
 
 
-def pivot_links(rows: DataFrame, join: Join) -> DataFrame:
-    """Candidate links of large nodes' documents to the node's first one; ``rows`` has node, id, sig and low."""
+def pivot_links(rows: DataFrame, reps: DataFrame, join: Join) -> DataFrame:
+    """Candidate links of large nodes' documents to the node's first one; ``rows`` has id and low.
+
+    Near copies meet the same first document in many nodes: each such pair is compared once.
+    """
     least = _least(join)
 
     def compare(batches):
@@ -265,8 +268,9 @@ def pivot_links(rows: DataFrame, join: Join) -> DataFrame:
             close = (sigs == first).mean(axis=1) >= least if batch.num_rows else np.empty(0, bool)
             yield batch.select(["id", "low"]).rename_columns(["a", "b"]).filter(pa.array(close))
 
-    first = rows.filter("id = low").select("node", F.col("sig").alias("first"))
-    return rows.join(first, "node").select("id", "low", "sig", "first").mapInArrow(compare, "a long, b long")
+    pairs = rows.select("id", "low").filter("id <> low").distinct()
+    first = reps.select(F.col("id").alias("low"), F.col("sig").alias("first"))
+    return pairs.join(reps, "id").join(first, "low").select("id", "low", "sig", "first").mapInArrow(compare, "a long, b long")
 
 
 def candidate_clusters(reps: DataFrame, join: Join) -> DataFrame:
@@ -274,20 +278,20 @@ def candidate_clusters(reps: DataFrame, join: Join) -> DataFrame:
 
     def live(nodes: DataFrame) -> DataFrame:
         sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.min("group").alias("g"), F.max("group").alias("h"))
-        return settle(nodes.join(sizes.filter("g < h").select("node", "n", "low"), "node").join(reps, "id"), "live")
+        return settle(nodes.join(sizes.filter("g < h").select("node", "n", "low"), "node"), "live")
 
     small, large = F.col("n") <= join.small_node, F.col("n") > join.small_node
     rows = live(settle(branch(reps, join, join.depth, True), "nodes").withColumn("group", F.col("id")))
-    clusters = settle(components(small_nodes(rows.filter(small), join).unionByName(pivot_links(rows.filter(large), join))), "clusters")
+    clusters = settle(components(small_nodes(rows.filter(small).join(reps, "id"), join).unionByName(pivot_links(rows.filter(large), reps, join))), "clusters")
     groups = clusters.withColumnRenamed("component", "of")
     # within a cluster all is compared anyway, so only nodes of several clusters go on
-    rows = rows.filter(large).join(groups, "id", "left").select("id", "sig", "node", F.coalesce("of", "id").alias("group"))
+    rows = rows.filter(large).join(groups, "id", "left").select("id", "node", F.coalesce("of", "id").alias("group"))
     more = []
     for depth in range(join.depth, join.max_depth):
         if rows.isEmpty():
             break
-        rows = live(settle(branch(rows, join, 1, False), "nodes"))
-        more.append(small_nodes(rows.filter(small), join))
+        rows = live(settle(branch(rows.join(reps, "id"), join, 1, False), "nodes"))
+        more.append(small_nodes(rows.filter(small).join(reps, "id"), join))
         rows = rows.filter(large)
         if depth + 1 == join.max_depth:
             more.append(rows.select(F.col("id").alias("a"), F.col("low").alias("b")))

@@ -542,3 +542,11 @@ def test_url_models_keep_the_counts_of_rare_tokens(spark):
     for share in (5, 200_000):
         found = urls.verdicts(pages, words, share=share).collect()
         assert sorted(((r.page_id, r.host, r.path, r.tokens, round(r.log_odds, 6)) for r in found), key=order) == want
+
+
+def test_pairs_with_a_first_document_are_compared_once(spark):
+    """Near copies that meet their node's first document in many nodes are one candidate link each."""
+    join = neardup.Join()
+    reps = spark.createDataFrame([(k, bytes(4 * join.minwise)) for k in range(1, 31)], "id long, sig binary")
+    rows = spark.createDataFrame([(node, k, 1) for node in range(40) for k in range(1, 31)], "node long, id long, low long")
+    assert sorted(map(tuple, neardup.pivot_links(rows, reps, join).collect())) == [(k, 1) for k in range(2, 31)]

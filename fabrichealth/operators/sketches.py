@@ -133,6 +133,26 @@ def space_saving(rows: DataFrame, keys: list[str], item: str, weight: Column, to
     return summary.withColumn("rank", rank).filter(F.col("rank") <= top).select(*keys, item, F.col("count").alias("weight"), "error", "rank")
 
 
+def verified_hitters(rows: DataFrame, keys: list[str], item: str, weight: Column, top: int = 8, capacity: int = CAPACITY) -> DataFrame:
+    """The ``top`` items of each key by exact weight: (keys, item, weight, error, rank), error 0; of equals the smaller item.
+
+    The summaries name the candidates, whose weights a second pass sums: items whose counter reaches the ``top``-th
+    certain weight. Where an item without a counter may reach it too, all items of the key are summed.
+    """
+    own = W.partitionBy(*keys)
+    certain = F.row_number().over(own.orderBy(F.desc(F.col("count") - F.col("error"))))
+    bounded = merged(summaries(rows, keys, item, weight, capacity), keys, item, capacity).withColumn("_certain", certain)
+    bounded = bounded.withColumn("_bar", F.coalesce(F.max(F.when(F.col("_certain") == top, F.col("count") - F.col("error"))).over(own), F.lit(0)))
+    reached = F.collect_list(F.when(F.col("count") >= F.col("_bar"), F.col(item))).alias("_items")
+    open_ = ((F.count("*") >= capacity) & F.max(F.col("least") >= F.col("_bar"))).alias("_open")
+    named = bounded.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(reached, open_)
+    asked = rows.select(*keys, item, weight.cast("long").alias("_w")).filter(F.col(item).isNotNull() & F.col("_w").isNotNull())
+    same = [asked[k].eqNullSafe(named[f"_{k}"]) for k in keys]
+    found = asked.join(named, same).filter(F.col("_open") | F.array_contains("_items", F.col(item)))
+    exact = heavy_hitters(found, keys, item, F.col("_w"), top)
+    return exact.select(*keys, item, "weight", F.lit(0).cast("long").alias("error"), "rank")
+
+
 def recent(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     """The last ``n`` rows of each key."""
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= n)

@@ -326,8 +326,8 @@ def heavy(spark, sf_dir):
 
 query("top_1_heavy_hitters", f", {_heavy} select node_id, window_seq, qp, weight, rank from r where rank <= 8", "ev")(lambda spark, sf_dir: heavy(spark, sf_dir).select(*K, "qp", "weight", c("rank").cast("long").alias("rank")))
 query("smp_10_qp_attribution", f", {_heavy} select node_id, window_seq, cast(qp as varchar) as label, cast(weight as double) as value from r where rank <= 8", "ev")(lambda spark, sf_dir: samples.qp_attribution(heavy(spark, sf_dir)).select(*K, "label", "value"))
-query("top_1_space_saving", f", {_heavy} select node_id, window_seq, qp, weight, cast(0 as bigint) as error, rank from r where rank <= 8", "ev")(  # no window has more queue pairs than counters, so nothing is unsure
-    lambda spark, sf_dir: sketches.space_saving(events(spark, sf_dir).filter("kind = 'CqCompletion'"), K, "qp", c("latency_ns")).withColumn("rank", c("rank").cast("long"))
+query("top_1_space_saving", f", {_heavy} select node_id, window_seq, qp, weight, cast(0 as bigint) as error, rank from r where rank <= 8", "ev")(  # a window may have more queue pairs than counters
+    lambda spark, sf_dir: sketches.verified_hitters(events(spark, sf_dir).filter("kind = 'CqCompletion'"), K, "qp", c("latency_ns")).withColumn("rank", c("rank").cast("long"))
 )
 query("top_1_lineitem", "with h as (select l_suppkey % 64 as node_id, cast(date_diff('day', date '1970-01-01', cast(l_shipdate as date)) as bigint) as window_seq, l_partkey % 97 as qp, cast(sum(cast(round(l_extendedprice * 100) as bigint)) as bigint) as weight from lineitem group by all), r as (select *, row_number() over (partition by node_id, window_seq order by weight desc, qp) as rank from h) select node_id, window_seq, qp, weight from r where rank <= 3", "")(
     lambda spark, sf_dir: sketches.heavy_hitters(completions(spark, sf_dir), K, "qp", c("latency_ns"), 3).select(*K, "qp", "weight")

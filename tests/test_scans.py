@@ -93,3 +93,16 @@ def test_summaries_merge_in_any_order(spark, monkeypatch):
     few = df.filter("qp < 40")
     small = sketches.space_saving(few, ["node_id"], "qp", F.col("w"), top=100).collect()
     assert {(r.node_id, r.qp): r.weight for r in small} == {k: w for k, w in exact.items() if k[1] < 40} and all(r.error == 0 for r in small)
+
+
+def test_verified_hitters_are_exact_with_more_items_than_counters(spark):
+    rnd = random.Random(8)
+    rows = [(0, rnd.randrange(97), rnd.randrange(1, 50)) for _ in range(3000)]  # near equals: no counter tells them apart
+    rows += [(1, min(int(rnd.expovariate(0.08)), 96), 100) for _ in range(3000)] + [(None, 5, 3), (2, 7, 0), (2, 3, 0)] + [(3, 99 - k, 0) for k in range(97)]
+    df = spark.createDataFrame(rows, "node_id long, qp long, w long").repartition(3)
+    want = {}
+    for node, qp, w in rows:
+        want.setdefault(node, {}).setdefault(qp, 0)
+        want[node][qp] += w
+    top = sorted(((n, q, w, 0, k) for n, own in want.items() for k, (q, w) in enumerate(sorted(own.items(), key=lambda x: (-x[1], x[0]))[:8], 1)), key=str)
+    assert sorted(map(tuple, sketches.verified_hitters(df, ["node_id"], "qp", F.col("w")).collect()), key=str) == top

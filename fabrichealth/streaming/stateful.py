@@ -8,6 +8,7 @@ markers of time (see ``jobs.end_of_data``): they move the watermark and are drop
 
 from __future__ import annotations
 
+import heapq
 import json
 
 from pyspark.sql import Row
@@ -23,37 +24,82 @@ def empty_window(node_id: int, window_seq: int) -> dict:
     return {**zero, "node_id": node_id, "window_seq": window_seq, "score": 0.0, "has_link_signal": False, "has_traffic": False, "throughput": 1, "estimated_p99": 0.0, "fusion": 0.0}
 
 
+#: Rows of a chunk of waiting rows, and rows that are sorted at a time before they are cut into chunks.
+CHUNK, SORTED = 4096, 65_536
+
+
 class Timed(StatefulProcessor):
-    """Keeps the rows of a key by event time; ``due`` gets them in order once the watermark has passed them."""
+    """Keeps the rows of a key by event time; ``due`` gets them in order once the watermark has passed them.
+
+    Waiting rows are kept in chunks sorted by time, each under its first and last time, so the state is asked once a
+    chunk and not once a row. Chunks are merged as their times come up: only those that overlap are open at once.
+    """
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long", "rows string")
+        self.waiting = handle.getMapState("waiting", "low long, high long, no long", "names string, rows string")
+
+    def _keep(self, names: list[str], rows: list[list]) -> None:
+        """Rows with their time first, in order of time, as one more chunk."""
+        low, high, no = rows[0][0], rows[-1][0], 0
+        while self.waiting.containsKey((low, high, no)):
+            no += 1
+        self.waiting.updateValue((low, high, no), (json.dumps(names), json.dumps(rows)))
+
+    def _spill(self, names: list[str], rows: list[list]) -> None:
+        rows.sort(key=lambda r: r[0])
+        for at in range(0, len(rows), CHUNK):
+            self._keep(names, rows[at : at + CHUNK])
 
     def handleInputRows(self, key, rows, timerValues):
         if key[0] is None:
             return
-        found: dict[int, list] = {}
+        names, held, first = None, [], None
         for row in rows:
-            values = row.asDict()
-            values.pop("event_time")
-            found.setdefault(values.pop("event_us"), []).append(values)
-        for at, own in found.items():
-            before = self.waiting.getValue((at,))
-            self.waiting.updateValue((at,), (json.dumps([*(json.loads(before[0]) if before else []), *own]),))
-        self.handle.registerTimer(-(-min(found) // 1000))
+            if names is None:
+                names = [n for n in row.__fields__ if n not in ("event_time", "event_us")]
+                places = [row.__fields__.index(n) for n in ("event_us", *names)]
+            held.append([row[k] for k in places])
+            if first is None or held[-1][0] < first:
+                first = held[-1][0]
+            if len(held) >= SORTED:
+                self._spill(names, held)
+                held = []
+        if held:
+            self._spill(names, held)
+        if first is not None:
+            self.handle.registerTimer(-(-first // 1000))
         yield from ()
 
-    def passed(self, watermark_ms: int) -> list[tuple[int, list[dict]]]:
-        """Takes what is not later than the watermark, in order of time, and has the rest wait for it."""
-        held = sorted(k[0] for k in self.waiting.keys())
-        ready = [at for at in held if at <= watermark_ms * 1000]
-        out = [(at, json.loads(self.waiting.getValue((at,))[0])) for at in ready]
-        for at in ready:
-            self.waiting.removeKey((at,))
-        if len(ready) < len(held):
-            self.handle.registerTimer(-(-held[len(ready)] // 1000))
-        return out
+    def passed(self, watermark_ms: int):
+        """Takes what is not later than the watermark, in order of time, as (time, rows), and has the rest wait for it."""
+        limit, heap, nexts = watermark_ms * 1000, [], []
+        chunks = sorted(tuple(k) for k in self.waiting.keys())
+        ready = [k for k in chunks if k[0] <= limit]
+        nexts += [k[0] for k in chunks[len(ready) : len(ready) + 1]]
+        opened = 0
+        while heap or opened < len(ready):
+            while opened < len(ready) and (not heap or ready[opened][0] <= heap[0][0]):
+                names, rows = map(json.loads, self.waiting.getValue(ready[opened]))
+                self.waiting.removeKey(ready[opened])
+                heapq.heappush(heap, (rows[0][0], opened, 0, names, rows))
+                opened += 1
+            at, own = heap[0][0], []
+            if at > limit:
+                break
+            while heap and heap[0][0] == at:
+                _, chunk, k, names, rows = heapq.heappop(heap)
+                while k < len(rows) and rows[k][0] == at:
+                    own.append(dict(zip(names, rows[k][1:])))
+                    k += 1
+                if k < len(rows):
+                    heapq.heappush(heap, (rows[k][0], chunk, k, names, rows))
+            yield at, own
+        for at, _, k, names, rows in heap:
+            self._keep(names, rows[k:])
+            nexts.append(at)
+        if nexts:
+            self.handle.registerTimer(-(-min(nexts) // 1000))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         yield from self.due(key, timerValues.getCurrentWatermarkInMs())

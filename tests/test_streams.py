@@ -3,6 +3,7 @@
 import collections
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from fabrichealth.config import SCALED
@@ -11,7 +12,7 @@ from fabrichealth.plans import base
 from fabrichealth.plans.state_queries import rule_weights
 from fabrichealth.plans.stream_queries import window_end
 from fabrichealth.sources.adapter import EPOCH_US, WINDOW_US
-from fabrichealth.streaming import jobs
+from fabrichealth.streaming import jobs, stateful
 
 
 def run(stream, out, checkpoint, **kw):
@@ -146,3 +147,50 @@ def test_streams_equal_batch_joins_and_notifications(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "told/*")).select(*alerting.GROUP, "at_us", "kind").collect()
     want = alerting.notifications(alerts, until, repeat=120).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {r.kind for r in want} == {"firing", "resolved"}
+
+
+class FakeState(dict):
+    """A map state and the handle that gives it, with its calls counted."""
+
+    calls = 0
+
+    def getMapState(self, *_):  # noqa: N802
+        return self
+
+    def registerTimer(self, at_ms):  # noqa: N802
+        self.timer = at_ms
+
+    def containsKey(self, key):  # noqa: N802
+        self.calls += 1
+        return key in self
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.calls += 1
+        del self[key]
+
+
+def test_waiting_rows_are_kept_in_chunks_and_come_in_order():
+    rnd, state = random.Random(4), FakeState()
+    rows = [Row(node_id=1, event_us=rnd.randrange(40_000_000), event_time=None, event_id=k) for k in range(30_000)]
+    timed = stateful.Timed()
+    timed.init(state)
+    for part in (rows[:14_000], rows[14_000:14_001], rows[14_001:]):  # batches that overlap in time
+        list(timed.handleInputRows((1,), iter(part), None))
+    got = []
+    for watermark_ms in (0, 11_111, 11_111, 30_000, 40_000):
+        for at, own in timed.passed(watermark_ms):
+            assert at <= watermark_ms * 1000
+            got += [(at, r["event_id"]) for r in own]
+        rest = [r.event_us for r in rows if r.event_us > watermark_ms * 1000]
+        assert len(got) == len(rows) - len(rest) and (not rest or state.timer == -(-min(rest) // 1000))
+    assert [at for at, _ in got] == sorted(at for at, _ in got)
+    assert sorted(got) == sorted((r.event_us, r.event_id) for r in rows)
+    assert not state and state.calls < 150  # before: several for each row

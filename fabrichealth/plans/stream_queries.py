@@ -12,7 +12,7 @@ from fabrichealth.plans.state_queries import _alr, alerts, rule_weights, state_q
 from fabrichealth.plans.verdict_queries import rounded, verdict_query
 from fabrichealth.sources import event_source
 from fabrichealth.sources.adapter import EPOCH_US, WINDOW_US
-from fabrichealth.sources.store import shared_dir
+from fabrichealth.sources.store import settle, shared_dir
 from fabrichealth.streaming import jobs
 
 c, lit = F.col, F.lit
@@ -23,6 +23,7 @@ FILES = 3
 def replayed(df, order: str, time: str, until_us: int):
     """The rows as files in order of ``order``, behind them the marker of the end; the stream of them, a file a batch."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, "replay")
+    df = settle(df, "rows")  # every file reads them, and each is written by one task
     low, high = df.agg(F.min(order), F.max(order)).first()
     cuts = [low + (high - low + 1) * i // FILES for i in range(FILES)] + [high + 1] if low is not None else []
     for a, b in zip(cuts, cuts[1:]):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fabrichealth.config import SCALED
 from fabrichealth.operators import alerting, folds, joins, rules
-from fabrichealth.plans import base
+from fabrichealth.plans import base, stream_queries
 from fabrichealth.plans.state_queries import rule_weights
 from fabrichealth.plans.stream_queries import window_end
 from fabrichealth.sources.adapter import EPOCH_US, WINDOW_US
@@ -194,3 +194,17 @@ def test_waiting_rows_are_kept_in_chunks_and_come_in_order():
     assert [at for at, _ in got] == sorted(at for at, _ in got)
     assert sorted(got) == sorted((r.event_us, r.event_id) for r in rows)
     assert not state and state.calls < 150  # before: several for each row
+
+
+def test_rows_of_a_replay_are_made_once(spark, tmp_path):
+    """Every file of the replay reads the settled rows: they are not made again for each."""
+
+    def made(batches):
+        import uuid
+
+        (tmp_path / uuid.uuid4().hex).touch()
+        yield from batches
+
+    rows = spark.range(0, 90, 1, 1).mapInArrow(made, "id long").select("id", F.timestamp_micros("id").alias("event_time"))
+    stream_queries.replayed(rows, "id", "event_time", 1000)
+    assert len(list(tmp_path.iterdir())) == 1

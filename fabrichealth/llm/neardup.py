@@ -4,8 +4,9 @@ A document's set holds its distinct 5-word shingles (the whole word sequence whe
 are one representative. Every representative walks independent trees: at a node each of its ``minwise``
 tokens is chosen with probability 1 / (similarity * minwise), and the document goes down to the child named
 by that token. Documents of a small node are compared exhaustively. Those of a large node are compared to its
-first document; where that does not join the whole node in one cluster, the node is branched again, and one
-that stays large down to ``max_depth`` is taken whole as a candidate cluster. There are so many trees that a
+first document. Where that leaves at most ``small_node`` documents outside the node's largest cluster, these are
+compared with all of the node; where it leaves more, the node is branched again, and one that does so down to
+``max_depth`` is taken whole as a candidate cluster. There are so many trees that a
 pair just at the similarity is met with ``recall`` even if its nodes stay large to the last level; pairs that
 part earlier, or are more similar, are met with more.
 
@@ -273,28 +274,78 @@ def pivot_links(rows: DataFrame, reps: DataFrame, join: Join) -> DataFrame:
     return pairs.join(reps, "id").join(first, "low").select("id", "low", "sig", "first").mapInArrow(compare, "a long, b long")
 
 
+def main_links(rows: DataFrame, reps: DataFrame, join: Join) -> DataFrame:
+    """Candidate links of the documents outside a large node's largest group to one of that group each.
+
+    ``rows`` has node, id, group, main (the largest group) and n; a node has at most ``small_node`` documents
+    outside. These meet the group in parts of about ``block`` documents, so the work grows with the group's size.
+    """
+    least = _least(join)
+
+    def compare(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        key = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            nodes, parts, ids, inside = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("node", "part", "id", "inside"))
+            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
+            starts = np.flatnonzero(np.r_[True, (nodes[1:] != nodes[:-1]) | (parts[1:] != parts[:-1])])
+            found = []
+            for low, high in zip(starts, [*starts[1:], len(ids)]):
+                if key != (nodes[low], parts[low]):
+                    key, left, left_sigs = (nodes[low], parts[low]), ids[:0], sigs[:0]
+                cut = low + np.count_nonzero(~inside[low:high])  # those outside come first
+                left, left_sigs = np.r_[left, ids[low:cut]], np.concatenate([left_sigs, sigs[low:cut]])
+                for at in range(cut, high, 256):
+                    close = (sigs[at : min(at + 256, high), None, :] == left_sigs[None, :, :]).mean(axis=2) >= least
+                    met = close.any(axis=0)
+                    found.append(np.stack([left[met], ids[at + close.argmax(axis=0)[met]]]))
+                    left, left_sigs = left[~met], left_sigs[~met]  # the group is one cluster, so one link is enough
+            if found:
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(found, axis=1))), ["a", "b"])
+
+    inside, parts = F.col("group") == F.col("main"), F.ceil(F.col("n") / join.block).cast("int")
+    own = F.array(F.pmod(F.xxhash64("id"), parts).cast("int"))
+    dealt = rows.select("node", "id", inside.alias("inside"), F.explode(F.when(inside, own).otherwise(F.sequence(F.lit(0), parts - 1))).alias("part"))
+    return dealt.join(reps, "id").select("node", "part", "inside", "id", "sig").repartition("node", "part").sortWithinPartitions("node", "part", "inside").mapInArrow(compare, "a long, b long")
+
+
 def candidate_clusters(reps: DataFrame, join: Join) -> DataFrame:
     """(id, component): clusters that hold every pair that the trees bring together. ``reps`` has id and sig."""
 
     def live(nodes: DataFrame) -> DataFrame:
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.min("group").alias("g"), F.max("group").alias("h"))
-        return settle(nodes.join(sizes.filter("g < h").select("node", "n", "low"), "node"), "live")
+        """Rows of nodes of several documents with the node's size and first document."""
+        sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+        return settle(nodes.join(sizes.filter("low < high").select("node", "n", "low"), "node"), "live")
+
+    def mixed(nodes: DataFrame) -> DataFrame:
+        """Rows of nodes of several groups with the node's size, first document, largest group and what is outside it."""
+        sizes = nodes.groupBy("node", "group").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+        sizes = sizes.groupBy("node").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max(F.struct("n", "group")).alias("top")).filter("top.n < n")
+        return settle(nodes.join(sizes.select("node", "n", "low", F.col("top.group").alias("main"), (F.col("n") - F.col("top.n")).alias("outside")), "node"), "mixed")
 
     small, large = F.col("n") <= join.small_node, F.col("n") > join.small_node
-    rows = live(settle(branch(reps, join, join.depth, True), "nodes").withColumn("group", F.col("id")))
+    few = large & (F.col("outside") <= join.small_node)
+    rows = live(settle(branch(reps, join, join.depth, True), "nodes"))
     clusters = settle(components(small_nodes(rows.filter(small).join(reps, "id"), join).unionByName(pivot_links(rows.filter(large), reps, join))), "clusters")
     groups = clusters.withColumnRenamed("component", "of")
     # within a cluster all is compared anyway, so only nodes of several clusters go on
     rows = rows.filter(large).join(groups, "id", "left").select("id", "node", F.coalesce("of", "id").alias("group"))
     more = []
-    for depth in range(join.depth, join.max_depth):
+    for depth in range(join.depth, join.max_depth + 1):
         if rows.isEmpty():
             break
-        rows = live(settle(branch(rows.join(reps, "id"), join, 1, False), "nodes"))
-        more.append(small_nodes(rows.filter(small).join(reps, "id"), join))
-        rows = rows.filter(large)
-        if depth + 1 == join.max_depth:
-            more.append(rows.select(F.col("id").alias("a"), F.col("low").alias("b")))
+        if depth > join.depth:
+            rows = settle(branch(rows.select("id", "node", "group").join(reps, "id"), join, 1, False), "nodes")
+        rows = mixed(rows)
+        more.append(small_nodes(rows.filter(small | few & (F.col("group") != F.col("main"))).join(reps, "id"), join))
+        more.append(main_links(rows.filter(few), reps, join))
+        rows = rows.filter(large & ~few)
+    else:
+        more.append(rows.select(F.col("id").alias("a"), F.col("low").alias("b")))
     links = clusters.select(F.col("id").alias("a"), F.col("component").alias("b"))
     for found in more:
         links = links.unionByName(found)

@@ -550,3 +550,46 @@ def test_pairs_with_a_first_document_are_compared_once(spark):
     reps = spark.createDataFrame([(k, bytes(4 * join.minwise)) for k in range(1, 31)], "id long, sig binary")
     rows = spark.createDataFrame([(node, k, 1) for node in range(40) for k in range(1, 31)], "node long, id long, low long")
     assert sorted(map(tuple, neardup.pivot_links(rows, reps, join).collect())) == [(k, 1) for k in range(2, 31)]
+
+
+def test_a_large_group_does_not_walk_on_for_a_few_others(spark, monkeypatch):
+    """A few documents outside a large node's cluster are compared with it there, so its near copies branch no further."""
+    rnd, walked = random.Random(9), []
+    join = neardup.Join(small_node=16, block=64)
+    same = [rnd.randrange(2**32) for _ in range(join.minwise)]
+    rows = []
+    for k in range(300):
+        rows.append((k, [rnd.randrange(2**32) if rnd.random() < 0.03 else x for x in same]))
+    # too far from the first document to be linked to it, and one between these and the group
+    apart = [rnd.randrange(2**32) if j < 26 else x for j, x in enumerate(same)]
+    rows += [(1000 + k, [rnd.randrange(2**32) if 26 <= j < 28 + k else x for j, x in enumerate(apart)]) for k in range(5)]
+    rows.append((900, [*apart[:13], *same[13:]]))
+    reps = spark.createDataFrame([(k, np.array(x, np.uint32).tobytes()) for k, x in rows], "id long, sig binary").cache()
+    branch = neardup.branch
+
+    def counted(rows, join, levels, roots):
+        walked.append((roots, rows.count()))
+        return branch(rows, join, levels, roots)
+
+    monkeypatch.setattr(neardup, "branch", counted)
+    got = {r.id: r.component for r in neardup.candidate_clusters(reps, join).collect()}
+    assert {got[k] for k in [*range(300), 900]} == {0}
+    assert walked == [(True, 306)]
+
+
+def test_documents_outside_a_group_meet_all_of_it(spark):
+    """Each is linked to a document of the group that it is close to, whichever part and batch that is in."""
+    join = neardup.Join(small_node=8, block=16)
+    rnd = random.Random(10)
+    sig = {k: [rnd.randrange(2**32) for _ in range(join.minwise)] for k in range(700)}
+    for k in range(5):
+        sig[1000 + k] = sig[137 * k + 3]
+    sig[1005] = [rnd.randrange(2**32) for _ in range(join.minwise)]
+    reps = spark.createDataFrame([(k, np.array(x, np.uint32).tobytes()) for k, x in sig.items()], "id long, sig binary")
+    rows = spark.createDataFrame([(node, k, 0 if k < 1000 else k, 0, len(sig)) for node in (5, 6) for k in sig], "node long, id long, group long, main long, n long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = sorted(map(tuple, neardup.main_links(rows, reps, join).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == sorted([(1000 + k, 137 * k + 3) for k in range(5)] * 2)
